@@ -1,7 +1,7 @@
 """Bindings of the provided star-schema tables to the shapes the operators read.
 
 Every binding is one SELECT that both Spark SQL and an ANSI engine accept, so the checks can run on identical inputs.
-Amounts are summed as DECIMAL and cast to DOUBLE once, which keeps every derived figure independent of partitioning.
+Amounts are summed as whole hundredths of a cent and cast to DOUBLE once, which keeps every derived figure independent of partitioning.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ BINDINGS: dict[str, str] = {
         from part left join nation on n_nationkey = p_partkey % 25""",
     "fx_part_years": """
         select l_partkey, year(l_shipdate) as fiscal_year,
-               cast(sum(cast(l_quantity as decimal(12,2))) as double) as qty,
+               cast(sum(cast(l_quantity as bigint)) as double) as qty,
                cast(max(l_quantity) as int) as max_qty,
-               cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,4))) as double) as net_amount,
-               cast(sum(cast(l_extendedprice * l_discount as decimal(18,4))) as double) as discount_amount,
-               cast(sum(cast(l_extendedprice * l_tax as decimal(18,4))) as double) as tax_amount,
-               cast(sum(case when l_returnflag = 'N' then cast(l_extendedprice as decimal(18,2)) end) as double) as open_amount,
-               cast(sum(case when l_linestatus = 'O' then cast(l_quantity as decimal(12,2)) end) as double) as open_qty
+               sum(cast(floor(l_extendedprice * (1 - l_discount) * 10000 + 0.5e0) as bigint)) / 1e4 as net_amount,
+               sum(cast(floor(l_extendedprice * l_discount * 10000 + 0.5e0) as bigint)) / 1e4 as discount_amount,
+               sum(cast(floor(l_extendedprice * l_tax * 10000 + 0.5e0) as bigint)) / 1e4 as tax_amount,
+               sum(case when l_returnflag = 'N' then cast(floor(l_extendedprice * 100 + 0.5e0) as bigint) end) / 1e2 as open_amount,
+               cast(sum(case when l_linestatus = 'O' then cast(l_quantity as bigint) end) as double) as open_qty
         from lineitem group by l_partkey, year(l_shipdate)""",
     "fx_panel": """
         select ticker, cik, sector, industry, country, p_partkey, p_size, share_price, shares_outstanding, market_cap,
@@ -112,7 +112,7 @@ BINDINGS: dict[str, str] = {
         from lineitem""",
     "fx_trade_prices": """
         select l_partkey as entity, cast(l_shipdate as date) as date,
-               cast(sum(cast(l_extendedprice as decimal(18,2))) as double) / cast(sum(cast(l_quantity as decimal(12,2))) as double) as close
+               sum(cast(floor(l_extendedprice * 100 + 0.5e0) as bigint)) / 1e2 / sum(cast(l_quantity as bigint)) as close
         from lineitem group by l_partkey, cast(l_shipdate as date)""",
     "fx_headlines": """
         select doc_id, 'P' || lpad(cast(doc_id % 50 as string), 8, '0') as ticker, source, substr(text, 1, 400) as title, doc_id as published_order

@@ -149,3 +149,17 @@ def fiscal_year_end_label(mmdd) -> Column:
 
 def is_non_calendar(mmdd) -> Column:
     return fiscal_year_end_valid(mmdd) != "1231"
+
+
+def decode_entities(text) -> Column:
+    """The six common HTML entities, ampersand first."""
+    out = _c(text)
+    for entity, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
+        out = F.replace(out, F.lit(entity), F.lit(plain))
+    return out
+
+
+def compact_timestamp(text) -> Column:
+    """'20240131T093000Z' to a timestamp, NULL on any other shape."""
+    s = _c(text)
+    return F.when(s.rlike(r"^\d{8}T\d{6}Z$"), F.try_to_timestamp(s, F.lit("yyyyMMdd'T'HHmmss'Z'")))

@@ -101,3 +101,12 @@ def metric_panel_long(wide: DataFrame) -> DataFrame:
     keys = [m.key for m in metrics()]
     long = wide.unpivot(["ticker", "sector", "period_key", "year_index"], keys, "metric_key", "raw_value")
     return long.withColumn("raw_value", finite("raw_value")).withColumn("is_missing", F.col("raw_value").isNull())
+
+
+def metric_null_coverage(wide: DataFrame) -> DataFrame:
+    """(metric_key, n, missing, missing_share): counted on the wide rows, unpivoted only after the aggregation."""
+    keys = [m.key for m in metrics()]
+    one = wide.agg(F.count(F.lit(1)).alias("n"), *[F.count(finite(k)).alias(k) for k in keys])
+    long = one.unpivot(["n"], keys, "metric_key", "present")
+    missing = F.col("n") - F.col("present")
+    return long.select("metric_key", "n", missing.alias("missing"), F.try_divide(missing, F.col("n")).alias("missing_share"))

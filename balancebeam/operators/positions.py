@@ -39,12 +39,12 @@ def _distributed(df: DataFrame, group: Sequence[str], order: Sequence[Column], o
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     # at most groups + partitions rows, since every range partition starts at most one group part-way
-    same = F.lit(True)
+    renamed = offsets.select(F.col("_part").alias("_o_part"), "_first", "_base", *[F.col(g).alias(f"_o_{g}") for g in group])
+    same = F.col("_part") == F.col("_o_part")
     for g in group:
-        same = same & rows[g].eqNullSafe(offsets[g])
-    joined = rows.join(F.broadcast(offsets), (rows["_part"] == offsets["_part"]) & same)
-    pos = (rows["_id"] - F.col("_first") + F.col("_base") + 1).alias(out)
-    return joined.select(*[rows[c] for c in df.columns], pos)
+        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    joined = rows.join(F.broadcast(renamed), same)
+    return joined.select(*df.columns, (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias(out))
 
 
 def group_bounded(n_entities: int) -> bool:

@@ -111,3 +111,29 @@ def rank_universe(wide: DataFrame, companies: DataFrame, config: RankConfig = Ra
     distributed = (not group_bounded(n)) if distributed is None else distributed
     scores = unit_scores(values_from_wide(wide, config, registry, by), config, registry, by, distributed=distributed)
     return aggregate_rankings(scores, companies, config, registry, by, n_entities=n, distributed=distributed)
+
+
+def override_scores(stored: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Overlay what-if scores on the stored ranking: per entity present in ``overrides`` its score and rank replace the stored ones."""
+    o = overrides.select("ticker", F.col("overall_score").alias("_s"), F.col("overall_rank").alias("_r"), F.lit(True).alias("_hit"))
+    out = stored.join(o, "ticker", "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    return (
+        out.withColumn("overall_score", F.when(hit, F.col("_s")).otherwise(F.col("overall_score")))
+        .withColumn("overall_rank", F.when(hit, F.col("_r")).otherwise(F.col("overall_rank")))
+        .drop("_s", "_r", "_hit")
+    )
+
+
+HEADLINE = ("pe_ttm", "ev_ebitda", "dividend_yield", "roic", "fcf_yield", "growth_revenue_1y")
+
+
+def headline_metrics(wide: DataFrame) -> DataFrame:
+    return wide.filter(F.col("year_index") == 0).select("ticker", *HEADLINE)
+
+
+def categories_long(categories: DataFrame) -> DataFrame:
+    """One row per entity and category: score and the three counts."""
+    entry = lambda c: F.struct(F.lit(c).alias("category"), F.col(f"{c}_score").alias("score"), F.col(f"{c}_included").alias("included"),
+                               F.col(f"{c}_missing").alias("missing"), F.col(f"{c}_not_applicable").alias("not_applicable"))
+    return categories.select("ticker", F.inline(F.array(*[entry(c) for c in CATEGORIES])))

@@ -18,6 +18,8 @@ from balancebeam.operators.sector import canonical_sector
 
 # Negatives of a mixed group score below this, positives from one half up: the bands never meet.
 NEGATIVE_CEILING = 0.5 - 1e-9
+# A spread below this share of the values is rounding residue of a constant ratio: its deviation counts as zero.
+CONSTANT_SPREAD = 1e-12
 
 
 @dataclass(frozen=True)
@@ -106,12 +108,16 @@ def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], b
     else:
         stats = {"mu": F.avg("wv"), "sd": F.stddev_pop("wv"), "w_min": F.min("wv"), "w_max": F.max("wv")}
         placed = _attach(bounded, side, stats, distributed)
-        z = F.when(F.col("w_min") == F.col("w_max"), F.lit(0.0)).otherwise((F.col("wv") - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0)))
+        z = F.when(_constant("w_min", "w_max"), F.lit(0.0)).otherwise((F.col("wv") - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0)))
         scored = placed.withColumn("score", _banded(logistic(z), rising)).drop(*stats)
         scored = positions(scored, group, [F.desc("score"), F.col("ticker")], "peer_rank", distributed=distributed)
     return scored.select(*by, "ticker", "m", "year_index", "score", F.col("peer_rank").cast("long").alias("peer_rank"), F.col("n").alias("peer_count"))
 
 
+def _constant(lo: str, hi: str) -> Column:
+    return (F.col(hi) - F.col(lo)) <= CONSTANT_SPREAD * F.greatest(F.abs(lo), F.abs(hi))
+
+
 def _banded(unit: Column, rising: Column) -> Column:
     directed = F.when(rising, unit).otherwise(1 - unit)
     return F.when(~F.col("split"), directed).when(F.col("low_side"), unit * NEGATIVE_CEILING).otherwise(0.5 + 0.5 * directed)
@@ -124,3 +130,27 @@ def _attach(df: DataFrame, group: list[str], aggs: dict[str, Column], distribute
         return df.withColumns({k: a.over(w) for k, a in aggs.items()})
     # one row per metric, year, peer group and side: bounded by the registry, not by the data
     return df.join(F.broadcast(df.groupBy(*group).agg(*[a.alias(k) for k, a in aggs.items()])), group)
+
+
+def winsorize(df: DataFrame, group: list[str], value: str, key: str, lower: float, upper: float, *, distributed: bool = False) -> DataFrame:
+    """Add ``winsorized``: the value clamped to two order statistics of its group."""
+    ranked = positions(df, group, [F.col(value), F.col(key)], "_r", distributed=distributed)
+    counted = _attach(ranked, group, {"_n": F.count(F.lit(1))}, distributed)
+    at = lambda p, f: f(F.lit(p) * (F.col("_n") - 1)) + 1
+    bounds = {"_lb": F.max(F.when(F.col("_r") == at(lower, F.floor), F.col(value))), "_ub": F.max(F.when(F.col("_r") == at(upper, F.ceil), F.col(value)))}
+    return _attach(counted, group, bounds, distributed).withColumn("winsorized", clamp(value, "_lb", "_ub")).drop("_r", "_n", "_lb", "_ub")
+
+
+def percentile_rank(df: DataFrame, group: list[str], value: str, key: str, *, distributed: bool = False) -> DataFrame:
+    """Add ``percentile`` in [0, 1]: row position over n - 1, ties by key; a group of one scores 1."""
+    ranked = positions(df, group, [F.col(value), F.col(key)], "_r", distributed=distributed)
+    counted = _attach(ranked, group, {"_n": F.count(F.lit(1))}, distributed)
+    pct = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((F.col("_r") - 1) / F.nullif((F.col("_n") - 1).cast("double"), F.lit(0.0)))
+    return counted.withColumn("percentile", pct).drop("_r", "_n")
+
+
+def zscore(df: DataFrame, group: list[str], value: str, *, distributed: bool = False) -> DataFrame:
+    """Add ``zscore`` (population deviation, 0 in a constant group) and ``unit_score``, its logistic."""
+    stats = {"_mu": F.avg(value), "_sd": F.stddev_pop(value), "_lo": F.min(value), "_hi": F.max(value)}
+    z = F.when(_constant("_lo", "_hi"), F.lit(0.0)).otherwise((F.col(value) - F.col("_mu")) / F.nullif(F.col("_sd"), F.lit(0.0)))
+    return _attach(df, group, stats, distributed).withColumn("zscore", z).withColumn("unit_score", logistic("zscore")).drop(*stats)

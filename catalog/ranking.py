@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from balancebeam.metrics.registry import CATEGORIES, metrics
 from balancebeam.operators import panel as panel_ops
 from balancebeam.operators import prices, rollup, xs
+from balancebeam.operators import sector as sector_ops
+from balancebeam.operators.positions import positions
+from balancebeam.session import ensure_checkpoint_dir
+from balancebeam.sources import sinks
 from catalog.base import FIXTURE_MOMENTUM, companies, daily_prices, query, tidy, wide_panel
-from catalog.sql import rnd
+from catalog.sql import CANON, rnd, rollup_ctes, values, xs_ctes
 
 KEYS = [m.key for m in metrics()]
 
@@ -47,3 +53,198 @@ RANK_SQL = (f"select ticker, {rnd('overall_score')} as overall_score, overall_ra
 def rank_end_to_end(spark, sf):
     ranked = rollup.rank_universe(wide_panel(spark, sf), companies(spark, sf))
     return tidy(ranked.select(*RANK_COLS, *[f"{c}_score" for c in CATEGORIES]))
+
+
+# --- parts of the ranking, each over the whole universe -------------------------------------------------------------------------
+
+
+def subset(keep):
+    return [m for m in metrics() if keep(m)]
+
+
+def _long_numbers(spark, sf, keep, years=5):
+    return xs.values_from_wide(wide_panel(spark, sf), xs.RankConfig(years=years), subset(keep))
+
+
+def _unit(spark, sf, keep, config=xs.RankConfig()):
+    registry = subset(keep)
+    scores = xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry)
+    return scores.withColumn("metric_key", F.element_at(F.array(*[F.lit(m.key) for m in registry]), F.col("m") + 1)).drop("m")
+
+
+UNIT_SQL = f"select ticker, metric_key, year_index, {rnd('score', 9)} as score, peer_rank, peer_count from o_unit join d_metrics using (m) where "
+
+
+@query("xs_negative_split", UNIT_SQL + "negative_is_bad")
+def xs_negative_split(spark, sf):
+    return tidy(_unit(spark, sf, lambda m: m.negative_is_bad), 9)
+
+
+@query("xs_sector_peers", UNIT_SQL + "sector_relative")
+def xs_sector_peers(spark, sf):
+    return tidy(_unit(spark, sf, lambda m: m.sector_relative), 9)
+
+
+@query("xs_direction", UNIT_SQL + "direction = 'asc' and category = 'earningsQuality'")
+def xs_direction(spark, sf):
+    return tidy(_unit(spark, sf, lambda m: m.direction == "asc" and m.category == "earningsQuality"), 9)
+
+
+Z_CONFIG = xs.RankConfig(method="zscore", years=3, winsor_lower=0.05, winsor_upper=0.95,
+                         category_weights={"valuation": 0.3, "profitability": 0.3, "growth": 0.0, "cashGeneration": 0.1, "financialStrength": 0.0,
+                                           "capitalAllocation": 0.05, "efficiency": 0.05, "earningsQuality": 0.1, "moat": 0.05, "momentum": 0.05},
+                         metric_weights={"pe_ttm": 0.5, "roic": 2.0, "gross_margin": 0.0, "fcf_yield": 1.5, "piotroski_f_score": 0.0})
+Z_SCORES = xs_ctes("z_unit", "(select * from o_gated where not inapplicable and year_index < 3)", "zscore", 0.05, 0.95)
+Z_WEIGHTS = {
+    "z_over": values(list(Z_CONFIG.metric_weights.items()), "metric_key, ow"),
+    "z_weights": "select m, coalesce(ow, default_weight) as w from d_metrics left join z_over using (metric_key)",
+    "z_categories": values([(i, c, float(w)) for i, (c, w) in enumerate(Z_CONFIG.category_weights.items())], "ord, category, cw"),
+}
+
+
+@query("xs_zscore", f"select ticker, metric_key, year_index, {rnd('score', 9)} as score, peer_rank, peer_count from z_unit join d_metrics using (m) "
+                    "where category = 'profitability'", Z_SCORES)
+def xs_zscore(spark, sf):
+    return tidy(_unit(spark, sf, lambda m: m.category == "profitability", Z_CONFIG), 9)
+
+
+def rank_select(prefix):
+    return (f"select ticker, {rnd('overall_score')} as overall_score, overall_rank, peer_count, metrics_included, metrics_applicable, "
+            f"{rnd('coverage_ratio')} as coverage_ratio, coverage_tier from {prefix}")
+
+
+@query("rank_zscore", rank_select("z_rank"), {**Z_SCORES, **Z_WEIGHTS, **rollup_ctes("z_rank", "z_unit", "fx_companies", "z_weights", "z_categories", 3)})
+def rank_zscore(spark, sf):
+    return tidy(rollup.rank_universe(wide_panel(spark, sf), companies(spark, sf), Z_CONFIG).select(*RANK_COLS))
+
+
+# the same stored percentile scores under other weights and fewer years
+REWEIGHT = xs.RankConfig(years=3, category_weights=Z_CONFIG.category_weights, metric_weights=Z_CONFIG.metric_weights)
+
+
+@query("rank_reweight", rank_select("y_rank"), {**Z_WEIGHTS, **rollup_ctes("y_rank", "o_unit", "fx_companies", "z_weights", "z_categories", 3)})
+def rank_reweight(spark, sf):
+    ensure_checkpoint_dir(spark)
+    stored = unit_frame(spark, sf).checkpoint()
+    everyone = companies(spark, sf)
+    return tidy(rollup.aggregate_rankings(stored, everyone, REWEIGHT, metrics(), n_entities=everyone.count()).select(*RANK_COLS))
+
+
+@query("rank_override_apply", f"""select ticker, {rnd('overall_score')} as overall_score, overall_rank from
+        (select r.ticker, case when o.ticker is not null then o.overall_score else r.overall_score end as overall_score,
+                case when o.ticker is not null then o.overall_rank else r.overall_rank end as overall_rank
+         from o_rank r left join (select * from y_rank where overall_rank <= 100) o using (ticker))""",
+       {**Z_WEIGHTS, **rollup_ctes("y_rank", "o_unit", "fx_companies", "z_weights", "z_categories", 3)})
+def rank_override_apply(spark, sf):
+    ensure_checkpoint_dir(spark)
+    stored, everyone, registry = unit_frame(spark, sf).checkpoint(), companies(spark, sf), metrics()
+    n = everyone.count()
+    base = rollup.aggregate_rankings(stored, everyone, xs.RankConfig(), registry, n_entities=n)
+    what_if = rollup.aggregate_rankings(stored, everyone, REWEIGHT, registry, n_entities=n).filter("overall_rank <= 100")
+    return tidy(rollup.override_scores(base.select("ticker", "overall_score", "overall_rank"), what_if))
+
+
+def _long_metric_values(spark, sf):
+    return panel_ops.metric_panel_long(wide_panel(spark, sf)).filter("raw_value is not null and metric_key like 'growth_%'")
+
+
+GROWTH = "from o_long where v is not null and metric_key like 'growth_%'"
+
+
+@query("xs_winsorize", f"""select ticker, metric_key, year_index, {rnd('least(greatest(v, lb), ub)')} as winsorized from (
+        select *, max(case when r = floor(0.05::DOUBLE * (n - 1)) + 1 then v end) over g as lb, max(case when r = ceil(0.95::DOUBLE * (n - 1)) + 1 then v end) over g as ub
+        from (select *, row_number() over (partition by metric_key, year_index order by v) as r, count(*) over (partition by metric_key, year_index) as n {GROWTH})
+        window g as (partition by metric_key, year_index))""")
+def xs_winsorize(spark, sf):
+    out = xs.winsorize(_long_metric_values(spark, sf), ["metric_key", "year_index"], "raw_value", "ticker", 0.05, 0.95)
+    return tidy(out.select("ticker", "metric_key", "year_index", "winsorized"))
+
+
+@query("xs_percentile_rank", f"""select ticker, metric_key, year_index, {rnd('case when n = 1 then 1.0::DOUBLE else (r - 1) / (n - 1)::DOUBLE end', 9)} as percentile
+        from (select *, row_number() over (partition by metric_key, year_index order by v, ticker) as r, count(*) over (partition by metric_key, year_index) as n {GROWTH})""")
+def xs_percentile_rank(spark, sf):
+    out = xs.percentile_rank(_long_metric_values(spark, sf), ["metric_key", "year_index"], "raw_value", "ticker")
+    return tidy(out.select("ticker", "metric_key", "year_index", "percentile"), 9)
+
+
+@query("rank_row_number", f"""select ticker, metric_key, row_number() over (partition by metric_key order by v desc, ticker) as rank {GROWTH} and year_index = 0""")
+def rank_row_number(spark, sf):
+    rows = _long_metric_values(spark, sf).filter("year_index = 0")
+    return tidy(positions(rows, ["metric_key"], [F.desc("raw_value"), F.col("ticker")], "rank", distributed=False).select("ticker", "metric_key", "rank"))
+
+
+@query("xs_applicability", f"select ticker, year_index, metric_key, {rnd('v')} as v from o_gated where not inapplicable and v is not null")
+def xs_applicability(spark, sf):
+    registry = metrics()
+    out = xs.values_from_wide(wide_panel(spark, sf), xs.RankConfig(), registry)
+    return tidy(out.select("ticker", "year_index", F.element_at(F.array(*[F.lit(m.key) for m in registry]), F.col("m") + 1).alias("metric_key"), "v"))
+
+
+@query("gate_sector", """select c.ticker, d.metric_key, case
+          when r.kind = 'only' and not coalesce(cs = 'Real Estate', false) then case when trim(coalesce(sector, '')) = '' then 'real-estate-only, sector unknown' else 'real-estate-only' end
+          when r.kind = 'excluded' then r.reason end as reason
+        from (select *, """ + CANON + """ as cs from fx_companies) c cross join d_metrics d
+        left join d_rules r on r.metric_key = d.metric_key and (r.kind = 'only' or r.canon = c.cs)""")
+def gate_sector(spark, sf):
+    keys = F.explode(F.array(*[F.lit(k) for k in KEYS])).alias("metric_key")
+    return tidy(sector_ops.gate_sector(companies(spark, sf).select("ticker", "sector", keys)).drop("sector"))
+
+
+@query("metric_null_coverage", f"select metric_key, count(*) as n, sum(case when v is null then 1 else 0 end)::BIGINT as missing, "
+                               f"{rnd('avg(case when v is null then 1.0::DOUBLE else 0.0::DOUBLE end)')} as missing_share from o_long group by metric_key")
+def metric_null_coverage(spark, sf):
+    return tidy(panel_ops.metric_null_coverage(wide_panel(spark, sf)))
+
+
+@query("headline_metrics", f"select ticker, {', '.join(f'{rnd(k)} as {k}' for k in rollup.HEADLINE)} from o_wide where year_index = 0")
+def headline_metrics(spark, sf):
+    return tidy(rollup.headline_metrics(wide_panel(spark, sf)))
+
+
+@query("src_metric_dim", "select m as ord, metric_key, category, direction, verdict, default_weight, negative_is_bad, sector_relative, enabled from d_metrics")
+def src_metric_dim(spark, sf):
+    return tidy(sinks.metric_dimension(spark))
+
+
+@query("roll_years", f"select ticker, m, {rnd('score', 9)} as score from o_rank_my")
+def roll_years(spark, sf):
+    return tidy(rollup.roll_years(unit_frame(spark, sf), 5), 9)
+
+
+@query("roll_category", f"select ticker, category, {rnd('score', 9)} as score, included, missing, not_applicable from o_rank_cat")
+def roll_category(spark, sf):
+    return tidy(category_scores(spark, sf), 9)
+
+
+def category_scores(spark, sf):
+    registry = metrics()
+    wide = rollup.roll_category(rollup.roll_years(unit_frame(spark, sf), 5), companies(spark, sf), xs.RankConfig(), registry)
+    return rollup.categories_long(wide)
+
+
+@query("roll_overall", f"select ticker, {rnd('overall_score')} as overall_score from o_rank")
+def roll_overall(spark, sf):
+    return tidy(ranked(spark, sf).select("ticker", "overall_score"))
+
+
+@query("score_coverage", f"select ticker, metrics_included, metrics_applicable, {rnd('coverage_ratio')} as coverage_ratio, coverage_tier from o_rank")
+def score_coverage(spark, sf):
+    return tidy(ranked(spark, sf).select("ticker", "metrics_included", "metrics_applicable", "coverage_ratio", "coverage_tier"))
+
+
+@query("overall_rank", "select ticker, overall_rank, peer_count from o_rank")
+def overall_rank(spark, sf):
+    return tidy(ranked(spark, sf, distributed=True).select("ticker", "overall_rank", "peer_count"))
+
+
+def ranked(spark, sf, distributed=None):
+    """The default ranking; ``distributed`` forces the plan used for universes too large for one task per group."""
+    return rollup.rank_universe(wide_panel(spark, sf), companies(spark, sf), distributed=distributed)
+
+
+@query("xs_peer_rank", "select ticker, m, year_index, peer_rank, peer_count from o_unit where m in (select m from d_metrics where category = 'valuation')")
+def xs_peer_rank(spark, sf):
+    registry, config = metrics(), xs.RankConfig()
+    numbers = [i for i, m in enumerate(registry) if m.category == "valuation"]
+    rows = xs.values_from_wide(wide_panel(spark, sf), config, registry).filter(F.col("m").isin(numbers))
+    return tidy(xs.unit_scores(rows, config, registry, distributed=True).select("ticker", "m", "year_index", "peer_rank", "peer_count"))

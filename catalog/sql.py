@@ -167,7 +167,7 @@ def xs_ctes(prefix: str, source: str, method: str, lo: float, hi: float, by: str
     grp = f"{b}m, year_index, peer"
     score = {
         "percentile": "case when ns = 1 then 1.0::DOUBLE else (rw - 1) / (ns - 1)::DOUBLE end",
-        "zscore": "1 / (1 + exp(-(case when wmin = wmax then 0.0::DOUBLE else (wv - mu) / sd end)))",
+        "zscore": "1 / (1 + exp(-(case when wmax - wmin <= 1e-12::DOUBLE * greatest(abs(wmin), abs(wmax)) then 0.0::DOUBLE else (wv - mu) / sd end)))",
     }[method]
     rank = {
         "percentile": "(case when low then np else 0 end) + (case when rising then ns - rw + 1 else rw end)",

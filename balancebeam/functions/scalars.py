@@ -54,7 +54,8 @@ def avg_present(*cols) -> Column:
 
 
 def clamp(x, lo, hi) -> Column:
-    return F.least(F.greatest(_c(x), _c(lo)), _c(hi))
+    x = _c(x)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, _c(lo)), _c(hi)))
 
 
 def round_half_up(x, digits: int) -> Column:

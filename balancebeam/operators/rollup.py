@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +13,16 @@ from balancebeam.operators.sector import canonical_sector
 from balancebeam.operators.xs import RankConfig, enabled_metrics, unit_scores, values_from_wide
 
 
-def _lookup(pairs, column):
-    """Literal lookup by number: a CASE over a handful of constants instead of a join."""
-    return F.element_at(F.array(*[F.lit(float(x)) for x in pairs]), column + 1)
+def _lookup(constants, number: str) -> str:
+    """SQL text of a lookup by number in a constant array: a handful of constants instead of a join."""
+    return f"element_at(array({', '.join(f'{float(x)!r}D' for x in constants)}), {number} + 1)"
 
 
 def roll_years(scores: DataFrame, years: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, ticker, m, score): year weights renormalised over the years present."""
     kept = scores.filter(F.col("year_index") < min(years, len(YEAR_WEIGHTS)))
-    w = _lookup(YEAR_WEIGHTS, F.col("year_index"))
-    return kept.groupBy(*by, "ticker", "m").agg((F.sum(w * F.col("score")) / F.sum(w)).alias("score"))
+    w = _lookup(YEAR_WEIGHTS, "year_index")
+    return kept.groupBy(*by, "ticker", "m").agg(F.expr(f"sum({w} * score) / sum({w})").alias("score"))
 
 
 def metric_weight(m: Metric, config: RankConfig) -> float:
@@ -48,40 +46,32 @@ def roll_category(metric_scores: DataFrame, companies: DataFrame, config: RankCo
     weights = [metric_weight(m, config) for m in registry]
     for c in CATEGORIES:
         numbers = [i for i, m in enumerate(registry) if m.category == c and weights[i] > 0]
-        inside = F.col("m").isin(numbers) if numbers else F.lit(False)
-        w = F.when(inside, _lookup(weights, F.col("m")))
-        aggs += [(F.sum(w * F.col("score")) / F.sum(w)).alias(f"{c}_score"), F.count(w).alias(f"{c}_included")]
-    scored = metric_scores.groupBy(*by, "ticker").agg(*aggs)
+        mine = f"m in ({', '.join(map(str, numbers))})" if numbers else "false"
+        aggs += [F.expr(f"sum(w * score) filter (where {mine}) / sum(w) filter (where {mine})").alias(f"{c}_score"),
+                 F.expr(f"count_if({mine})").alias(f"{c}_included")]
+    weighted = metric_scores.withColumn("w", F.expr(_lookup(weights, "m")))
+    scored = weighted.groupBy(*by, "ticker").agg(*aggs)
     out = companies.select(*by, "ticker", "sector").join(scored, [*by, "ticker"], "left")
-    canon = canonical_sector(F.col("sector"))
     counts = applicable_counts(registry)
-    extra = {}
+    extra = []
     for c in CATEGORIES:
-        fits = F.when(canon == "Financials", counts[c]["Financials"]).when(canon == "Real Estate", counts[c]["Real Estate"]).otherwise(counts[c][None])
-        included = F.coalesce(f"{c}_included", F.lit(0))
+        fits = f"case canon when 'Financials' then {counts[c]['Financials']} when 'Real Estate' then {counts[c]['Real Estate']} else {counts[c][None]} end"
         total = sum(1 for m in registry if m.category == c)
-        extra[f"{c}_included"] = included
-        extra[f"{c}_missing"] = fits - included
-        extra[f"{c}_not_applicable"] = F.lit(total) - fits
-    return out.withColumns(extra)
+        extra += [f"{c}_score", f"coalesce({c}_included, 0) as {c}_included", f"{fits} - coalesce({c}_included, 0) as {c}_missing", f"{total} - {fits} as {c}_not_applicable"]
+    return out.withColumn("canon", canonical_sector(F.col("sector"))).selectExpr(*by, "ticker", "sector", *extra)
 
 
 def roll_overall(categories: DataFrame, config: RankConfig) -> DataFrame:
     """Add overall_score (0-100) and coverage over the weighted categories."""
-    active = [(c, w) for c, w in config.category_weights.items() if w > 0]
-    add = lambda xs: reduce(lambda a, b: a + b, xs) if xs else F.lit(0)
-    weight = add([F.when(F.col(f"{c}_score").isNotNull(), w).otherwise(0.0) for c, w in active])
-    total = add([F.coalesce(F.col(f"{c}_score") * w, F.lit(0.0)) for c, w in active])
-    included = add([F.col(f"{c}_included") for c, _ in active])
-    fits = add([F.col(f"{c}_included") + F.col(f"{c}_missing") for c, _ in active])
-    ratio = F.coalesce(F.try_divide(included.cast("double"), fits.cast("double")), F.lit(0.0))
-    return (
-        categories.withColumn("overall_score", F.try_divide(total, weight) * 100)
-        .withColumn("metrics_included", included)
-        .withColumn("metrics_applicable", fits)
-        .withColumn("coverage_ratio", ratio)
-        .withColumn("coverage_tier", coverage_tier(F.col("coverage_ratio")))
-    )
+    active = [(c, float(w)) for c, w in config.category_weights.items() if w > 0]
+    add = lambda xs: " + ".join(xs) or "0"
+    weight = add(f"if({c}_score is not null, {w!r}D, 0D)" for c, w in active)
+    total = add(f"coalesce({c}_score * {w!r}D, 0D)" for c, w in active)
+    sums = categories.selectExpr(
+        "*", f"try_divide({total}, {weight}) * 100 as overall_score", f"{add(f'{c}_included' for c, _ in active)} as metrics_included",
+        f"{add(f'{c}_included + {c}_missing' for c, _ in active)} as metrics_applicable")
+    ratio = F.coalesce(F.try_divide("metrics_included", "metrics_applicable").cast("double"), F.lit(0.0))
+    return sums.withColumn("coverage_ratio", ratio).withColumn("coverage_tier", coverage_tier("coverage_ratio"))
 
 
 def overall_rank(scored: DataFrame, by: tuple[str, ...] = (), *, n_entities: int, distributed: bool) -> DataFrame:

@@ -40,25 +40,25 @@ def _numbers(registry: list[Metric], keep) -> list[int]:
     return [i for i, m in enumerate(registry) if keep(m)]
 
 
-def _is_in(c: Column, numbers: list[int]) -> Column:
-    return c.isin(numbers) if numbers else F.lit(False)
+def _is_in(numbers: list[int]) -> Column:
+    return F.expr(f"m in ({', '.join(map(str, numbers))})") if numbers else F.lit(False)
 
 
-def applicable(m: Column, sector, registry: list[Metric]) -> Column:
-    """Applicability from metric numbers, so gating costs no join."""
+def applicable(sector, registry: list[Metric]) -> Column:
+    """Applicability from the metric number ``m``, so gating costs no join."""
     canon = canonical_sector(sector)
-    out = ~(_is_in(m, _numbers(registry, lambda x: x.key in dims.SECTOR_ONLY)) & ~F.coalesce(canon == "Real Estate", F.lit(False)))
+    out = ~(_is_in(_numbers(registry, lambda x: x.key in dims.SECTOR_ONLY)) & ~F.coalesce(canon == "Real Estate", F.lit(False)))
     for name, groups in dims.SECTOR_EXCLUDED.items():
         keys = {k for ks in groups.values() for k in ks}
-        out = out & ~(F.coalesce(canon == name, F.lit(False)) & _is_in(m, _numbers(registry, lambda x: x.key in keys)))
+        out = out & ~(F.coalesce(canon == name, F.lit(False)) & _is_in(_numbers(registry, lambda x: x.key in keys)))
     return out
 
 
 def values_from_wide(wide: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = ()) -> DataFrame:
     """Unpivot a wide panel to numbered metric values; missing and inapplicable values leave before any shuffle."""
     values = wide.filter(F.col("year_index") < config.years).select(
-        *by, "ticker", "sector", "year_index", F.posexplode(F.array(*[F.col(m.key).cast("double") for m in registry])).alias("m", "v"))
-    return values.filter((F.abs("v") < float("inf")) & applicable(F.col("m"), F.col("sector"), registry))
+        *by, "ticker", "sector", "year_index", F.posexplode(F.expr(f"array({', '.join(m.key for m in registry)})")).alias("m", "v"))
+    return values.filter((F.abs("v") < float("inf")) & applicable(F.col("sector"), registry))
 
 
 def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = (), *, distributed: bool = False) -> DataFrame:
@@ -66,9 +66,9 @@ def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], b
 
     One row of ``values`` per entity, metric and year. Peer groups with fewer than two values give no score.
     """
-    neg = _is_in(F.col("m"), _numbers(registry, lambda x: x.negative_is_bad))
-    flip = _is_in(F.col("m"), _numbers(registry, lambda x: x.direction == "asc"))
-    rel = _is_in(F.col("m"), _numbers(registry, lambda x: x.sector_relative))
+    neg = _is_in(_numbers(registry, lambda x: x.negative_is_bad))
+    flip = _is_in(_numbers(registry, lambda x: x.direction == "asc"))
+    rel = _is_in(_numbers(registry, lambda x: x.sector_relative))
     rows = values.select(*by, "m", "year_index", F.when(rel, F.coalesce("sector", F.lit("~"))).otherwise("").alias("peer"),
                          "ticker", F.col("v").alias("v"))
     group = [*by, "m", "year_index", "peer"]

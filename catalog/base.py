@@ -35,13 +35,13 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles and widen integers, so values compare across engines."""
     out = []
     for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            c = F.round(c, digits) + F.lit(0.0)
+            out.append(f"round(`{name}`, {digits}) + 0D as `{name}`")
         elif kind in ("int", "smallint", "tinyint") or kind.startswith("decimal"):
-            c = c.cast("long")
-        out.append(c.alias(name))
-    return df.select(*out)
+            out.append(f"cast(`{name}` as bigint) as `{name}`")
+        else:
+            out.append(f"`{name}`")
+    return df.selectExpr(*out)
 
 
 def companies(spark: SparkSession, sf: str) -> DataFrame:

@@ -58,6 +58,11 @@ def rank_end_to_end(spark, sf):
 # --- parts of the ranking, each over the whole universe -------------------------------------------------------------------------
 
 
+def key_of(registry):
+    """The metric key a number stands for."""
+    return F.expr("element_at(array(" + ", ".join(f"'{m.key}'" for m in registry) + "), m + 1)")
+
+
 def subset(keep):
     return [m for m in metrics() if keep(m)]
 
@@ -69,7 +74,7 @@ def _long_numbers(spark, sf, keep, years=5):
 def _unit(spark, sf, keep, config=xs.RankConfig()):
     registry = subset(keep)
     scores = xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry)
-    return scores.withColumn("metric_key", F.element_at(F.array(*[F.lit(m.key) for m in registry]), F.col("m") + 1)).drop("m")
+    return scores.withColumn("metric_key", key_of(registry)).drop("m")
 
 
 UNIT_SQL = f"select ticker, metric_key, year_index, {rnd('score', 9)} as score, peer_rank, peer_count from o_unit join d_metrics using (m) where "
@@ -177,7 +182,7 @@ def rank_row_number(spark, sf):
 def xs_applicability(spark, sf):
     registry = metrics()
     out = xs.values_from_wide(wide_panel(spark, sf), xs.RankConfig(), registry)
-    return tidy(out.select("ticker", "year_index", F.element_at(F.array(*[F.lit(m.key) for m in registry]), F.col("m") + 1).alias("metric_key"), "v"))
+    return tidy(out.select("ticker", "year_index", key_of(registry).alias("metric_key"), "v"))
 
 
 @query("gate_sector", """select c.ticker, d.metric_key, case

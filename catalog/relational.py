@@ -199,9 +199,9 @@ def agg_quantiles_r7(spark, sf):
     return tidy(quantile_summary(p, ["ticker"], "r").drop("reason"))
 
 
-@query("agg_median", f"select ticker, {rnd('median(revenue)', 4)} as median_revenue from fx_panel group by ticker")
+@query("agg_median", f"select ticker, {rnd('median(revenue)', 6)} as median_revenue from fx_panel group by ticker")
 def agg_median(spark, sf):
-    return tidy(bind(spark, sf, "fx_panel").groupBy("ticker").agg(F.median("revenue").alias("median_revenue")), 4)
+    return tidy(bind(spark, sf, "fx_panel").groupBy("ticker").agg(F.median("revenue").alias("median_revenue")))
 
 
 @query("agg_upper_median", f"""select fiscal_year, {rnd('max(case when r = n // 2 + 1 then revenue end)', 4)} as upper_median from
@@ -265,7 +265,7 @@ def distinct_values(spark, sf):
 @query("refresh_counts", """select l_suppkey as job, count(*) as requested, count_if(l_quantity > 5) as succeeded, count_if(l_quantity <= 5) as failed from lineitem group by l_suppkey""")
 def refresh_counts(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("job")).agg(F.count(F.lit(1)).alias("requested"), F.count_if("l_quantity > 5").alias("succeeded"), F.count_if("l_quantity <= 5").alias("failed"))
+    return li.groupBy(F.col("l_suppkey").alias("job")).agg(F.count(F.lit(1)).alias("requested"), F.count_if(F.col("l_quantity") > 5).alias("succeeded"), F.count_if(F.col("l_quantity") <= 5).alias("failed"))
 
 
 # --- windows ---------------------------------------------------------------------------------------------------------------------
@@ -362,13 +362,13 @@ CAND = {"r_cand": """select c.ticker || (case when p_partkey % 10 = 8 then '-B'
                      from fx_companies c left join (select ticker, arg_max(revenue, fiscal_year) as rev from fx_panel group by ticker) using (ticker)"""}
 
 
-@query("universe_screen", f"""select ticker, cik, {rnd('public_float', 2)} as public_float, case when public_float >= 5.5e9 then 'large' else 'mid' end as market_cap_tier from (
+@query("universe_screen", f"""select ticker, cik, {rnd('public_float', 2)} as public_float, case when public_float >= 4.9e9 then 'large' else 'mid' end as market_cap_tier from (
           select *, row_number() over (partition by cik order by regexp_matches(ticker, '[-.]'), length(ticker), ticker) as k from r_cand
-          where public_float >= 4.6e9 and public_float <= 1e13 and not coalesce(revenue > 0 and public_float > 100 * revenue, false) and has_operating_financials
+          where public_float >= 4.52e9 and public_float <= 1e13 and not coalesce(revenue > 0 and public_float > 100 * revenue, false) and has_operating_financials
             and cik not in (select cik from fx_companies where p_size % 10 = 0)) where k = 1""", CAND)
 def universe_screen(spark, sf):
     present = companies(spark, sf).filter("p_size % 10 = 0").select("cik")
-    out = screens.universe_screen(candidates(spark, sf), present, min_float=4.6e9, large=5.5e9)
+    out = screens.universe_screen(candidates(spark, sf), present, min_float=4.52e9, large=4.9e9)
     return tidy(out.select("ticker", "cik", "public_float", "market_cap_tier"), 2)
 
 
@@ -392,11 +392,11 @@ LATEST = f"(select r.*, w.* exclude (ticker, sector) from {R} r left join (selec
 
 
 @query("rank_filters", f"""select ticker, overall_rank from {LATEST} where sector in ('Technology', 'Energy') and country in ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4', 'NATION_5', 'NATION_6')
-        and metrics_included >= 40 and pe_ttm <= 40 and fcf_yield >= 0.001 and market_cap >= 4.6e6""")
+        and metrics_included >= 40 and pe_ttm <= 200 and fcf_yield >= 0.0001 and market_cap >= 4.52e6""")
 def rank_filters(spark, sf):
     joined = ranked_companies(spark, sf).join(wide_panel(spark, sf).filter("year_index = 0").drop("sector"), "ticker", "left")
     out = screens.rank_filters(joined, sectors=["Technology", "Energy"], countries=[f"NATION_{i}" for i in range(1, 7)], min_metrics=40,
-                               bounds={"pe_ttm": ("<=", 40.0), "fcf_yield": (">=", 0.001), "market_cap": (">=", 4.6e6)})
+                               bounds={"pe_ttm": ("<=", 200.0), "fcf_yield": (">=", 0.0001), "market_cap": (">=", 4.52e6)})
     return out.select("ticker", "overall_rank")
 
 
@@ -475,9 +475,9 @@ def topk_scatter(spark, sf):
     return tidy_cols(scatter(spark, sf).select("ticker", "market_cap", "roic"), {"market_cap": 2, "roic": 6})
 
 
-@query("trim_outliers", """select ticker, roic between (select max(roic) from b where rr = lo + 1) and (select max(roic) from b where rr = hi + 1)
-          and growth_revenue_1y between (select max(growth_revenue_1y) from b where rg = lo + 1) and (select max(growth_revenue_1y) from b where rg = hi + 1) as kept from b""",
-       {"b": """select *, row_number() over (order by roic) as rr, row_number() over (order by growth_revenue_1y) as rg, floor(0.05::DOUBLE * (count(*) over () - 1) + 0.5) as lo,
+@query("trim_outliers", """select ticker, roic between (select max(roic) from tr_b where rr = lo + 1) and (select max(roic) from tr_b where rr = hi + 1)
+          and growth_revenue_1y between (select max(growth_revenue_1y) from tr_b where rg = lo + 1) and (select max(growth_revenue_1y) from tr_b where rg = hi + 1) as kept from tr_b""",
+       {"tr_b": """select *, row_number() over (order by roic) as rr, row_number() over (order by growth_revenue_1y) as rg, floor(0.05::DOUBLE * (count(*) over () - 1) + 0.5) as lo,
                 floor(0.95::DOUBLE * (count(*) over () - 1) + 0.5) as hi from o_wide where year_index = 0 and roic is not null and growth_revenue_1y is not null"""})
 def trim_outliers(spark, sf):
     df = latest_wide(spark, sf).filter("roic is not null and growth_revenue_1y is not null").select("ticker", "roic", "growth_revenue_1y")

@@ -122,3 +122,17 @@ def snapshot_backtest(snapshots: DataFrame, prices: DataFrame, current: DataFram
     n = rows.count()
     k = 5 if n >= 50 else 4 if n >= 20 else 3
     return quantile_buckets(rows, [], "overall_score", "entity", k, distributed=distributed)
+
+
+def pit_prior_values(facts: DataFrame, dates: list[datetime.date], keys: list[str]) -> DataFrame:
+    """Per key and as-of date the value of the newest period of an earlier fiscal year than the newest one known.
+
+    Facts are reduced to one row per period end and date slot first; the two-step pick then runs over a key's few periods.
+    """
+    from pyspark.sql import Window
+
+    per_end = facts.withColumns({"_o": -F.col("ord"), "_l": -F.col("line")})
+    known = joins.asof_backward(per_end, dates, "filed", ["filed", "_o", "_l"], ["filed", "val"], [*keys, "end_date"])
+    newest = F.max(F.year("end_date")).over(Window.partitionBy(*keys, "as_of"))
+    earlier = known.withColumn("_y", newest).filter(F.year("end_date") < F.col("_y"))
+    return earlier.groupBy(*keys, "as_of").agg(F.max_by("val", "end_date").alias("val"))

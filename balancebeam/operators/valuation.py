@@ -83,7 +83,7 @@ def own_history_basis(history: DataFrame, today: DataFrame, anchors: DataFrame)
     values = based.select("ticker", *[c.alias(k) for k, c in _multiple_columns(F.col("float_value")).items()]).unpivot(["ticker"], list(MULTIPLES), "multiple", "today_value")
     multiples = own_history_multiples(history).filter(~ev_suppressed())
     dist = multiples.filter("value > 0").groupBy("ticker", "multiple").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DISTRIBUTION_YEARS)
-    counts = dist.join(values, ["ticker", "multiple"], "left").groupBy("ticker").agg(F.count(F.lit(1)).alias("distributions"), F.count_if("today_value > 0").alias("percentiles"))
+    counts = dist.join(values, ["ticker", "multiple"], "left").groupBy("ticker").agg(F.count(F.lit(1)).alias("distributions"), F.count_if(F.col("today_value") > 0).alias("percentiles"))
     out = based.join(counts, "ticker", "left")
     status = F.when(F.coalesce("distributions", F.lit(0)) == 0, "insufficient").when(F.col("percentiles") == 0, "not-comparable").otherwise("ok")
     return out.select("ticker", "factor", "anchor_year", "float_value", F.coalesce("distributions", F.lit(0)).alias("distributions"),

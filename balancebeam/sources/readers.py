@@ -35,7 +35,10 @@ def headlines_rss(df: DataFrame, keep: list[str]) -> DataFrame:
     """RSS text: <item> blocks with title, link and pubDate."""
     items = df.select(*keep, F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))).alias("_i"))
     tag = lambda t: F.trim(decode_entities(F.regexp_extract("_i", rf"(?s)<{t}>(.*?)</{t}>", 1)))
-    rows = items.select(*keep, tag("title").alias("_raw"), tag("link").alias("url"), F.try_to_timestamp(tag("pubDate"), F.lit("EEE, dd MMM yyyy HH:mm:ss z")).alias("published_at"))
+    # the weekday carries no information and Spark's parser does not read one
+    when = F.regexp_replace(tag("pubDate"), r"^[A-Za-z]{3},\s*", "")
+    at = F.coalesce(*[F.try_to_timestamp(when, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("z", "xx")])
+    rows = items.select(*keep, tag("title").alias("_raw"), tag("link").alias("url"), at.alias("published_at"))
     title, publisher = split_title(F.col("_raw"))
     return _complete(rows.select("*", title.alias("title"), F.coalesce(publisher, F.lit("News search")).alias("publisher")), keep)
 

@@ -8,7 +8,6 @@ from balancebeam.functions import dims
 from balancebeam.operators import capalloc, forensics, scenario, statements, strategies, valuation
 from catalog.base import bind, companies, query, tidy, wide_panel
 from catalog.ranking import category_scores
-from catalog.relational import tidy_cols
 from catalog.sql import quote, rnd, values
 
 BALANCE = ["cash", "receivables", "inventory", "total_current_assets", "total_assets", "accounts_payable", "total_current_liabilities", "total_debt", "long_term_debt",
@@ -134,10 +133,10 @@ def alloc(spark, sf):
     return capalloc.summary_rows(periods(spark, sf))
 
 
-@query("capalloc_balance_sheet", f"""select ticker, suppressed, {', '.join(f'case when not suppressed then {rnd(c, 4)} end as {c}' for c in ('net_debt', 'net_debt_start', 'leverage', 'coverage'))},
+@query("capalloc_balance_sheet", f"""select ticker, suppressed, {', '.join(f'case when not suppressed then {rnd(c)} end as {c}' for c in ('net_debt', 'net_debt_start', 'leverage', 'coverage'))},
         {', '.join(f'case when not suppressed then {c} end as {c}' for c in ('net_debt_trend', 'leverage_trend', 'coverage_trend'))} from k_b""", CAP)
 def capalloc_balance_sheet(spark, sf):
-    return tidy(capalloc.balance_sheet(alloc(spark, sf)), 4)
+    return tidy(capalloc.balance_sheet(alloc(spark, sf)))
 
 
 @query("capalloc_reinvestment", f"select ticker, {rnd('gross_profitability')} as gross_profitability, gross_profitability_trend, {rnd('incremental_return')} as incremental_return, incremental_status from k_g", CAP)
@@ -145,10 +144,10 @@ def capalloc_reinvestment(spark, sf):
     return tidy(capalloc.reinvestment(alloc(spark, sf)))
 
 
-@query("capalloc_distributions", f"""select ticker, flow_year, {rnd('net_buybacks', 4)} as net_buybacks, {rnd('dividends', 4)} as dividends, {rnd('distributed', 4)} as distributed,
-        {rnd('share_of_fcf', 4)} as share_of_fcf, beyond_fcf, {rnd('share_rate', 4)} as share_rate, share_trend from k_e""", CAP)
+@query("capalloc_distributions", f"""select ticker, flow_year, {rnd('net_buybacks')} as net_buybacks, {rnd('dividends')} as dividends, {rnd('distributed')} as distributed,
+        {rnd('share_of_fcf')} as share_of_fcf, beyond_fcf, {rnd('share_rate')} as share_rate, share_trend from k_e""", CAP)
 def capalloc_distributions(spark, sf):
-    return tidy(capalloc.distributions(alloc(spark, sf)), 4)
+    return tidy(capalloc.distributions(alloc(spark, sf)))
 
 
 @query("capalloc_summary", """select ticker, case when suppressed then 'suppressed' else net_debt_trend end as leverage_code, gross_profitability_trend as profitability_code,
@@ -192,12 +191,12 @@ def history(spark, sf):
     return bind(spark, sf, "fx_valuation_history")
 
 
-@query("normalized_earnings", f"""select ticker, status, years, {', '.join("case when status = 'ok' then " + rnd(e, 4) + f" end as {a}" for e, a in (('me', 'normalized_earnings'), ('le', 'latest_earnings')))},
-        case when status = 'ok' and me > 0 and cap > 0 then {rnd('cap / me', 4)} end as cape_ratio, case when status = 'ok' and me > 0 then {rnd('le / me', 4)} end as earnings_vs_normalized,
-        case when status = 'ok' and my >= 7 then {rnd('mm', 4)} end as normalized_margin, case when status = 'ok' then span > years end as has_gaps, case when status = 'ok' then losses end as loss_years,
+@query("normalized_earnings", f"""select ticker, status, years, {', '.join("case when status = 'ok' then " + rnd(e) + f" end as {a}" for e, a in (('me', 'normalized_earnings'), ('le', 'latest_earnings')))},
+        case when status = 'ok' and me > 0 and cap > 0 then {rnd('cap / me')} end as cape_ratio, case when status = 'ok' and me > 0 then {rnd('le / me')} end as earnings_vs_normalized,
+        case when status = 'ok' and my >= 7 then {rnd('mm')} end as normalized_margin, case when status = 'ok' then span > years end as has_gaps, case when status = 'ok' then losses end as loss_years,
         case when status = 'ok' then abs(drift) >= 0.15 end as share_drift from n_s""", VH)
 def normalized_earnings(spark, sf):
-    return tidy(valuation.normalized_earnings(history(spark, sf)), 4)
+    return tidy(valuation.normalized_earnings(history(spark, sf)))
 
 
 @query("own_history_multiples", f"select ticker, fiscal_year, multiple, {rnd('value')} as value from m_l", VH)
@@ -225,7 +224,7 @@ def own_history_percentile(spark, sf):
     return tidy(valuation.percentile_of_today(multiples, values_))
 
 
-@query("own_history_basis", f"""select ticker, {rnd('coalesce(ratio, case when is_float then 1 end)')} as factor, anchor_year, {rnd('fv2', 4)} as float_value, coalesce(distributions, 0) as distributions, coalesce(percentiles, 0) as percentiles,
+@query("own_history_basis", f"""select ticker, {rnd('coalesce(ratio, case when is_float then 1 end)')} as factor, anchor_year, {rnd('fv2')} as float_value, coalesce(distributions, 0) as distributions, coalesce(percentiles, 0) as percentiles,
         case when coalesce(distributions, 0) = 0 then 'insufficient' when percentiles = 0 then 'not-comparable' else 'ok' end as status from b_t left join b_c using (ticker)""", VH)
 def own_history_basis(spark, sf):
     c = companies(spark, sf).select("ticker", "p_partkey")
@@ -233,7 +232,7 @@ def own_history_basis(spark, sf):
     anchors = h.join(c, "ticker").filter((F.col("p_partkey") + F.col("fiscal_year")) % 3 == 0).select(
         "ticker", "fiscal_year", "float_as_of", F.date_add("float_as_of", ((F.col("p_partkey") + F.col("fiscal_year")) % 21).cast("int")).alias("market_cap_as_of"), "market_cap", "public_float")
     t = today(spark, sf).join(c, "ticker").withColumn("cap_is_float", F.col("p_partkey") % 13 == 0)
-    return tidy_cols(tidy(valuation.own_history_basis(h, t, anchors)), {"float_value": 4})
+    return tidy(valuation.own_history_basis(h, t, anchors))
 
 
 @query("win_discontinuity", f"""select ticker, fiscal_year, field, {rnd('change')} as change from (
@@ -285,9 +284,9 @@ def dcf_inputs(spark, sf):
     return valuation.reverse_dcf_inputs(companies(spark, sf), *three(spark, sf))
 
 
-@query("reverse_dcf_inputs", f"select ticker, {rnd('trailing_fcf', 4)} as trailing_fcf, fcf_basis, {rnd('net_debt', 4)} as net_debt, {rnd('ev', 4)} as enterprise_value, reason from i_r", DCF)
+@query("reverse_dcf_inputs", f"select ticker, {rnd('trailing_fcf')} as trailing_fcf, fcf_basis, {rnd('net_debt')} as net_debt, {rnd('ev')} as enterprise_value, reason from i_r", DCF)
 def reverse_dcf_inputs(spark, sf):
-    return tidy(dcf_inputs(spark, sf), 4)
+    return tidy(dcf_inputs(spark, sf))
 
 
 @query("reverse_dcf_grid", f"""select ticker, x.rate, {rnd('growth + 0.001::DOUBLE * (x - lo) / (hi - lo)')} as implied_growth from g_x x left join g_b b on b.rate = x.rate and hi is not null and x >= lo and (x < hi or (k = 1100 and x = hi))""", DCF)
@@ -314,12 +313,12 @@ TAXS = "case when income_tax_expense is not null and pretax_income > 0 then grea
 
 
 @query("growth_roic_series", f"""select ticker, fiscal_year, {rnd("case when fiscal_year - py = 1 and pr > 0 then revenue / pr - 1 end")} as revenue_growth, {rnd(f"case when guard is null then operating_income * (1 - {TAXS}) / ic end")} as roic,
-        {rnd('ic', 4)} as invested_capital, guard from (select *, case when ic is null then 'insufficient-data' when ic <= 0 or ic <= coalesce(total_assets * 0.1, 0) then 'reinvestment-base-too-small' end as guard
+        {rnd('ic')} as invested_capital, guard from (select *, case when ic is null then 'insufficient-data' when ic <= 0 or ic <= coalesce(total_assets * 0.1, 0) then 'reinvestment-base-too-small' end as guard
         from (select i.*, b.total_assets, b.total_equity + coalesce(b.total_debt, 0) - coalesce(b.cash, 0) as ic, lag(i.revenue) over w as pr, lag(i.fiscal_year) over w as py from fx_income i left join fx_balance b using (ticker, fiscal_year)
               window w as (partition by i.ticker order by i.fiscal_year)))""")
 def growth_roic_series(spark, sf):
     i, b, _ = three(spark, sf)
-    return tidy_cols(tidy(scenario.growth_roic_series(i, b)), {"invested_capital": 4})
+    return tidy(scenario.growth_roic_series(i, b))
 
 
 SCEN = {
@@ -356,10 +355,10 @@ def _ret(g, m, e):
     return f"(case when {g} > -1 and {m} >= 0 and {e} > 0 and rb > 0 then pow({_px(g, m, e)} / share_price, 1::DOUBLE / 5) - 1 end)"
 
 
-@query("scenario_sweep", f"""select ticker, scenario, {rnd('gg')} as growth, {rnd('mm')} as margin, {rnd('ee')} as exit_multiple, {rnd(_px('gg', 'mm', 'ee'), 4)} as implied_price, {rnd(_ret('gg', 'mm', 'ee'))} as annualized_return,
+@query("scenario_sweep", f"""select ticker, scenario, {rnd('gg')} as growth, {rnd('mm')} as margin, {rnd('ee')} as exit_multiple, {rnd(_px('gg', 'mm', 'ee'))} as implied_price, {rnd(_ret('gg', 'mm', 'ee'))} as annualized_return,
         null::VARCHAR as reason from s_c""", SCEN)
 def scenario_sweep(spark, sf):
-    return tidy_cols(tidy(scenario.scenario_sweep(bands(spark, sf))), {"implied_price": 4})
+    return tidy(scenario.scenario_sweep(bands(spark, sf)))
 
 
 SPREADS = {"growth_spread": (("growth_low", "m", "e"), ("growth_high", "m", "e")), "margin_spread": (("g", "margin_low", "e"), ("g", "margin_high", "e")),
@@ -426,9 +425,9 @@ def rows(spark, sf):
     return statements.statement_rows(bind(spark, sf, "fx_income"))
 
 
-@query("stmt_rows", f"select ticker, fiscal_year, line, line_no, indent, {rnd('value', 4)} as value from w_r", ROWS)
+@query("stmt_rows", f"select ticker, fiscal_year, line, line_no, indent, {rnd('value')} as value from w_r", ROWS)
 def stmt_rows(spark, sf):
-    return tidy(rows(spark, sf), 4)
+    return tidy(rows(spark, sf))
 
 
 @query("stmt_groups", "select ticker, line, line_no, indent, last_value(case when indent = 0 then line end ignore nulls) over (partition by ticker order by line_no) as parent from (select distinct ticker, line, line_no, indent from w_r)", ROWS)
@@ -466,9 +465,9 @@ def _bridge_sql():
     return " union all ".join(out)
 
 
-@query("income_waterfall", f"select ticker, fiscal_year, step, name, {rnd('base', 4)} as base, {rnd('value', 4)} as value, is_subtotal, {rnd('raw', 4)} as raw from ({_bridge_sql()})")
+@query("income_waterfall", f"select ticker, fiscal_year, step, name, {rnd('base')} as base, {rnd('value')} as value, is_subtotal, {rnd('raw')} as raw from ({_bridge_sql()})")
 def income_waterfall(spark, sf):
-    return tidy(statements.income_waterfall(bind(spark, sf, "fx_income")), 4)
+    return tidy(statements.income_waterfall(bind(spark, sf, "fx_income")))
 
 
 COMPARE = ["P00000001", "P00000002", "P00000005"]
@@ -483,8 +482,8 @@ def company_compare(spark, sf):
     return tidy(statements.company_compare(category_scores(spark, sf), headline_metrics(wide_panel(spark, sf)), COMPARE))
 
 
-@query("company_scale", f"""select y.ticker, y.fiscal_year, {rnd('revenue', 4)} as revenue, {rnd('net_income', 4)} as net_income, {rnd('free_cash_flow', 4)} as free_cash_flow, {rnd('total_assets', 4)} as total_assets, {rnd('c.market_cap', 4)} as market_cap
+@query("company_scale", f"""select y.ticker, y.fiscal_year, {rnd('revenue')} as revenue, {rnd('net_income')} as net_income, {rnd('free_cash_flow')} as free_cash_flow, {rnd('total_assets')} as total_assets, {rnd('c.market_cap')} as market_cap
         from (select ticker, max(fiscal_year) as fiscal_year from fx_income group by ticker) y left join fx_income i using (ticker, fiscal_year) left join fx_balance b using (ticker, fiscal_year)
         left join fx_cash_flow f using (ticker, fiscal_year) left join fx_companies c on c.ticker = y.ticker""")
 def company_scale(spark, sf):
-    return tidy(statements.company_scale(*three(spark, sf), companies(spark, sf)), 4)
+    return tidy(statements.company_scale(*three(spark, sf), companies(spark, sf)))

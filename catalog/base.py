@@ -36,7 +36,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
-            out.append(f"round(`{name}`, {digits}) + 0D as `{name}`")
+            out.append(f"floor(`{name}` * 1e{digits}D + 0.5D) / 1e{digits}D as `{name}`")
         elif kind in ("int", "smallint", "tinyint") or kind.startswith("decimal"):
             out.append(f"cast(`{name}` as bigint) as `{name}`")
         else:

@@ -15,7 +15,7 @@ from balancebeam.sources import readers, sinks
 from balancebeam.streaming import incremental
 from catalog.base import bind, companies, daily_prices, query, table, tidy, wide_panel
 from catalog.ranking import KEYS, _unit, ranked
-from catalog.relational import ASOF, D, tidy_cols
+from catalog.relational import ASOF, D
 from catalog.sql import quote, rnd
 
 PRICE = "fx_trade_prices"
@@ -45,23 +45,23 @@ def fact_annual_filter(spark, sf):
     return tidy(facts.annual_filter(fx(spark, sf)).select("entity", "ord", "line", "tag", "end_date"))
 
 
-@query("fact_latest_filed", f"select entity, end_date, tag, filed, {rnd('val', 2)} as val from c_latest", FACTS)
+@query("fact_latest_filed", f"select entity, end_date, tag, filed, {rnd('val')} as val from c_latest", FACTS)
 def fact_latest_filed(spark, sf):
-    return tidy(facts.latest_filed(fx(spark, sf)).select("entity", "end_date", "tag", "filed", "val"), 2)
+    return tidy(facts.latest_filed(fx(spark, sf)).select("entity", "end_date", "tag", "filed", "val"))
 
 
-@query("fact_tag_fallback", f"select entity, end_date, tag, filed, {rnd('val', 2)} as val from c_first", FACTS)
+@query("fact_tag_fallback", f"select entity, end_date, tag, filed, {rnd('val')} as val from c_first", FACTS)
 def fact_tag_fallback(spark, sf):
-    return tidy(facts.tag_fallback(fx(spark, sf)).select("entity", "end_date", "tag", "filed", "val"), 2)
+    return tidy(facts.tag_fallback(fx(spark, sf)).select("entity", "end_date", "tag", "filed", "val"))
 
 
 def yearly(spark, sf, n=4):
     return facts.to_fiscal_year(facts.tag_fallback(fx(spark, sf)), n)
 
 
-@query("fact_to_fiscal_year", f"select entity, fiscal_year, {rnd('val', 2)} as val from c_years", FACTS)
+@query("fact_to_fiscal_year", f"select entity, fiscal_year, {rnd('val')} as val from c_years", FACTS)
 def fact_to_fiscal_year(spark, sf):
-    return tidy(yearly(spark, sf).select("entity", "fiscal_year", "val"), 2)
+    return tidy(yearly(spark, sf).select("entity", "fiscal_year", "val"))
 
 
 @query("fact_provenance", "select entity, string_agg(tag, ',' order by tag_priority) as tags from (select distinct entity, tag, tag_priority from c_years) group by entity", FACTS)
@@ -91,28 +91,28 @@ def concept_years(spark, sf, names, n=99):
     return facts.to_fiscal_year(facts.latest_filed(rows, ("entity", "concept")), n, ("entity", "concept"))
 
 
-@query("build_income", f"""select entity, fiscal_year, {rnd('revenue', 2)} as revenue, {rnd('revenue - total_equity', 2)} as gross_profit, {rnd('net_income', 2)} as net_income from
+@query("build_income", f"""select entity, fiscal_year, {rnd('revenue')} as revenue, {rnd('revenue - total_equity')} as gross_profit, {rnd('net_income')} as net_income from
         (select *, bool_or(revenue is not null) over (partition by entity) as r from c_wide) where case when r then revenue is not null else net_income is not null end""", FACTS)
 def build_income(spark, sf):
     rows = concept_years(spark, sf, ("revenue", "net_income", "cost_of_revenue"))
     wide = facts.pivot_concepts(rows, ["revenue", "net_income", "cost_of_revenue", "gross_profit", "operating_income"])
-    return tidy(facts.build_income(wide).select("entity", "fiscal_year", "revenue", "gross_profit", "net_income"), 2)
+    return tidy(facts.build_income(wide).select("entity", "fiscal_year", "revenue", "gross_profit", "net_income"))
 
 
-@query("build_balance", f"""select entity, fiscal_year, {rnd('revenue', 2)} as total_assets, {rnd('net_income', 2)} as total_equity, {rnd('net_income - coalesce(total_equity, 0)', 2)} as tangible_book from
+@query("build_balance", f"""select entity, fiscal_year, {rnd('revenue')} as total_assets, {rnd('net_income')} as total_equity, {rnd('net_income - coalesce(total_equity, 0)')} as tangible_book from
         (select *, bool_or(revenue is not null) over (partition by entity) as r from c_wide) where case when r then revenue is not null else net_income is not null end""", FACTS)
 def build_balance(spark, sf):
     rows = concept_years(spark, sf, ("total_assets", "total_equity", "goodwill"))
     wide = facts.pivot_concepts(rows, ["total_assets", "total_equity", "goodwill", "intangibles", "total_debt"])
-    return tidy(facts.build_balance(wide).select("entity", "fiscal_year", "total_assets", "total_equity", "tangible_book"), 2)
+    return tidy(facts.build_balance(wide).select("entity", "fiscal_year", "total_assets", "total_equity", "tangible_book"))
 
 
-@query("build_cash_flow", f"""select entity, fiscal_year, {rnd('revenue', 2)} as operating_cash_flow, {rnd('-abs(net_income)', 2)} as capex, {rnd('-abs(total_equity)', 2)} as dividends_paid,
-        {rnd('revenue - abs(net_income)', 2)} as free_cash_flow from c_wide where revenue is not null""", FACTS)
+@query("build_cash_flow", f"""select entity, fiscal_year, {rnd('revenue')} as operating_cash_flow, {rnd('-abs(net_income)')} as capex, {rnd('-abs(total_equity)')} as dividends_paid,
+        {rnd('revenue - abs(net_income)')} as free_cash_flow from c_wide where revenue is not null""", FACTS)
 def build_cash_flow(spark, sf):
     rows = concept_years(spark, sf, ("operating_cash_flow", "capex", "dividends_paid"))
     wide = facts.pivot_concepts(rows, ["operating_cash_flow", "capex", "dividends_paid", "stock_buybacks"])
-    return tidy(facts.build_cash_flow(wide).drop("stock_buybacks"), 2)
+    return tidy(facts.build_cash_flow(wide).drop("stock_buybacks"))
 
 
 @query("build_statements_quarterly", """select l_partkey as entity, year(l_shipdate) || (case when l_linestatus = 'O' then '-Q' || quarter(l_shipdate) else '-FY' end) as period_key, year(l_shipdate) as fiscal_year, count(*) as n
@@ -122,33 +122,33 @@ def build_statements_quarterly(spark, sf):
     return tidy(facts.build_quarterly(rows).groupBy("entity", "period_key", "fiscal_year").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("annual_fundamentals", f"""select entity, fiscal_year, {rnd('revenue', 2)} as revenue, {rnd('net_income', 2)} as net_income, {rnd('total_equity', 2)} as total_equity,
+@query("annual_fundamentals", f"""select entity, fiscal_year, {rnd('revenue')} as revenue, {rnd('net_income')} as net_income, {rnd('total_equity')} as total_equity,
         (select make_date(w.fiscal_year, 12, 31)) as period_end from c_wide w qualify row_number() over (partition by entity order by fiscal_year desc) <= 5""", FACTS)
 def annual_fundamentals(spark, sf):
     names = ["revenue", "net_income", "total_equity"]
     f = fx(spark, sf)
     out = facts.annual_fundamentals(concept_years(spark, sf, names), f.filter("start_date is not null"), f.filter("start_date is null"), names, 5)
-    return tidy(out, 2)
+    return tidy(out)
 
 
-@query("public_float_history", f"""select entity, fiscal_year, as_of, {rnd('val', 2)} as public_float from (select *, year(end_date) as fiscal_year, end_date as as_of from fx_facts where val > 0 and val <= 60000 and form = '10-K'
+@query("public_float_history", f"""select entity, fiscal_year, as_of, {rnd('val')} as public_float from (select *, year(end_date) as fiscal_year, end_date as as_of from fx_facts where val > 0 and val <= 60000 and form = '10-K'
         qualify row_number() over (partition by entity, year(end_date) order by end_date desc, filed desc, ord, line) = 1) qualify row_number() over (partition by entity order by fiscal_year desc) <= 3""")
 def public_float_history(spark, sf):
     f = fx(spark, sf).withColumn("fy", F.lit(None).cast("int"))
-    return tidy(facts.public_float_history(f, F.col("val") <= 60000, 3), 2)
+    return tidy(facts.public_float_history(f, F.col("val") <= 60000, 3))
 
 
-@query("approx_market_value", f"""select f.entity, {rnd('f.val', 2)} as public_float, f.end_date as public_float_as_of, {rnd('s.val', 2)} as shares, {rnd('r.val', 2)} as revenue, r.val is not null as has_operating_financials from
+@query("approx_market_value", f"""select f.entity, {rnd('f.val')} as public_float, f.end_date as public_float_as_of, {rnd('s.val')} as shares, {rnd('r.val')} as revenue, r.val is not null as has_operating_financials from
         (select * from fx_facts where tag = 'N' and form = '10-K' qualify row_number() over (partition by entity order by filed desc, tag_priority, ord, line) = 1) f
         left join (select * from fx_facts where tag = 'A' and form = '10-K' qualify row_number() over (partition by entity order by filed desc, tag_priority, ord, line) = 1) s using (entity)
         left join (select entity, arg_max(val, end_date) as val from (select * from c_pick where tag = 'R') group by entity) r using (entity)""", FACTS)
 def approx_market_value(spark, sf):
     f = fx(spark, sf).filter("form = '10-K'")
     revenue = facts.annual_filter(f.filter("tag = 'R'"))
-    return tidy(facts.approx_market_value(f.filter("tag = 'N'"), f.filter("tag = 'A'"), revenue, revenue), 2)
+    return tidy(facts.approx_market_value(f.filter("tag = 'N'"), f.filter("tag = 'A'"), revenue, revenue))
 
 
-@query("valuation_history_build", f"""select ticker, fiscal_year, float_as_of, {rnd('public_float', 2)} as public_float, {rnd('revenue', 4)} as revenue from (
+@query("valuation_history_build", f"""select ticker, fiscal_year, float_as_of, {rnd('public_float')} as public_float, {rnd('revenue')} as revenue from (
           select v.ticker, y.fiscal_year, v.float_as_of, v.public_float, y.revenue, row_number() over (partition by v.ticker, v.float_as_of order by y.period_end) as k
           from (select *, public_float * (case when fiscal_year = 1997 then 1000 else 1 end) as pf from fx_valuation_history) v0
           join (select ticker, float_as_of, pf as public_float from (select *, public_float * (case when fiscal_year = 1997 then 1000 else 1 end) as pf from fx_valuation_history)) v on v.ticker = v0.ticker and v.float_as_of = v0.float_as_of
@@ -159,7 +159,7 @@ def valuation_history_build(spark, sf):
     floats = v.select("ticker", "float_as_of", F.col("fiscal_year").alias("float_year"), (F.col("public_float") * F.when(F.col("fiscal_year") == 1997, 1000).otherwise(1)).alias("public_float"))
     years = bind(spark, sf, "fx_income").select("ticker", "fiscal_year", "period_end", "revenue", "net_income", "operating_income", F.lit(None).cast("double").alias("total_equity"))
     out = facts.valuation_history_build(floats, years)
-    return tidy_cols(tidy(out.select("ticker", "fiscal_year", "float_as_of", "public_float", "revenue")), {"public_float": 2, "revenue": 4})
+    return tidy(out.select("ticker", "fiscal_year", "float_as_of", "public_float", "revenue"))
 
 
 @query("cik_override", "select ticker, case when p_partkey % 50 = 0 then -p_partkey else cik end as cik from fx_companies")
@@ -181,7 +181,7 @@ def _fact_json():
     return one
 
 
-@query("src_facts_explode", f"select entity, tag, unit, start_date, end_date, {rnd('val', 2)} as val, form, filed from (select *, case when tag = 'N' then 'USD' when tag = 'A' then 'shares' end as unit from fx_facts) where unit is not null")
+@query("src_facts_explode", f"select entity, tag, unit, start_date, end_date, {rnd('val')} as val, form, filed from (select *, case when tag = 'N' then 'USD' when tag = 'A' then 'shares' end as unit from fx_facts) where unit is not null")
 def src_facts_explode(spark, sf):
     # one document per line: the nested shape with a non-array unit (an empty object) and two units of which the first by priority counts
     arr = F.to_json(F.array(_fact_json()))
@@ -192,25 +192,25 @@ def src_facts_explode(spark, sf):
     )
     docs = fx(spark, sf).select("entity", body.alias("json"))
     out = facts.explode_companyfacts(docs, "entity")
-    return tidy(out.select("entity", "tag", "unit", "start_date", "end_date", "val", "form", "filed"), 2)
+    return tidy(out.select("entity", "tag", "unit", "start_date", "end_date", "val", "form", "filed"))
 
 
 # --- prices ----------------------------------------------------------------------------------------------------------------------
 
 
-@query("src_prices", f"select user_id as entity, ts::DATE as date, {rnd('value', 4)} as close from events where event_id % 9 <> 0")
+@query("src_prices", f"select user_id as entity, ts::DATE as date, {rnd('value')} as close from events where event_id % 9 <> 0")
 def src_prices(spark, sf):
     ev = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     close = F.when(F.col("event_id") % 9 == 0, F.lit(None)).otherwise(F.col("value"))
     charts = ev.groupBy(F.col("user_id").alias("entity"), "day").agg(F.collect_list(F.struct(F.unix_timestamp("ts").alias("t"), F.coalesce(close, F.lit(float("nan"))).alias("c"))).alias("p"))
     charts = charts.select("entity", F.transform("p", lambda x: x["t"]).alias("timestamps"), F.transform("p", lambda x: x["c"]).alias("closes"))
-    return tidy(prices.explode_chart(charts), 4)
+    return tidy(prices.explode_chart(charts))
 
 
-@query("inc_daily_quote", f"select entity, date, {rnd('close', 4)} as close from fx_daily_prices")
+@query("inc_daily_quote", f"select entity, date, {rnd('close')} as close from fx_daily_prices")
 def inc_daily_quote(spark, sf):
     ticks = table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    return tidy(incremental.daily_quotes(ticks), 4)
+    return tidy(incremental.daily_quotes(ticks))
 
 
 @query("win_moving_avg", f"""select entity, date, {', '.join(rnd(f'case when row_number() over w >= {n} then avg(close) over (partition by entity order by date rows between {n - 1} preceding and current row) end') + f' as ma_{n}' for n in (5, 15))}
@@ -259,7 +259,7 @@ _l = lambda words: ", ".join(quote(w) for w in sorted(words))
 TEXT = {
     "x_tok": r"select doc_id, ticker, source, w.t[i] as token, i - 1 as pos, w.t[greatest(i - 3, 1):i - 1] as before from (select doc_id, ticker, source, regexp_extract_all(lower(title), '[a-z'']+(?:-[a-z'']+)?') as t from fx_headlines) w, lateral (select unnest(range(1, len(w.t) + 1)) as i)",
     "x_hit": f"select *, (token in ({_l(LEX.positive)})) as good, (token in ({_l(LEX.negative)})) as bad, list_has_any(before, [{_l(LEX.negation)}]) as neg from x_tok where token in ({_l(LEX.positive | LEX.negative)})",
-    "x_doc": "select h.doc_id, h.ticker, h.source, count_if(case when neg then bad else good end) as p, count_if(not (case when neg then bad else good end)) as n from fx_headlines h left join x_hit using (doc_id) group by all",
+    "x_doc": "select h.doc_id, h.ticker, h.source, count(*) filter (where case when neg then bad else good end) as p, count(*) filter (where token is not null and not (case when neg then bad else good end)) as n from fx_headlines h left join x_hit using (doc_id) group by all",
     "x_s": "select *, case when p + n = 0 then 0::DOUBLE else (p - n) / (p + n)::DOUBLE end as score from x_doc",
     "x_src": "select ticker, source, (avg(score) + 1) * 50 as score, count(*) as article_count, count_if(score > 0.15) as positive_count, count_if(score < -0.15) as negative_count from x_s group by all",
     "x_agg": "select ticker, sum((score / 50 - 1) * article_count) / sum(article_count) as raw, sum(article_count)::BIGINT as article_count, sum(positive_count)::BIGINT as positive_count, sum(negative_count)::BIGINT as negative_count from x_src where source <> (select min(source) from x_src) group by ticker",
@@ -411,9 +411,9 @@ def pit_dates(spark, sf):
     return span.select(F.explode(F.sequence("a", "b", F.expr("interval 3 months"))).alias("as_of"))
 
 
-@query("pit_value_asof", f"select entity, tag, as_of, end_date, filed, {rnd('val', 2)} as val from v_v", PIT)
+@query("pit_value_asof", f"select entity, tag, as_of, end_date, filed, {rnd('val')} as val from v_v", PIT)
 def pit_value_asof(spark, sf):
-    return tidy(backtest.pit_values(fx(spark, sf).filter("form = '10-K'"), ASOF, ["entity", "tag"]), 2)
+    return tidy(backtest.pit_values(fx(spark, sf).filter("form = '10-K'"), ASOF, ["entity", "tag"]))
 
 
 PIT_KEYS = [k for k, _, _ in backtest.PIT_REGISTRY]
@@ -572,12 +572,12 @@ def _scratch(spark) -> str:
     return f"{base}/sink-{uuid.uuid4().hex}"
 
 
-@query("snk_market_data", f"select entity, date, {rnd('close', 4)} as close from fx_daily_prices")
+@query("snk_market_data", f"select entity, date, {rnd('close')} as close from fx_daily_prices")
 def snk_market_data(spark, sf):
     path = _scratch(spark)
     ticks = table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.to_date("ts").alias("date"), "ts", "event_id", F.col("value").alias("close"))
     sinks.overwrite_days(sinks.latest_per_key(ticks, ["entity", "date"], ["ts", "event_id"]).select("entity", "date", "close"), path)
-    return tidy(spark.read.parquet(path).select("entity", "date", "close"), 4)
+    return tidy(spark.read.parquet(path).select("entity", "date", "close"))
 
 
 @query("snk_rankings", f"select ticker, overall_rank, {rnd('overall_score')} as overall_score, date '2002-01-02' as date from o_rank")

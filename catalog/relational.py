@@ -26,9 +26,9 @@ def newest(name, n):
     return f"(select * from (select *, row_number() over (partition by ticker order by fiscal_year desc) as k from {name}) where k <= {n})"
 
 
-@query("src_statements", f"select ticker, fiscal_year, {rnd('revenue', 4)} as revenue from {newest('fx_income', 5)}")
+@query("src_statements", f"select ticker, fiscal_year, {rnd('revenue')} as revenue from {newest('fx_income', 5)}")
 def src_statements(spark, sf):
-    return tidy(newest_years(bind(spark, sf, "fx_income"), 5).select("ticker", "fiscal_year", "revenue"), 4)
+    return tidy(newest_years(bind(spark, sf, "fx_income"), 5).select("ticker", "fiscal_year", "revenue"))
 
 
 @query("topk_per_entity", "select ticker, fiscal_year from " + newest("fx_cash_flow", 3))
@@ -36,25 +36,25 @@ def topk_per_entity(spark, sf):
     return tidy(newest_years(bind(spark, sf, "fx_cash_flow"), 3).select("ticker", "fiscal_year"))
 
 
-@query("join_statements_inner", f"""select i.ticker, i.fiscal_year, {rnd('i.revenue', 4)} as revenue, {rnd('b.total_assets', 4)} as total_assets, {rnd('c.free_cash_flow', 4)} as free_cash_flow
+@query("join_statements_inner", f"""select i.ticker, i.fiscal_year, {rnd('i.revenue')} as revenue, {rnd('b.total_assets')} as total_assets, {rnd('c.free_cash_flow')} as free_cash_flow
         from {newest('fx_income', 6)} i join {newest('fx_balance', 6)} b using (ticker, fiscal_year) join {newest('fx_cash_flow', 6)} c using (ticker, fiscal_year)
         qualify row_number() over (partition by i.ticker order by i.fiscal_year desc) <= 6""")
 def join_statements_inner(spark, sf):
-    return tidy(joins.statements_inner(*statements(spark, sf)).select("ticker", "fiscal_year", "revenue", "total_assets", "free_cash_flow"), 4)
+    return tidy(joins.statements_inner(*statements(spark, sf)).select("ticker", "fiscal_year", "revenue", "total_assets", "free_cash_flow"))
 
 
-@query("join_statements_outer", f"""select ticker, fiscal_year, {rnd('i.revenue', 4)} as revenue, {rnd('b.total_assets', 4)} as total_assets, {rnd('c.free_cash_flow', 4)} as free_cash_flow
+@query("join_statements_outer", f"""select ticker, fiscal_year, {rnd('i.revenue')} as revenue, {rnd('b.total_assets')} as total_assets, {rnd('c.free_cash_flow')} as free_cash_flow
         from fx_income i full join fx_balance b using (ticker, fiscal_year) full join fx_cash_flow c using (ticker, fiscal_year)""")
 def join_statements_outer(spark, sf):
-    return tidy(joins.statements_outer(*statements(spark, sf)).select("ticker", "fiscal_year", "revenue", "total_assets", "free_cash_flow"), 4)
+    return tidy(joins.statements_outer(*statements(spark, sf)).select("ticker", "fiscal_year", "revenue", "total_assets", "free_cash_flow"))
 
 
-@query("join_lookup_left", f"""select i.ticker, fiscal_year, {rnd('b.total_debt', 4)} as total_debt, c.sector, c.company_name
+@query("join_lookup_left", f"""select i.ticker, fiscal_year, {rnd('b.total_debt')} as total_debt, c.sector, c.company_name
         from fx_income i left join fx_balance b using (ticker, fiscal_year) left join fx_companies c on c.ticker = i.ticker""")
 def join_lookup_left(spark, sf):
     income, balance, _ = statements(spark, sf)
     out = income.select("ticker", "fiscal_year").join(balance.select("ticker", "fiscal_year", "total_debt"), ["ticker", "fiscal_year"], "left")
-    return tidy(out.join(companies(spark, sf).select("ticker", "sector", "company_name"), "ticker", "left"), 4)
+    return tidy(out.join(companies(spark, sf).select("ticker", "sector", "company_name"), "ticker", "left"))
 
 
 FLOATS = {"r_floats": "select l_partkey, o_orderkey, o_orderdate::DATE as float_as_of, year(o_orderdate) as float_year from orders join lineitem on l_orderkey = o_orderkey and l_linenumber = 1",
@@ -155,17 +155,17 @@ def anti_non_operating(spark, sf):
     return screens.non_operating(companies(spark, sf), bind(spark, sf, "fx_income").filter("fiscal_year >= 2001")).select("ticker")
 
 
-@query("join_self_lag", f"""select ticker, fiscal_year, {rnd('lead(revenue, 2) over (partition by ticker order by fiscal_year desc)', 4)} as revenue_2 from fx_income""")
+@query("join_self_lag", f"""select ticker, fiscal_year, {rnd('lead(revenue, 2) over (partition by ticker order by fiscal_year desc)')} as revenue_2 from fx_income""")
 def join_self_lag(spark, sf):
     w = Window.partitionBy("ticker").orderBy(F.desc("fiscal_year"))
-    return tidy(bind(spark, sf, "fx_income").select("ticker", "fiscal_year", F.lead("revenue", 2).over(w).alias("revenue_2")), 4)
+    return tidy(bind(spark, sf, "fx_income").select("ticker", "fiscal_year", F.lead("revenue", 2).over(w).alias("revenue_2")))
 
 
-@query("cross_sweep", f"select ticker, rate, {rnd('market_cap * rate', 4)} as required from fx_companies, (values (0.08::DOUBLE), (0.1::DOUBLE), (0.12::DOUBLE)) v(rate)")
+@query("cross_sweep", f"select ticker, rate, {rnd('market_cap * rate')} as required from fx_companies, (values (0.08::DOUBLE), (0.1::DOUBLE), (0.12::DOUBLE)) v(rate)")
 def cross_sweep(spark, sf):
     rates = spark.createDataFrame([(0.08,), (0.1,), (0.12,)], "rate double")
     out = joins.cross_sweep(companies(spark, sf).select("ticker", "market_cap"), rates)
-    return tidy(out.select("ticker", "rate", (F.col("market_cap") * F.col("rate")).alias("required")), 4)
+    return tidy(out.select("ticker", "rate", (F.col("market_cap") * F.col("rate")).alias("required")))
 
 
 # --- aggregations ----------------------------------------------------------------------------------------------------------------
@@ -177,18 +177,15 @@ def agg_weighted_avg(spark, sf):
     return tidy(p.groupBy("sector").agg(F.try_divide(F.sum(F.col("revenue") * (F.col("net_income") / F.col("revenue"))), F.sum("revenue")).alias("margin")))
 
 
-@query("agg_mean_sd_cv", f"select ticker, {rnd('avg(net_income)', 4)} as mean, {rnd('stddev_samp(net_income)', 4)} as sd, "
+@query("agg_mean_sd_cv", f"select ticker, {rnd('avg(net_income)')} as mean, {rnd('stddev_samp(net_income)')} as sd, "
                          f"{rnd('case when avg(net_income) <> 0 then stddev_samp(net_income) / abs(avg(net_income)) end')} as cv from fx_panel group by ticker")
 def agg_mean_sd_cv(spark, sf):
     from balancebeam.functions.scalars import coefficient_of_variation
 
     g = bind(spark, sf, "fx_panel").groupBy("ticker").agg(F.avg("net_income").alias("mean"), F.stddev_samp("net_income").alias("sd"))
-    return tidy_cols(g.withColumn("cv", coefficient_of_variation("mean", "sd")), {"mean": 4, "sd": 4, "cv": 6})
+    return tidy(g.withColumn("cv", coefficient_of_variation("mean", "sd")))
 
 
-def tidy_cols(df, digits):
-    return df.select(*[(F.round(c, digits[c]) + F.lit(0.0)).alias(c) if c in digits else F.col(c) for c in df.columns])
-
 
 @query("agg_quantiles_r7", f"""select ticker, count(*) as n, {', '.join(rnd(f"case when count(*) >= 5 then quantile_cont(r, {p}) end") + f' as {a}' for a, p in
         (('q1', 0.25), ('median', 0.5), ('q3', 0.75), ('lowest', 0.0), ('highest', 1.0)))} from (select ticker, market_cap / net_income as r from fx_panel where net_income > 0) group by ticker""")
@@ -204,12 +201,12 @@ def agg_median(spark, sf):
     return tidy(bind(spark, sf, "fx_panel").groupBy("ticker").agg(F.median("revenue").alias("median_revenue")))
 
 
-@query("agg_upper_median", f"""select fiscal_year, {rnd('max(case when r = n // 2 + 1 then revenue end)', 4)} as upper_median from
+@query("agg_upper_median", f"""select fiscal_year, {rnd('max(case when r = n // 2 + 1 then revenue end)')} as upper_median from
         (select fiscal_year, revenue, row_number() over (partition by fiscal_year order by revenue) as r, count(*) over (partition by fiscal_year) as n from fx_panel) group by fiscal_year""")
 def agg_upper_median(spark, sf):
     from balancebeam.operators.backtest import upper_median
 
-    return tidy(upper_median(bind(spark, sf, "fx_panel"), ["fiscal_year"], "revenue", "ticker").withColumnRenamed("median", "upper_median"), 4)
+    return tidy(upper_median(bind(spark, sf, "fx_panel"), ["fiscal_year"], "revenue", "ticker").withColumnRenamed("median", "upper_median"))
 
 
 @query("agg_pearson", f"select sector, {rnd('corr(revenue, net_income)')} as r from fx_panel group by sector")
@@ -234,10 +231,10 @@ def ranked_companies(spark, sf):
     return ranked(spark, sf).drop("sector").join(companies(spark, sf).select("ticker", "sector", "market_cap", "country", "company_name", "cik"), "ticker")
 
 
-@query("sector_rollup", f"""select s.sector, count(r.ticker) as n, {rnd('avg(overall_score)')} as mean_score, {rnd('coalesce(sum(market_cap), 0)', 2)} as total_cap
+@query("sector_rollup", f"""select s.sector, count(r.ticker) as n, {rnd('avg(overall_score)')} as mean_score, {rnd('coalesce(sum(market_cap), 0)')} as total_cap
         from d_sectors s left join {R} r using (sector) group by s.sector""")
 def sector_rollup(spark, sf):
-    return tidy_cols(tidy(screens.sector_rollup(ranked_companies(spark, sf))), {"total_cap": 2})
+    return tidy(screens.sector_rollup(ranked_companies(spark, sf)))
 
 
 @query("sector_category_heatmap", f"""select s.sector, c.category, {rnd('avg(k.score) * 100')} as mean_score from d_sectors s cross join d_categories c
@@ -280,21 +277,21 @@ def win_year_index(spark, sf):
 SERIES6 = "(select * from (select *, row_number() over (partition by ticker order by fiscal_year desc) as k from fx_panel) where k <= 6)"
 
 
-@query("win_lookback", f"select ticker, fiscal_year, {rnd('lead(revenue, 1) over w', 4)} as r1, {rnd('lead(revenue, 3) over w', 4)} as r3, {rnd('lead(revenue, 5) over w', 4)} as r5 "
+@query("win_lookback", f"select ticker, fiscal_year, {rnd('lead(revenue, 1) over w')} as r1, {rnd('lead(revenue, 3) over w')} as r3, {rnd('lead(revenue, 5) over w')} as r5 "
                        f"from {SERIES6} window w as (partition by ticker order by fiscal_year desc)")
 def win_lookback(spark, sf):
     w = Window.partitionBy("ticker").orderBy(F.desc("fiscal_year"))
     p = newest_years(bind(spark, sf, "fx_panel"), 6)
-    return tidy(p.select("ticker", "fiscal_year", *[F.lead("revenue", k).over(w).alias(f"r{k}") for k in (1, 3, 5)]), 4)
+    return tidy(p.select("ticker", "fiscal_year", *[F.lead("revenue", k).over(w).alias(f"r{k}") for k in (1, 3, 5)]))
 
 
-@query("win_trailing_series", f"select ticker, fiscal_year, {rnd('avg(net_income) over o', 4)} as mean_older, {rnd('avg(net_income) over f', 4)} as mean_5 from {SERIES6} "
+@query("win_trailing_series", f"select ticker, fiscal_year, {rnd('avg(net_income) over o')} as mean_older, {rnd('avg(net_income) over f')} as mean_5 from {SERIES6} "
        "window o as (partition by ticker order by fiscal_year desc rows between current row and unbounded following), f as (partition by ticker order by fiscal_year desc rows between current row and 4 following)")
 def win_trailing_series(spark, sf):
     w = Window.partitionBy("ticker").orderBy(F.desc("fiscal_year"))
     p = newest_years(bind(spark, sf, "fx_panel"), 6)
     return tidy(p.select("ticker", "fiscal_year", F.avg("net_income").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("mean_older"),
-                         F.avg("net_income").over(w.rowsBetween(0, 4)).alias("mean_5")), 4)
+                         F.avg("net_income").over(w.rowsBetween(0, 4)).alias("mean_5")))
 
 
 @query("win_yoy_calendar", f"""select ticker, fiscal_year, {rnd("case when fiscal_year - lag(fiscal_year) over w = 1 then total_assets / nullif(lag(total_assets) over w, 0) - 1 end")} as growth
@@ -343,12 +340,12 @@ def quote_inputs(spark, sf):
 
 
 @query("resolve_quote", f"""select ticker, case when use_live then date '2002-01-02' else date '2001-06-30' end as date, {rnd('case when use_live then live_price else public_float / nullif(float_shares, 0) end')} as share_price,
-        {rnd('case when use_live then live_cap else public_float end', 4)} as market_cap,
-        {rnd('case when (case when use_live then live_cap else public_float end) > 0 then (case when use_live then live_cap else public_float end) + coalesce(total_debt, 0) - coalesce(cash, 0) end', 4)} as enterprise_value,
-        {rnd('case when use_live then shares else float_shares end', 4)} as shares_outstanding, case when use_live then 'live' else 'sec_public_float' end as price_source from r_s where use_live or use_float""", QUOTES)
+        {rnd('case when use_live then live_cap else public_float end')} as market_cap,
+        {rnd('case when (case when use_live then live_cap else public_float end) > 0 then (case when use_live then live_cap else public_float end) + coalesce(total_debt, 0) - coalesce(cash, 0) end')} as enterprise_value,
+        {rnd('case when use_live then shares else float_shares end')} as shares_outstanding, case when use_live then 'live' else 'sec_public_float' end as price_source from r_s where use_live or use_float""", QUOTES)
 def resolve_quote(spark, sf):
     out = tidy(screens.resolve_quote(*quote_inputs(spark, sf)))
-    return tidy_cols(out, {"market_cap": 4, "enterprise_value": 4, "shares_outstanding": 4})
+    return tidy(out)
 
 
 def candidates(spark, sf):
@@ -362,14 +359,14 @@ CAND = {"r_cand": """select c.ticker || (case when p_partkey % 10 = 8 then '-B'
                      from fx_companies c left join (select ticker, arg_max(revenue, fiscal_year) as rev from fx_panel group by ticker) using (ticker)"""}
 
 
-@query("universe_screen", f"""select ticker, cik, {rnd('public_float', 2)} as public_float, case when public_float >= 4.9e9 then 'large' else 'mid' end as market_cap_tier from (
+@query("universe_screen", f"""select ticker, cik, {rnd('public_float')} as public_float, case when public_float >= 4.9e9 then 'large' else 'mid' end as market_cap_tier from (
           select *, row_number() over (partition by cik order by regexp_matches(ticker, '[-.]'), length(ticker), ticker) as k from r_cand
           where public_float >= 4.52e9 and public_float <= 1e13 and not coalesce(revenue > 0 and public_float > 100 * revenue, false) and has_operating_financials
             and cik not in (select cik from fx_companies where p_size % 10 = 0)) where k = 1""", CAND)
 def universe_screen(spark, sf):
     present = companies(spark, sf).filter("p_size % 10 = 0").select("cik")
     out = screens.universe_screen(candidates(spark, sf), present, min_float=4.52e9, large=4.9e9)
-    return tidy(out.select("ticker", "cik", "public_float", "market_cap_tier"), 2)
+    return tidy(out.select("ticker", "cik", "public_float", "market_cap_tier"))
 
 
 @query("dedupe_primary_ticker", "select ticker, cik, k > 1 as superseded from (select *, row_number() over (partition by cik order by regexp_matches(ticker, '[-.]'), length(ticker), ticker) as k from r_cand)", CAND)
@@ -424,12 +421,12 @@ def screen_formula(spark, sf):
     return df.filter((c(screens.resolve_field(df, "PeTtm"), "<", 30) & c("roic", ">", 5 * screens.PERCENT)) | ~c("interest_coverage", ">", 2)).select("ticker")
 
 
-@query("screen_context", f"""select w.ticker, {rnd('coalesce(c.share_price, w.pe_ttm)')} as pe_ttm, {rnd('c.market_cap', 2)} as market_cap, {rnd('w.roic')} as roic
+@query("screen_context", f"""select w.ticker, {rnd('coalesce(c.share_price, w.pe_ttm)')} as pe_ttm, {rnd('c.market_cap')} as market_cap, {rnd('w.roic')} as roic
         from o_wide w left join (select ticker, market_cap, case when p_size % 2 = 0 then share_price end as share_price from fx_companies) c using (ticker) where year_index = 0""")
 def screen_context(spark, sf):
     snap = companies(spark, sf).select("ticker", "market_cap", F.when(F.col("p_size") % 2 == 0, F.col("share_price")).alias("quoted"))
     out = screens.screen_context(latest_wide(spark, sf).select("ticker", "pe_ttm", "roic"), {"pe_ttm": "quoted", "market_cap": "market_cap"}, snap)
-    return tidy_cols(tidy(out), {"market_cap": 2})
+    return tidy(out)
 
 
 @query("preset_screen_counts", """select * from (select 'cheap' as screen, count_if(pe_ttm < 15 and pb < 2) as hits from o_wide where year_index = 0
@@ -450,10 +447,10 @@ def sort_negative_is_bad(spark, sf):
     return tidy(positions(latest_wide(spark, sf), [], order, "place", distributed=True).select("ticker", "place"))
 
 
-@query("sort_null_defaults", f"select ticker, coalesce(overall_rank, 9999) as rank_key, {rnd('coalesce(market_cap, 0)', 2)} as cap_key, {rnd('coalesce(overall_score, -1)')} as score_key from {R}")
+@query("sort_null_defaults", f"select ticker, coalesce(overall_rank, 9999) as rank_key, {rnd('coalesce(market_cap, 0)')} as cap_key, {rnd('coalesce(overall_score, -1)')} as score_key from {R}")
 def sort_null_defaults(spark, sf):
     d = screens_defaults(ranked_companies(spark, sf))
-    return tidy_cols(tidy(d), {"cap_key": 2})
+    return tidy(d)
 
 
 def screens_defaults(df):
@@ -470,9 +467,9 @@ def scatter(spark, sf):
     return w.join(c, "ticker").orderBy(F.desc("market_cap"), "ticker").limit(200)
 
 
-@query("topk_scatter", f"select ticker, {rnd('market_cap', 2)} as market_cap, {rnd('roic')} as roic from {SCATTER}")
+@query("topk_scatter", f"select ticker, {rnd('market_cap')} as market_cap, {rnd('roic')} as roic from {SCATTER}")
 def topk_scatter(spark, sf):
-    return tidy_cols(scatter(spark, sf).select("ticker", "market_cap", "roic"), {"market_cap": 2, "roic": 6})
+    return tidy(scatter(spark, sf).select("ticker", "market_cap", "roic"))
 
 
 @query("trim_outliers", """select ticker, roic between (select max(roic) from tr_b where rr = lo + 1) and (select max(roic) from tr_b where rr = hi + 1)
@@ -486,7 +483,7 @@ def trim_outliers(spark, sf):
 
 @query("page_rows", "select ticker, company_name from fx_companies order by ticker limit 25 offset 50")
 def page_rows(spark, sf):
-    return screens.page(companies(spark, sf).select("ticker", "company_name"), [F.col("ticker")], 2)
+    return screens.page(companies(spark, sf).select("ticker", "company_name"), [F.col("ticker")])
 
 
 @query("sector_members_ranked", f"select ticker, {rnd('overall_score')} as overall_score from {R} where sector = 'Technology'")

@@ -32,8 +32,8 @@ register("cagr_both_pos", {"g": (lambda: s.cagr_both_pos("gross_profit", "net_in
                                  "case when gross_profit > 0 and net_income > 0 then pow(net_income / gross_profit, 1::DOUBLE / 3) - 1 end", True)})
 register("sum_present", {"total": (lambda: s.sum_present("receivables", "inventory", "interest_expense"),
                                    "case when coalesce(receivables, inventory, interest_expense) is not null then "
-                                   "coalesce(receivables,0) + coalesce(inventory,0) + coalesce(interest_expense,0) end", True)}, 4)
-register("avg_present", {"mean": (lambda: s.avg_present("receivables", "inventory", "interest_expense"), "list_avg([receivables, inventory, interest_expense])", True)}, 4)
+                                   "coalesce(receivables,0) + coalesce(inventory,0) + coalesce(interest_expense,0) end", True)})
+register("avg_present", {"mean": (lambda: s.avg_present("receivables", "inventory", "interest_expense"), "list_avg([receivables, inventory, interest_expense])", True)})
 register("round_half_up", {"pct1": (lambda: s.round_half_up(F.col("net_income") / F.col("revenue") * 100, 1), "floor(net_income / revenue * 100 * 10 + 0.5) / 10", True)})
 register("round_to_half", {"pe_half": (lambda: s.round_to_half(s.clamp(s.ratio_pos("market_cap", "net_income"), 8.0, 25.0)),
                                        "floor(case when net_income > 0 then greatest(least(market_cap / net_income, 25), 8) end * 2 + 0.5) / 2", True)})
@@ -45,9 +45,9 @@ register("tax_rate_scenario", {"rate": (lambda: s.tax_rate_scenario("interest_ex
                                         "case when interest_expense is not null and pretax_income > 0 then greatest(least(interest_expense / pretax_income, 0.5), 0) else 0.24 end", True)})
 register("tax_rate_capalloc", {"rate": (lambda: s.tax_rate_capalloc("dividends_paid", "pretax_income"),
                                         "case when dividends_paid is not null and pretax_income > 0 then least(abs(dividends_paid) / pretax_income, 0.5) else 0.24 end", True)})
-register("fcf_of", {"fcf": (lambda: s.fcf_of("inventory", "operating_cash_flow", "capex"), "coalesce(inventory, operating_cash_flow - abs(capex))", True)}, 4)
+register("fcf_of", {"fcf": (lambda: s.fcf_of("inventory", "operating_cash_flow", "capex"), "coalesce(inventory, operating_cash_flow - abs(capex))", True)})
 register("per_share", {"rps": (lambda: s.per_share("revenue", "shares_diluted"), "case when shares_diluted > 0 then revenue / shares_diluted end", True)})
-register("approx_ffo", {"ffo": (lambda: s.approx_ffo(), "net_income + depreciation_amortization", True)}, 4)
+register("approx_ffo", {"ffo": (lambda: s.approx_ffo(), "net_income + depreciation_amortization", True)})
 register("score_display", {"display": (lambda: s.score_display(F.col("net_income") / F.col("revenue")), "(net_income / revenue + 1) * 50", True)})
 register("sentiment_label", {"label": (lambda: s.sentiment_label(F.col("net_income") / F.col("revenue")),
                                        "case when net_income / revenue > 0.15 then 'positive' when net_income / revenue < -0.15 then 'negative' else 'neutral' end", False)})

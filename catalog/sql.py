@@ -25,7 +25,8 @@ def values(rows, cols: str) -> str:
 
 
 def rnd(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    # the same arithmetic on both sides, so equal doubles stay equal after rounding
+    return f"(floor(({expr}) * 1e{digits} + 0.5::DOUBLE) / 1e{digits})"
 
 
 def cagr(end: str, start: str, n: int) -> str:

@@ -17,13 +17,12 @@ from balancebeam.operators.xs import RankConfig
 MIN_ENTITIES = 10
 
 
-def upper_median(df: DataFrame, group: list[str], value: str, key: str, *, distributed: bool = False) -> DataFrame:
+def upper_median(df: DataFrame, group: list[str], value: str, key: str, *, distributed: bool | None = None) -> DataFrame:
     """(group, median): the element at floor(n / 2), not interpolated. ``key`` makes the order total."""
     keys = [key] if isinstance(key, str) else list(key)
     ranked = positions(df, group, [F.col(value), *[F.col(k) for k in keys]], "_r", distributed=distributed)
     n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per group, and groups here are buckets and dates
-    at = ranked.join(F.broadcast(n), group).filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1)
+    at = ranked.join(n, group).filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1)
     return at.select(*group, F.col(value).alias("median"))
 
 
@@ -70,8 +69,7 @@ def pit_registry() -> list[Metric]:
 def pit_rank(metrics: DataFrame, *, distributed: bool | None = None) -> DataFrame:
     """Full ranking per as-of date over dates with at least ten entities: the as-of date joins every partition key."""
     sized = metrics.groupBy("as_of").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_ENTITIES).select("as_of")
-    # one row per as-of date
-    wide = metrics.join(F.broadcast(sized), "as_of").withColumnRenamed("entity", "ticker").withColumns({"sector": F.lit(None).cast("string"), "year_index": F.lit(0)})
+    wide = metrics.join(sized, "as_of").withColumnRenamed("entity", "ticker").withColumns({"sector": F.lit(None).cast("string"), "year_index": F.lit(0)})
     return rank_universe(wide, wide.select("as_of", "ticker", "sector"), PIT_CONFIG, pit_registry(), by=("as_of",), distributed=distributed)
 
 
@@ -95,22 +93,22 @@ def _plus_months(d: datetime.date, m: int) -> datetime.date:
     return datetime.date(d.year + k // 12, k % 12 + 1, d.day)
 
 
-def quantile_buckets(scored: DataFrame, by: list[str], score: str, key: str, buckets: int = 5, *, distributed: bool = False) -> DataFrame:
+def quantile_buckets(scored: DataFrame, by: list[str], score: str, key: str, buckets: int = 5, *, distributed: bool | None = None) -> DataFrame:
     """bucket = floor(i / ceil(n / k)), capped at k - 1, by score descending within ``by``. Not ntile."""
     ranked = positions(scored, by, [F.round(score, 9).desc(), F.col(key)], "_r", distributed=distributed)
     n = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sized = ranked.join(F.broadcast(n), by) if by else ranked.crossJoin(F.broadcast(n))
+    sized = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))  # a single row without groups
     size = F.ceil(F.col("_n") / buckets)
     return sized.withColumn("bucket", F.least(F.floor((F.col("_r") - 1) / size), F.lit(buckets - 1))).drop("_r", "_n")
 
 
-def bucket_report(bucketed: DataFrame, value: str, keys: list[str], *, distributed: bool = False) -> DataFrame:
+def bucket_report(bucketed: DataFrame, value: str, keys: list[str], *, distributed: bool | None = None) -> DataFrame:
     """n, mean and upper median of the return per bucket."""
     stats = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_return"))
     return stats.join(upper_median(bucketed, ["bucket"], value, keys, distributed=distributed).withColumnRenamed("median", "median_return"), "bucket")
 
 
-def snapshot_backtest(snapshots: DataFrame, prices: DataFrame, current: DataFrame, *, distributed: bool = False) -> DataFrame:
+def snapshot_backtest(snapshots: DataFrame, prices: DataFrame, current: DataFrame, *, distributed: bool | None = None) -> DataFrame:
     """Earliest ranking per entity against today's price, bucketed by score: 5, 4 or 3 buckets by row count.
 
     ``snapshots``: (entity, date, overall_score, overall_rank); ``prices``: (entity, date, close); ``current``: (entity, price_now).

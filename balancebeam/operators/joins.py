@@ -127,4 +127,4 @@ def asof_forward(rows: DataFrame, dates: list[datetime.date], known: str, carry:
 
 def cross_sweep(entities: DataFrame, grid: DataFrame) -> DataFrame:
     """Entities x a handful of scenario rows (rates, cases or dates)."""
-    return entities.crossJoin(F.broadcast(grid))
+    return entities.crossJoin(grid)

@@ -154,7 +154,7 @@ def trim_outliers(df: DataFrame, axes: tuple[str, ...], p: float) -> DataFrame:
 
     The two bounds per axis come from range-partitioned positions, so no axis is sorted in one task.
     """
-    from balancebeam.operators.positions import positions
+    from balancebeam.operators.positions import MAX_WINDOW_ROWS, positions
 
     n = df.count()
     if p <= 0 or n < 10:
@@ -162,7 +162,7 @@ def trim_outliers(df: DataFrame, axes: tuple[str, ...], p: float) -> DataFrame:
     lo, hi = int(p * (n - 1) + 0.5), int((1 - p) * (n - 1) + 0.5)
     out, inside = df, F.lit(True)
     for a in axes:
-        ranked = positions(df.select("ticker", a), [], [F.col(a), F.col("ticker")], "_r", distributed=n > 100_000)
+        ranked = positions(df.select("ticker", a), [], [F.col(a), F.col("ticker")], "_r", distributed=n > MAX_WINDOW_ROWS)
         bounds = ranked.filter(F.col("_r").isin(lo + 1, hi + 1)).agg(F.min(a).alias(f"_{a}_lo"), F.max(a).alias(f"_{a}_hi"))
         out = out.crossJoin(F.broadcast(bounds))
         inside = inside & F.col(a).between(F.col(f"_{a}_lo"), F.col(f"_{a}_hi"))
@@ -200,5 +200,4 @@ def sector_peer_mean(ranked: DataFrame) -> DataFrame:
     sums = ranked.filter(F.col("sector").isNotNull()).groupBy("sector").agg(F.sum("overall_score").alias("_s"), F.count("overall_score").alias("_n"))
     own = F.coalesce("overall_score", F.lit(0.0))
     others = F.col("_n") - F.col("overall_score").isNotNull().cast("int")
-    # one row per sector
-    return ranked.join(F.broadcast(sums), "sector", "left").withColumn("peer_mean", F.when(others > 0, (F.col("_s") - own) / others)).drop("_s", "_n")
+    return ranked.join(sums, "sector", "left").withColumn("peer_mean", F.when(others > 0, (F.col("_s") - own) / others)).drop("_s", "_n")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from balancebeam.functions import dims
 from balancebeam.functions.scalars import clamp, logistic
 from balancebeam.metrics.registry import CATEGORY_WEIGHTS, Metric, metrics
-from balancebeam.operators.positions import positions
+from balancebeam.operators.positions import broadcast_if_small, positions, too_large
 from balancebeam.operators.sector import canonical_sector
 
 # Negatives of a mixed group score below this, positives from one half up: the bands never meet.
@@ -36,39 +36,34 @@ def enabled_metrics(registry: list[Metric] | None = None) -> list[Metric]:
     return [m for m in (registry or metrics()) if m.enabled]
 
 
-def _numbers(registry: list[Metric], keep) -> list[int]:
-    return [i for i, m in enumerate(registry) if keep(m)]
+def _flag(registry: list[Metric], keep) -> Column:
+    """Whether metric number ``m`` has a property, read from a constant array."""
+    return F.expr("element_at(array(" + ", ".join(str(bool(keep(m))).lower() for m in registry) + "), m + 1)")
 
 
-def _is_in(numbers: list[int]) -> Column:
-    return F.expr(f"m in ({', '.join(map(str, numbers))})") if numbers else F.lit(False)
-
-
-def applicable(sector, registry: list[Metric]) -> Column:
-    """Applicability from the metric number ``m``, so gating costs no join."""
-    canon = canonical_sector(sector)
-    out = ~(_is_in(_numbers(registry, lambda x: x.key in dims.SECTOR_ONLY)) & ~F.coalesce(canon == "Real Estate", F.lit(False)))
-    for name, groups in dims.SECTOR_EXCLUDED.items():
-        keys = {k for ks in groups.values() for k in ks}
-        out = out & ~(F.coalesce(canon == name, F.lit(False)) & _is_in(_numbers(registry, lambda x: x.key in keys)))
-    return out
+def applicable_value(m: Metric) -> str:
+    """SQL text of the metric column, NULL where it does not describe the row's canonical sector ``canon``; gating costs no join."""
+    if m.key in dims.SECTOR_ONLY:
+        return f"if(canon <=> '{dims.SECTOR_ONLY[m.key]}', {m.key}, null)"
+    barred = [name for name, groups in dims.SECTOR_EXCLUDED.items() if any(m.key in ks for ks in groups.values())]
+    return f"if(canon in ({', '.join(repr(b) for b in barred)}), null, {m.key})" if barred else m.key
 
 
 def values_from_wide(wide: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = ()) -> DataFrame:
     """Unpivot a wide panel to numbered metric values; missing and inapplicable values leave before any shuffle."""
-    values = wide.filter(F.col("year_index") < config.years).select(
-        *by, "ticker", "sector", "year_index", F.posexplode(F.expr(f"array({', '.join(m.key for m in registry)})")).alias("m", "v"))
-    return values.filter((F.abs("v") < float("inf")) & applicable(F.col("sector"), registry))
+    rows = wide.filter(F.col("year_index") < config.years).withColumn("canon", canonical_sector(F.col("sector")))
+    cells = F.expr("array(" + ", ".join(applicable_value(m) for m in registry) + ")")
+    return rows.select(*by, "ticker", "sector", "year_index", F.posexplode(cells).alias("m", "v")).filter(F.abs("v") < float("inf"))
 
 
-def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = (), *, distributed: bool = False) -> DataFrame:
+def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = (), *, distributed: bool) -> DataFrame:
     """(by, ticker, m, year_index, score, peer_rank, peer_count): score in [0, 1], higher is better; rank 1 is best.
 
     One row of ``values`` per entity, metric and year. Peer groups with fewer than two values give no score.
     """
-    neg = _is_in(_numbers(registry, lambda x: x.negative_is_bad))
-    flip = _is_in(_numbers(registry, lambda x: x.direction == "asc"))
-    rel = _is_in(_numbers(registry, lambda x: x.sector_relative))
+    neg = _flag(registry, lambda x: x.negative_is_bad)
+    flip = _flag(registry, lambda x: x.direction == "asc")
+    rel = _flag(registry, lambda x: x.sector_relative)
     rows = values.select(*by, "m", "year_index", F.when(rel, F.coalesce("sector", F.lit("~"))).otherwise("").alias("peer"),
                          "ticker", F.col("v").alias("v"))
     group = [*by, "m", "year_index", "peer"]
@@ -128,12 +123,12 @@ def _attach(df: DataFrame, group: list[str], aggs: dict[str, Column], distribute
     if not distributed:
         w = Window.partitionBy(*group)
         return df.withColumns({k: a.over(w) for k, a in aggs.items()})
-    # one row per metric, year, peer group and side: bounded by the registry, not by the data
-    return df.join(F.broadcast(df.groupBy(*group).agg(*[a.alias(k) for k, a in aggs.items()])), group)
+    return df.join(broadcast_if_small(df.groupBy(*group).agg(*[a.alias(k) for k, a in aggs.items()])), group)
 
 
-def winsorize(df: DataFrame, group: list[str], value: str, key: str, lower: float, upper: float, *, distributed: bool = False) -> DataFrame:
+def winsorize(df: DataFrame, group: list[str], value: str, key: str, lower: float, upper: float, *, distributed: bool | None = None) -> DataFrame:
     """Add ``winsorized``: the value clamped to two order statistics of its group."""
+    distributed = too_large(df) if distributed is None else distributed
     ranked = positions(df, group, [F.col(value), F.col(key)], "_r", distributed=distributed)
     counted = _attach(ranked, group, {"_n": F.count(F.lit(1))}, distributed)
     at = lambda p, f: f(F.lit(p) * (F.col("_n") - 1)) + 1
@@ -141,16 +136,18 @@ def winsorize(df: DataFrame, group: list[str], value: str, key: str, lower: floa
     return _attach(counted, group, bounds, distributed).withColumn("winsorized", clamp(value, "_lb", "_ub")).drop("_r", "_n", "_lb", "_ub")
 
 
-def percentile_rank(df: DataFrame, group: list[str], value: str, key: str, *, distributed: bool = False) -> DataFrame:
+def percentile_rank(df: DataFrame, group: list[str], value: str, key: str, *, distributed: bool | None = None) -> DataFrame:
     """Add ``percentile`` in [0, 1]: row position over n - 1, ties by key; a group of one scores 1."""
+    distributed = too_large(df) if distributed is None else distributed
     ranked = positions(df, group, [F.col(value), F.col(key)], "_r", distributed=distributed)
     counted = _attach(ranked, group, {"_n": F.count(F.lit(1))}, distributed)
     pct = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((F.col("_r") - 1) / F.nullif((F.col("_n") - 1).cast("double"), F.lit(0.0)))
     return counted.withColumn("percentile", pct).drop("_r", "_n")
 
 
-def zscore(df: DataFrame, group: list[str], value: str, *, distributed: bool = False) -> DataFrame:
+def zscore(df: DataFrame, group: list[str], value: str, *, distributed: bool | None = None) -> DataFrame:
     """Add ``zscore`` (population deviation, 0 in a constant group) and ``unit_score``, its logistic."""
+    distributed = too_large(df) if distributed is None else distributed
     stats = {"_mu": F.avg(value), "_sd": F.stddev_pop(value), "_lo": F.min(value), "_hi": F.max(value)}
     z = F.when(_constant("_lo", "_hi"), F.lit(0.0)).otherwise((F.col(value) - F.col("_mu")) / F.nullif(F.col("_sd"), F.lit(0.0)))
     return _attach(df, group, stats, distributed).withColumn("zscore", z).withColumn("unit_score", logistic("zscore")).drop(*stats)

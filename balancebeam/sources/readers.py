@@ -70,13 +70,13 @@ def blank_to_null(c) -> Column:
 def filer_profile(df: DataFrame, states: DataFrame) -> DataFrame:
     """Blank to NULL; exchanges without case-insensitive repeats (first spelling kept); validated fiscal year end; headquarters text.
 
-    ``states``: (code, name), a table of a few dozen rows.
+    ``states``: (code, name).
     """
     clean = F.filter(F.transform("exchanges", lambda x: blank_to_null(x)), lambda x: x.isNotNull())
     lowered = F.transform(F.col("_x"), lambda x: F.lower(x))
     firsts = F.filter(F.col("_x"), lambda x, i: F.array_position(F.col("_l"), F.lower(x)) == i + 1)
     out = df.withColumn("_x", clean).withColumn("_l", lowered).withColumn("exchange", F.when(F.size(firsts) > 0, F.array_join(firsts, ", ")))
-    names = F.broadcast(states.select(F.col("code").alias("_c"), F.col("name").alias("_n")))
+    names = states.select(F.col("code").alias("_c"), F.col("name").alias("_n"))
     out = out.join(names, F.upper(F.trim("state")) == F.col("_c"), "left")
     place = F.coalesce("_n", blank_to_null("state"))
     city = F.regexp_replace(F.initcap(blank_to_null("city")), r"\s+", " ")

@@ -175,7 +175,7 @@ VH = {
     "t_w": """select ticker, fv / (case when net_income > 0 then net_income end) as float_pe, fv / (case when revenue > 0 then revenue end) as float_ps, fv / (case when total_equity > 0 then total_equity end) as float_pb,
               case when fv + total_debt - cash > 0 and operating_income > 0 then (fv + total_debt - cash) / operating_income end as float_ev_ebit from t_f""",
     "t_l": "select ticker, multiple, today from t_w unpivot include nulls (today for multiple in (float_pe, float_ps, float_pb, float_ev_ebit))",
-    "a_c": """select ticker, fiscal_year, public_float / market_cap as ratio from fx_valuation_history join fx_companies c using (ticker) where (c.p_partkey + fiscal_year) % 3 = 0
+    "a_c": """select ticker, fiscal_year, public_float / fx_valuation_history.market_cap as ratio from fx_valuation_history join fx_companies c using (ticker) where (c.p_partkey + fiscal_year) % 3 = 0
               and (c.p_partkey + fiscal_year) % 21 <= 10 and public_float / fx_valuation_history.market_cap between 0.05 and 1.05""",
     "a_b": "select ticker, arg_max(ratio, fiscal_year) as ratio, max(fiscal_year) as anchor_year from a_c group by ticker",
     "b_t": """select t.*, a.ratio, a.anchor_year, c.p_partkey % 13 = 0 as is_float, case when c.p_partkey % 13 = 0 then t.market_cap else t.market_cap * a.ratio end as fv2

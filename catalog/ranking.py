@@ -8,7 +8,7 @@ from balancebeam.metrics.registry import CATEGORIES, metrics
 from balancebeam.operators import panel as panel_ops
 from balancebeam.operators import prices, rollup, xs
 from balancebeam.operators import sector as sector_ops
-from balancebeam.operators.positions import positions
+from balancebeam.operators.positions import group_bounded, positions
 from balancebeam.session import ensure_checkpoint_dir
 from balancebeam.sources import sinks
 from catalog.base import FIXTURE_MOMENTUM, companies, daily_prices, query, tidy, wide_panel
@@ -35,7 +35,12 @@ def metric_panel_long(spark, sf):
 
 def unit_frame(spark, sf, config=xs.RankConfig()):
     registry = xs.enabled_metrics()
-    return xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry)
+    return xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry, distributed=large(spark, sf))
+
+
+def large(spark, sf):
+    """Peer groups hold at most one row per entity, so the entity count decides the plan."""
+    return not group_bounded(companies(spark, sf).count())
 
 
 @query("xs_unit_scores", f"select ticker, m, year_index, {rnd("score", 9)} as score, peer_rank, peer_count from o_unit")
@@ -67,13 +72,9 @@ def subset(keep):
     return [m for m in metrics() if keep(m)]
 
 
-def _long_numbers(spark, sf, keep, years=5):
-    return xs.values_from_wide(wide_panel(spark, sf), xs.RankConfig(years=years), subset(keep))
-
-
 def _unit(spark, sf, keep, config=xs.RankConfig()):
     registry = subset(keep)
-    scores = xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry)
+    scores = xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry, distributed=large(spark, sf))
     return scores.withColumn("metric_key", key_of(registry)).drop("m")
 
 
@@ -175,7 +176,7 @@ def xs_percentile_rank(spark, sf):
 @query("rank_row_number", f"""select ticker, metric_key, row_number() over (partition by metric_key order by v desc, ticker) as rank {GROWTH} and year_index = 0""")
 def rank_row_number(spark, sf):
     rows = _long_metric_values(spark, sf).filter("year_index = 0")
-    return tidy(positions(rows, ["metric_key"], [F.desc("raw_value"), F.col("ticker")], "rank", distributed=False).select("ticker", "metric_key", "rank"))
+    return tidy(positions(rows, ["metric_key"], [F.desc("raw_value"), F.col("ticker")], "rank").select("ticker", "metric_key", "rank"))
 
 
 @query("xs_applicability", f"select ticker, year_index, metric_key, {rnd('v')} as v from o_gated where not inapplicable and v is not null")

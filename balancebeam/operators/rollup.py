@@ -88,7 +88,7 @@ def aggregate_rankings(scores: DataFrame, companies: DataFrame, config: RankConf
                        n_entities: int, distributed: bool = False) -> DataFrame:
     """The weight-dependent half: reusable over stored unit scores for any weights and for fewer years."""
     # one shuffle on the entity serves both roll-ups; every entity has at most metrics x years rows
-    placed = scores.repartition(*by, "ticker") if distributed else scores
+    placed = scores.repartition(*by, "ticker")
     rolled = roll_category(roll_years(placed, config.years, by), companies, config, registry, by)
     return overall_rank(roll_overall(rolled, config), by, n_entities=n_entities, distributed=distributed)
 

@@ -89,7 +89,9 @@ def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], b
     bounded = _attach(counted, group, bounds, distributed)
     pick = lambda b: F.when(F.col("low_side"), F.col(f"{b}_low")).otherwise(F.col(f"{b}_high"))
     bounded = bounded.withColumn("wv", clamp("v", pick("lb"), pick("ub"))).drop("lb_low", "lb_high", "ub_low", "ub_high", "r", "r_side")
-    side = [*group, "low_side"]
+    # the low side sorts first, as it does by value: rows arrive almost in the order the second numbering needs
+    bounded = bounded.withColumn("high_side", ~F.col("low_side"))
+    side = [*group, "high_side"]
     # a whole group that is not positive is scored by closeness to zero, without the metric's direction
     rising = F.when(F.col("low_side") | (neg & (F.col("n_pos") == 0)), F.lit(True)).otherwise(~flip)
     below = F.when(F.col("low_side"), F.col("n_pos")).otherwise(0)

@@ -183,7 +183,7 @@ VH = {
     "b_w": """select ticker, fv2 / (case when net_income > 0 then net_income end) as float_pe, fv2 / (case when revenue > 0 then revenue end) as float_ps, fv2 / (case when total_equity > 0 then total_equity end) as float_pb,
               case when fv2 > 0 and fv2 + total_debt - cash > 0 and operating_income > 0 then (fv2 + total_debt - cash) / operating_income end as float_ev_ebit from b_t""",
     "b_l": "select ticker, multiple, today from b_w unpivot include nulls (today for multiple in (float_pe, float_ps, float_pb, float_ev_ebit))",
-    "b_c": """select ticker, count(*) as distributions, count_if(today > 0) as percentiles from (select ticker, multiple from m_k where value > 0 group by ticker, multiple having count(*) >= 5) left join b_l using (ticker, multiple) group by ticker""",
+    "b_c": """select ticker, count(*) as distributions, count(*) filter (where today > 0) as percentiles from (select ticker, multiple from m_k where value > 0 group by ticker, multiple having count(*) >= 5) left join b_l using (ticker, multiple) group by ticker""",
 }
 
 

@@ -9,6 +9,7 @@ soon as the walks back from every place where a longer token could still begin a
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from balancebeam.llm.wordids import WordEncoder
 
-PAIRS = 1_000_000  # remembered answers of the pair test, and
+PAIRS = 300_000  # remembered answers of the pair test, and
 STATES = 250_000  # states of the transducer, before either is built anew
+FOLLOWERS = 24  # tokens tried to tell settled tokens apart
+NEVER = 1 << 62
 BLOCK = 32  # tokens that the decoder takes at a time
 
 
@@ -32,11 +35,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class State:
     """``pending``: bytes read since the last settled boundary. ``lasts[i]``: the last token of the first i of them (0: the settled token before them), None
-    where no sequence ends. ``live``: the places before the end at which a longer token may have begun. ``steps``: the moves found so far."""
+    where no sequence ends or none that matters. ``live``: the places before the end at which a longer token may have begun. ``steps``: the moves found so far."""
 
     __slots__ = ("pending", "lasts", "live", "steps")
 
-    def __init__(self, pending: bytes, lasts: list[bytes | None], live: list[int]):
+    def __init__(self, pending: bytes, lasts: tuple[bytes | None, ...], live: tuple[int, ...]):
         self.pending, self.lasts, self.live, self.steps = pending, lasts, live, {}
 
 
@@ -46,18 +49,19 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}  # proper prefixes: a longer token may still begin here
-        self.pair_memo: dict[tuple[bytes, bytes], bool] = {}
-        self.sound_memo: dict[bytes, bool] = {}
+        self.names = sorted(ranks)
+        self.memo_pair: dict[tuple[bytes, bytes], bool] = {}
+        self.memo_spine: dict[bytes, tuple[tuple[list, list], tuple[list, list]] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple[bytes, bytes], State] = {}
-        self.start = State(b"", [b""], [])
+        self.states: dict[tuple, State] = {}
+        self.start = State(b"", (b"",), ())
 
-    def merge(self, text: bytes) -> list[bytes]:
-        """The merges by rank, for the short strings of the pair test."""
+    def merge(self, text: bytes, most: int = 1) -> list[bytes]:
+        """The merges of ``text`` by rank, until ``most`` parts are left or none merges."""
         parts, ranks = [text[i : i + 1] for i in range(len(text))], self.ranks
-        while len(parts) > 1:
+        while len(parts) > most:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
@@ -68,23 +72,49 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def sound(self, token: bytes) -> bool:
-        ok = self.sound_memo.get(token)
-        if ok is None:
-            ok = self.sound_memo[token] = len(self.merge(token)) == 1
-        return ok
+    def spine(self, token: bytes) -> tuple[tuple[list, list], tuple[list, list]] | None:
+        """What stands at the left edge while the token is being merged, byte first, and the rank at which each next one forms; the same of the right edge.
+        None for a token that does not encode to itself."""
+        if token not in self.memo_spine:
+            last = self.merge(token, 2)
+            if len(last) == 1:
+                edges = (([token], [NEVER]), ([token], [NEVER]))
+            elif len(last) == 2 and last[0] + last[1] in self.ranks and all(self.spine(t) for t in last):
+                (l, lr), (r, rr) = self.spine(last[0])[0], self.spine(last[1])[1]
+                own = [self.ranks[token], NEVER]
+                edges = (([*l, token], [*lr[:-1], *own]), ([*r, token], [*rr[:-1], *own]))
+            else:
+                edges = None
+            self.memo_spine[token] = edges
+        return self.memo_spine[token]
 
     def pair(self, a: bytes, b: bytes) -> bool:
+        """Whether b can follow a: while both are being merged, nothing merges across their border first. Equal ranks merge from the left."""
         if not a:
-            return True
-        ok = self.pair_memo.get((a, b))
+            return self.spine(b) is not None
+        ok = self.memo_pair.get((a, b))
         if ok is None:
-            if len(self.pair_memo) >= PAIRS:
-                self.pair_memo.clear()
-            ok = self.pair_memo[a, b] = self.merge(a + b) == [a, b]
+            if len(self.memo_pair) >= PAIRS:
+                self.memo_pair.clear()
+            left, right = self.spine(a), self.spine(b)
+            ok = left is not None and right is not None and self._apart(*left[1], *right[0])
+            self.memo_pair[a, b] = ok
         return ok
 
-    def back(self, lasts: list[bytes | None], i: int) -> tuple[int, ...]:
+    def _apart(self, x: list, x_next: list, y: list, y_next: list) -> bool:
+        i = j = 0
+        while True:
+            r, p, q = self.ranks.get(x[i] + y[j], NEVER), x_next[i], y_next[j]
+            if r < p and r <= q:
+                return False
+            if p == q == NEVER:
+                return True
+            if p <= q:
+                i += 1
+            else:
+                j += 1
+
+    def back(self, lasts: tuple[bytes | None, ...], i: int) -> tuple[int, ...]:
         """The tokens up to place i, first to last."""
         out = []
         while i:
@@ -92,19 +122,26 @@ class Transducer:
             i -= len(lasts[i])
         return tuple(out[::-1])
 
+    def before(self, last: bytes, pending: bytes) -> object:
+        """What of the settled token still matters: which tokens that begin with ``pending`` cannot follow it. Where these are many, the token itself."""
+        i, j = bisect_left(self.names, pending), bisect_left(self.names, pending + b"\xff" * 8)
+        if j - i > FOLLOWERS:
+            return last
+        return tuple(k for k in range(i, j) if not self.pair(last, self.names[k]))
+
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         lasts = state.lasts
-        begins = state.live if lasts[-1] is None else [*state.live, len(state.pending)]
+        begins = state.live if lasts[-1] is None else (*state.live, len(state.pending))
         pending = state.pending + bytes((byte,))
         last, live = None, []
         for j in begins:
             t = pending[j:]
-            if last is None and t in self.ranks and self.pair(lasts[j], t) and self.sound(t):
+            if last is None and t in self.ranks and self.pair(lasts[j], t):
                 last = t  # the one token that follows soundly on what is before it
             if t in self.starts:
                 live.append(j)
         walks = live if last is None else [*live, len(pending)]
-        lasts = [*lasts, last]
+        lasts = (*lasts, last)
         settled = walks[-1]
         while settled != walks[0]:  # back to the last place that all walks share
             walks = sorted({*walks[:-1], settled - len(lasts[settled])})
@@ -113,12 +150,19 @@ class Transducer:
         if settled:
             out = self.back(lasts, settled)
             pending, lasts, live = pending[settled:], lasts[settled:], [j - settled for j in live]
-        key = (lasts[0], pending)
+        needed = set()
+        for j in (*live, len(pending)):  # what no walk passes cannot matter any more
+            while j and j not in needed and lasts[j] is not None:
+                needed.add(j)
+                j -= len(lasts[j])
+        lasts = (lasts[0], *(t if k in needed else None for k, t in enumerate(lasts[1:], 1)))
+        known = None if live and live[0] else self.before(lasts[0], pending) if live else lasts[0]
+        key = (known, pending, lasts[1:])
         to = self.states.get(key)
         if to is None:
             if len(self.states) >= STATES:
                 self.reset()
-            to = self.states[key] = State(pending, lasts, live)
+            to = self.states[key] = State(pending, lasts, tuple(live))
         return to, out
 
     def encode(self, piece: bytes) -> list[int]:

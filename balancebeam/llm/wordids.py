@@ -19,7 +19,7 @@ class Irregular(Exception):
 class WordEncoder:
     """``encode(text) -> bytes``: little-endian unsigned 32-bit ids. ``chunk`` encodes any string by itself in the same form."""
 
-    def __init__(self, chunk: Callable[[str], bytes], memo: int = 200_000):
+    def __init__(self, chunk: Callable[[str], bytes], memo: int = 150_000):
         self.chunk = chunk
         self.first = Memo(self._first, memo)
         self.inner = Memo(self._inner, memo)

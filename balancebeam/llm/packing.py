@@ -1,6 +1,6 @@
 """Lexical retrieval packing: a sharded BM25 index over token ids gives each seed document its neighbours, which fill the seed's window.
 
-A document first fills whole windows of its own; what is left of it (its tail) is packed. Tails are dealt to shards by their most telling tokens, so documents that
+A document first fills whole windows of its own; what is left of it (its tail) is packed. Tails are dealt to shards by their rarest tokens, so documents that
 share rare tokens meet. A shard holds a bounded number of tails and indexes them; the first unused tail seeds a window, the index returns unused neighbours, best
 first, and they fill the window exactly, the last one cut. What is cut off stays in the index and seeds the next window. Only the last window of a task may stay
 open, so padding does not follow the data. Document frequencies are counted over the tails of all documents; their table has one entry per id of the vocabulary.
@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from balancebeam.llm.common import cut
-from balancebeam.llm.wordids import WordEncoder
+from balancebeam.llm.wordids import WordEncoder, file_encoder
 
 K1, B = 1.2, 0.75
 SHARD = 2048  # tails indexed together
@@ -31,9 +31,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def _encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[path] = WordEncoder(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
+        _ENCODERS[path] = file_encoder(path, 400_000)
     return _ENCODERS[path]
 
 
@@ -41,8 +39,9 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids): the ids of the whole text and ``end_id`` after them, two bytes an id where the vocabulary allows it. Null text: ``end_id`` alone."""
+def tokenise(docs: DataFrame, path: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, ids, k1, k2): the ids of the whole text and ``end_id`` after them, two bytes an id where the vocabulary allows it; null text: ``end_id`` alone.
+    k1 and k2 are the two highest ids of the tail: a vocabulary lists tokens by merge order, so these are its rarest."""
     kind, narrow = dict(docs.dtypes)[id_col], id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,10 +49,19 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                ids = [np.frombuffer((enc.encode(t.as_py()) if t.is_valid and t.as_py() else b"") + end, "<u4").astype(narrow) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+                ids = [np.frombuffer((enc.encode(t) if t else b"") + end, "<u4").astype(narrow) for t in part.column(1).to_pylist()]
+                high = np.array([_two_highest(x[len(x) // window * window :]) for x in ids], np.int32).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(high[:, 0]), pa.array(high[:, 1])], names=["doc_id", "n", "ids", "k1", "k2"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n long, ids binary, k1 int, k2 int")
+
+
+def _two_highest(tail: np.ndarray) -> tuple[int, int]:
+    if not len(tail):
+        return -1, -1
+    first = int(tail.max())
+    rest = tail[tail < first]
+    return first, int(rest.max()) if len(rest) else -1
 
 
 def id_type(path: str) -> str:
@@ -167,7 +175,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
     arrow = to_arrow_type(docs.schema[id_col].dataType)
     width, vocabulary = int(narrow[-1]), vocabulary_size(path)
     schema = PIECE.format(kind=kind)
-    table = cut(tokenise(docs, path, end_id, id_col, text_col))
+    table = cut(tokenise(docs, path, end_id, window, id_col, text_col))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k = TaskContext.get().partitionId() << 33, 0
@@ -183,21 +191,10 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
                     out = []
             yield _batch(out, arrow)
 
-    cut_at = F.expr(f"(n div {window}) * {window}")
-    tails = table.where(F.expr(f"n % {window} > 0")).select("doc_id", "n", cut_at.alias("start"), F.expr(f"substring(ids, cast((n div {window}) * {window * width} + 1 as int), {window * width})").alias("ids"))
+    tails = table.where(F.expr(f"n % {window} > 0")).select("doc_id", "n", "k1", "k2", F.expr(f"(n div {window}) * {window}").alias("start"), F.expr(f"substring(ids, cast((n div {window}) * {window * width} + 1 as int), {window * width})").alias("ids"))
     df, count, mean = document_frequencies(tails, vocabulary, narrow)
     idf = bm25_idf(df, count)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = []
-            for x in b.column(3):
-                t, c = np.unique(np.frombuffer(x.as_buffer(), narrow), return_counts=True)
-                w = idf[t] * c / (c + K1)
-                best = t[np.lexsort((t, -w))[:2]].tolist()
-                keys.append((best[0], best[-1]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32())], names=["doc_id", "n", "start", "ids", "k1", "k2"])
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k, held = TaskContext.get().partitionId() << 33, 0, []
 
@@ -224,8 +221,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
         if held:
             yield emit(True, len(held))
 
-    routed = tails.mapInArrow(route, f"doc_id {kind}, n long, start long, ids binary, k1 int, k2 int")
-    shards = routed.repartitionByRange("k1", "k2", "doc_id", F.crc32("ids")).sortWithinPartitions("k1", "k2", "doc_id", F.crc32("ids"))
+    shards = tails.repartitionByRange("k1", "k2", "doc_id", F.crc32("ids")).sortWithinPartitions("k1", "k2", "doc_id", F.crc32("ids"))
     packed = shards.select("doc_id", "n", "start", "ids").mapInArrow(fill, schema)
     return table.where(F.col("n") >= window).mapInArrow(whole, schema).unionAll(packed)
 

@@ -7,11 +7,19 @@ other white space is given to the encoder whole.
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Callable
 
+import tiktoken
+from tokenizers import Tokenizer
+
 from balancebeam.llm.common import Memo
 
 
+STOPS = ".,;:!?"  # one of them after a letter is a piece of its own at the end of a word
+
+
 class Irregular(Exception):
     """A word holds white space of another kind, or is empty: two spaces, or one at an end of the line."""
 
@@ -27,11 +35,15 @@ class WordEncoder:
     def _first(self, word: str) -> bytes:
         if word.split() != [word]:
             raise Irregular
+        if word[-1] in STOPS and word[-2:-1].isalpha():
+            return self.first[word[:-1]] + self.first[word[-1]]
         return self.chunk(word)
 
     def _inner(self, word: str) -> bytes:
         if word.split() != [word]:
             raise Irregular
+        if word[-1] in STOPS and word[-2:-1].isalpha():
+            return self.inner[word[:-1]] + self.first[word[-1]]
         return self.chunk(" " + word)
 
     def encode(self, text: str) -> bytes:
@@ -48,22 +60,54 @@ class WordEncoder:
             return self._mixed(lines)
 
     def _mixed(self, lines: list[str]) -> bytes:
-        """Regular lines by words; a run of other lines whole, with the line feeds and the lines beside them that its white space may reach."""
-        out, open_run = [], []
+        """Regular lines by words; a run of other lines whole, with the line feed before it. The line feed between a run and a regular line is a piece of its own: the
+        pattern leaves the last white space before a word out of what comes before it."""
+        out, run, feed = [], [], self.chunk("\n")
         for k, line in enumerate(lines):
             try:
-                ids = self.first[(words := line.split(" "))[0]] + b"".join(map(self.inner.__getitem__, words[1:]))
+                words = line.split(" ")
+                ids = self.first[words[0]] + b"".join(map(self.inner.__getitem__, words[1:]))
             except Irregular:
-                ids = None
-            if ids is None:
-                open_run.append(line)
+                run.append(line)
                 continue
-            if open_run:
-                out.append(self.chunk("\n".join(([""] if k - len(open_run) else []) + open_run + [""])))
-                open_run = []
-            elif k:
-                out.append(self.chunk("\n"))
+            if run:
+                out.append(self.chunk("\n".join(run if k == len(run) else ["", *run])))
+                run = []
+            if k:
+                out.append(feed)
             out.append(ids)
-        if open_run:
-            out.append(self.chunk("\n".join(([""] if len(lines) - len(open_run) else []) + open_run)))
+        if run:
+            out.append(self.chunk("\n".join(run if len(lines) == len(run) else ["", *run])))
         return b"".join(out)
+
+
+#: Fixed value: how a byte-level tokeniser file of this kind cuts texts.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_of_sign() -> dict[str, int]:
+    """The printable sign that stands for each byte in such a file: itself where it prints, else the next from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
+
+
+def file_encoder(path: str, memo: int) -> WordEncoder:
+    """An encoder for a byte-level BPE file of the tokenizers library, without special tokens.
+
+    Where ids follow the order of the merges, ranks say the same as the file, and the faster library for rank files gives the same ids; else the file's own library
+    encodes each new word.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    tokenizer = Tokenizer.from_str(json.dumps(spec))
+    tokenizer.encode_special_tokens = True
+    vocab, merges, cut = spec["model"]["vocab"], spec["model"].get("merges", []), spec.get("pre_tokenizer") or {}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer") and made == sorted(set(made))
+    if not plain:
+        return WordEncoder(lambda s: array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes(), memo)
+    special, sign = {t["content"] for t in spec.get("added_tokens", [])}, byte_of_sign()
+    ranks = {bytes(sign[c] for c in token): k for token, k in vocab.items() if token not in special}
+    encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return WordEncoder(lambda s: array("I", encode(s)).tobytes(), memo)

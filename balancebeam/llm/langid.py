@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 UND = "und"
 BUCKETS = 1 << 13
 DIMS = 16
-SAMPLE = 6000  # labelled rows fitted on, over all languages
+SAMPLE = 3000  # labelled rows fitted on, over all languages
 REJECT = 0.001  # share of calibration rows that the threshold may reject
 _LETTER = regex.compile(r"\p{L}")
 
@@ -72,10 +72,11 @@ def sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str
         for b in batches:
             counts = [subword_counts(t) for t in b.column(2).to_pylist()]
             at = [np.flatnonzero(c) for c in counts]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([c[x].astype(np.float32) for c, x in zip(counts, at)], pa.list_(pa.float32()))], names=["i", "l", "at", "n"])
+            cols = [b.column(0).cast(pa.string()), b.column(1), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([c[x].astype("<f4").tobytes() for c, x in zip(counts, at)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["i", "l", "at", "n"])
 
-    got = drawn.mapInArrow(run, "i string, l string, at array<int>, n array<float>").toPandas().sort_values(["i", "l"], kind="stable")
-    return sorted(have), got["l"].tolist(), [np.asarray(x) for x in got["at"]], [np.asarray(x) for x in got["n"]]
+    got = drawn.mapInArrow(run, "i string, l string, at binary, n binary").toArrow().sort_by([("i", "ascending"), ("l", "ascending")])
+    return sorted(have), got["l"].to_pylist(), [np.frombuffer(x.as_buffer(), "<u2") for x in got["at"]], [np.frombuffer(x.as_buffer(), "<f4") for x in got["n"]]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE, epochs: int = 12, rate: float = 0.5, batch: int = 32, seed: int = 13) -> LanguageModel:

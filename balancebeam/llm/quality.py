@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from balancebeam.llm.common import Memo
 
 BITS = 18
-SAMPLE = 6000  # labelled rows fitted on
+SAMPLE = 3000  # labelled rows fitted on
 THRESHOLD = 0.3
 SCALE = 8.0
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
@@ -97,17 +97,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for t in b.column(2).to_pylist():
                 f, n = features(t)
                 u, c = np.unique(f, return_counts=True)
-                at.append(u.astype(np.int32))
-                x.append((SCALE * c / max(1, n)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["i", "y", "at", "x"])
+                at.append(u.astype("<u4").tobytes())
+                x.append((SCALE * c / max(1, n)).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(at, pa.binary()), pa.array(x, pa.binary())], names=["i", "y", "at", "x"])
 
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(drawn), "__id").select("__id", "__y", "__t")
-    got = texts.mapInArrow(run, "i string, y double, at array<int>, x array<float>").toPandas().sort_values("i", kind="stable")
+    got = texts.mapInArrow(run, "i string, y double, at binary, x binary").toArrow().sort_by("i")
     leader, rng = Ftrl(1 << BITS), np.random.default_rng(seed)
-    y, at, x = got["y"].to_numpy(), [np.asarray(v, np.int64) for v in got["at"]], [np.asarray(v, float) for v in got["x"]]
+    y, at, x = got["y"].to_numpy(), [np.frombuffer(v.as_buffer(), "<u4") for v in got["at"]], [np.frombuffer(v.as_buffer(), "<f4") for v in got["x"]]
     for _ in range(epochs):
         for k in rng.permutation(len(y)):
-            leader.update(at[k], x[k], y[k])
+            leader.update(at[k].astype(np.int64), x[k].astype(float), y[k])
     w = leader.weights(np.arange(len(leader.z)))
     return QualityModel(w[:-1].astype(np.float32), float(w[-1]))
 

@@ -21,7 +21,8 @@ from balancebeam.llm.topk import matrix
 
 BLOCK_DIMS = 16
 GRID_DIMS = 2
-CHUNK = 2048  # rows of a cell that one task compares with as many others
+CHUNK = 16384  # rows of a crowded cell that one task compares with as many others
+TILE = 2048  # rows compared at a time within a task
 PAIRS = 1 << 17  # candidate pairs verified at a time
 
 
@@ -136,17 +137,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
         if len(li):
             u = unit(matrix(t.column("v")))
             x = rotate(u)
-            i, j = linked(x[li], x[ri], key[1].as_py(), limit)
-            i, j = li[i], ri[j]
-            once = ~home[j] | (rep[i] < rep[j])  # two rows of the home cell meet twice
-            i, j = i[once], j[once]
-            for p in range(0, len(i), PAIRS):
-                y, z = i[p : p + PAIRS], j[p : p + PAIRS]
-                ok = (u[y] * u[z]).sum(1) >= cosine
-                y, z = y[ok], z[ok]
-                np.add.at(count, of[y], n[z])
-                np.add.at(count, of[z], n[y])
-                forest.link(of[y], of[z])
+            for s, r in product(range(0, len(li), TILE), range(0, len(ri), TILE)):
+                a, b = li[s : s + TILE], ri[r : r + TILE]
+                i, j = linked(x[a], x[b], key[1].as_py(), limit)
+                i, j = a[i], b[j]
+                once = ~home[j] | (rep[i] < rep[j])  # two rows of the home cell meet twice
+                i, j = i[once], j[once]
+                for p in range(0, len(i), PAIRS):
+                    y, z = i[p : p + PAIRS], j[p : p + PAIRS]
+                    ok = (u[y] * u[z]).sum(1) >= cosine
+                    y, z = y[ok], z[ok]
+                    np.add.at(count, of[y], n[z])
+                    np.add.at(count, of[z], n[y])
+                    forest.link(of[y], of[z])
         v = np.flatnonzero(count)
         return pa.table({"rep": ids[v], "links": count[v], "root": ids[forest.root[v]]})
 

@@ -1,11 +1,13 @@
 """Licence scan: normalised lines compared with licence templates by the Dice coefficient over word bigrams, in DataFrame expressions alone.
 
 A Dice of t between sets of a and b bigrams needs t / (2 - t) <= a / b <= (2 - t) / t, so a template is only compared with lines of a size in these bounds: the
-index has a row for each template and admissible size, and lines fetch their templates by an equi-join on size.
+index has a row for each template and admissible size, and lines fetch their templates by an equi-join on size. By the same bound a line must hold one of a few anchor
+words of the template, so texts and lines without any are left out before they are cut into bigrams.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,21 @@ def bigrams(line: Column) -> Column:
     return F.nullif(F.transform(F.array(words), pairs)[0], F.array().cast("array<string>"))  # the lambda binds the words, so they are split once
 
 
+def anchors(templates: Sequence[tuple[str, str]], dice: float) -> list[str]:
+    """Words of which every matching line holds at least one: a line without a template's anchors lacks so many of its bigrams that the bound on the Dice fails."""
+    out = set()
+    for _, text in templates:
+        words = re.findall(r"[^\W_]+", text.lower())
+        pairs = set(zip(words, words[1:]))
+        left, most = set(pairs), len(pairs) * dice / (2 - dice)
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            if len(left) < most:
+                break
+            out.add(w)
+            left = {p for p in left if w not in p}
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, dice: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, license, dice): each line, from 1, with a Dice of at least ``dice`` to a template, and its best licence (ties: smaller name).
 
@@ -52,8 +69,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, dice
     low, high = dice / (2 - dice), (2 - dice) / dice
     sizes = F.sequence(F.greatest(F.lit(1), F.floor(F.size("b") * low)).cast("int"), F.ceil(F.size("b") * high).cast("int"))
     index = index.select("license", "b", F.explode(sizes).alias("size"))
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw"))
-    lines = lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), bigrams(F.col("raw")).alias("a")).where("a is not null").withColumn("size", F.size("a"))
+    near = "|".join(anchors(templates, dice))
+    lines = docs.where(F.lower(F.col(text_col)).rlike(near)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw"))
+    lines = lines.where(F.lower("raw").rlike(near)).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), bigrams(F.col("raw")).alias("a")).where("a is not null").withColumn("size", F.size("a"))
     met = lines.join(F.broadcast(index), "size").withColumn("dice", 2.0 * F.size(F.array_intersect("a", "b")) / (F.col("size") + F.size("b")))
     best = met.where(F.col("dice") >= dice).groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("best"))
     return best.select("doc_id", "line", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice"))

@@ -61,8 +61,9 @@ def linked(a: np.ndarray, b: np.ndarray, block: int, limit: float) -> tuple[np.n
     parts = blocks_of(a.shape[1])
     share = limit / len(parts)
     p, q = a[:, parts[block]].astype(np.float32), b[:, parts[block]].astype(np.float32)
-    near = np.square(p).sum(1)[:, None] + np.square(q).sum(1)[None] - 2 * (p @ q.T) <= share + 1e-4
-    i, j = np.nonzero(near)
+    one = lambda n: np.ones((n, 1), np.float32)
+    squared = np.hstack((p, np.square(p).sum(1, keepdims=True), one(len(p)))) @ np.hstack((-2 * q, one(len(q)), np.square(q).sum(1, keepdims=True))).T
+    i, j = np.divmod(np.flatnonzero(squared <= share + 1e-4), max(1, len(q)))
     keep_i, keep_j = [], []
     for s in range(0, len(i), PAIRS):
         x, y = i[s : s + PAIRS], j[s : s + PAIRS]

@@ -24,7 +24,7 @@ PAIRS = 300_000  # remembered answers of the pair test, and
 STATES = 250_000  # states of the transducer, before either is built anew
 FOLLOWERS = 24  # tokens tried to tell settled tokens apart
 NEVER = 1 << 62
-BLOCK = 32  # tokens that the decoder takes at a time
+BLOCK = 128  # tokens that the decoder takes at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

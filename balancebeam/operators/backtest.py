@@ -36,6 +36,12 @@ def pit_values(facts: DataFrame, dates: list[datetime.date], keys: list[str]) ->
     return joins.asof_backward(rows, dates, "filed", ["end_date", "filed", "_o", "_l"], ["end_date", "filed", "val"], keys)
 
 
+def as_of_dates(facts: DataFrame, filed: str, months: int = 3) -> DataFrame:
+    """As-of dates over the span in which anything was filed, from the start of the first quarter."""
+    span = facts.agg(F.to_date(F.date_trunc("quarter", F.min(filed))).alias("a"), F.max(filed).alias("b")).filter("a is not null")
+    return span.select(F.explode(F.sequence("a", "b", F.expr(f"interval {months} months"))).alias("as_of"))
+
+
 def pit_metrics(values: DataFrame, prices: DataFrame) -> DataFrame:
     """Seven metrics per (entity, as_of). ``values``: (entity, as_of, concept, val, prior_val); ``prices``: (entity, as_of, close).
 
@@ -79,20 +85,14 @@ def forward_returns(prices: DataFrame, dates: list[datetime.date], months: tuple
     base = joins.asof_backward(prices, dates, "date", ["date"], ["close"], key).withColumnRenamed("close", "base")
     out = base
     for m in months:
-        later = [_plus_months(d, m) for d in dates]
-        back = dict(zip(later, dates))
-        ahead = joins.asof_forward(prices, later, "date", ["date", "close"], key).select(*key, F.col("as_of").alias("_at"), F.col("close").alias(f"_c{m}"))
-        names = base.sparkSession.createDataFrame([(a, b) for a, b in back.items()], "_at date, as_of date")
+        later = [joins.plus_months(d, m) for d in dates]
+        ahead = joins.asof_forward(prices, sorted(set(later)), "date", ["date", "close"], key).select(*key, F.col("as_of").alias("_at"), F.col("close").alias(f"_c{m}"))
+        names = base.sparkSession.createDataFrame(list(zip(later, dates)), "_at date, as_of date")
         out = out.join(ahead.join(F.broadcast(names), "_at").drop("_at"), [*key, "as_of"], "left")
         out = out.withColumn(f"return_{m}m", F.try_divide(F.col(f"_c{m}") - F.col("base"), F.col("base"))).drop(f"_c{m}")
     return out.drop("base")
 
 
-def _plus_months(d: datetime.date, m: int) -> datetime.date:
-    k = d.month - 1 + m
-    return datetime.date(d.year + k // 12, k % 12 + 1, d.day)
-
-
 def quantile_buckets(scored: DataFrame, by: list[str], score: str, key: str, buckets: int = 5, *, distributed: bool | None = None) -> DataFrame:
     """bucket = floor(i / ceil(n / k)), capped at k - 1, by score descending within ``by``. Not ntile."""
     ranked = positions(scored, by, [F.round(score, 9).desc(), F.col(key)], "_r", distributed=distributed)

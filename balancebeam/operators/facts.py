@@ -16,12 +16,13 @@ UNITS = ("USD", "USD/shares", "shares")
 
 
 def explode_companyfacts(raw: DataFrame, entity: str = "ticker") -> DataFrame:
-    """Nested facts.taxonomy.tag.units.unit[] JSON text to flat rows: one unit per tag by priority; a non-array counts as empty."""
+    """Nested facts.taxonomy.tag.units.unit[] JSON text to flat rows: the first unit present by priority for each tag; where that is no array the tag has no facts."""
     fact = "array<struct<start:string,end:string,val:double,fy:int,fp:string,form:string,filed:string>>"
     tags = raw.select(entity, F.explode(F.from_json("json", "facts map<string,map<string,struct<units:map<string,string>>>>")["facts"]).alias("taxonomy", "tags"))
     units = tags.select(entity, "taxonomy", F.explode("tags").alias("tag", "t")).select(entity, "taxonomy", "tag", F.col("t.units").alias("u"))
-    is_list = lambda u: F.when(F.ltrim(F.try_element_at("u", F.lit(u))).startswith("["), F.lit(u))
-    picked = units.withColumn("unit", F.coalesce(*[is_list(u) for u in UNITS])).filter("unit is not null")
+    present = lambda u: F.when(F.map_contains_key("u", F.lit(u)), F.lit(u))
+    picked = units.withColumn("unit", F.coalesce(*[present(u) for u in UNITS])).filter("unit is not null")
+    picked = picked.filter(F.ltrim(F.try_element_at("u", F.col("unit"))).startswith("["))
     rows = picked.select(entity, "taxonomy", "tag", "unit", F.inline(F.from_json(F.try_element_at("u", F.col("unit")), fact)))
     return rows.select(entity, "taxonomy", "tag", "unit", F.try_to_date("start", "yyyy-MM-dd").alias("start_date"), F.try_to_date("end", "yyyy-MM-dd").alias("end_date"), "val", "fy", "fp",
                        "form", F.try_to_date("filed", "yyyy-MM-dd").alias("filed"))

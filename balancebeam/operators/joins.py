@@ -6,6 +6,7 @@ combines map-side, and then carried forward over the few slots. A hot entity is
 
 from __future__ import annotations
 
+import calendar
 import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,13 +69,17 @@ def nearest(left: DataFrame, right: DataFrame, left_date: str, right_date: str,
 def quarter_dates(start: datetime.date, end: datetime.date, months: int = 3) -> list[datetime.date]:
     """Evenly spaced as-of dates; a list of a few dozen at most."""
     out, i = [], 0
-    while True:
-        m = start.month - 1 + i * months
-        d = datetime.date(start.year + m // 12, m % 12 + 1, start.day)
-        if d > end:
-            return out
+    while (d := plus_months(start, i * months)) <= end:
         out.append(d)
         i += 1
+    return out
+
+
+def plus_months(d: datetime.date, months: int) -> datetime.date:
+    """The same day of a later month, or that month's last day."""
+    years, month = divmod(d.month - 1 + months, 12)
+    year = d.year + years
+    return datetime.date(year, month + 1, min(d.day, calendar.monthrange(year, month + 1)[1]))
 
 
 def date_table(spark: SparkSession, dates: list[datetime.date]) -> DataFrame:

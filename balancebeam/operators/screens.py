@@ -201,3 +201,8 @@ def sector_peer_mean(ranked: DataFrame) -> DataFrame:
     own = F.coalesce("overall_score", F.lit(0.0))
     others = F.col("_n") - F.col("overall_score").isNotNull().cast("int")
     return ranked.join(sums, "sector", "left").withColumn("peer_mean", F.when(others > 0, (F.col("_s") - own) / others)).drop("_s", "_n")
+
+
+def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows by ``order``: each task keeps its own k before they meet."""
+    return df.orderBy(*order).limit(k)

@@ -115,7 +115,7 @@ BINDINGS: dict[str, str] = {
                sum(cast(floor(l_extendedprice * 100 + 0.5e0) as bigint)) / 1e2 / sum(cast(l_quantity as bigint)) as close
         from lineitem group by l_partkey, cast(l_shipdate as date)""",
     "fx_headlines": """
-        select doc_id, 'P' || lpad(cast(doc_id % 50 as string), 8, '0') as ticker, source, substr(text, 1, 400) as title, doc_id as published_order
+        select doc_id, 'P' || lpad(cast(doc_id % 50 as string), 8, '0') as ticker, source, text as title, doc_id as published_order
         from documents""",
 }
 

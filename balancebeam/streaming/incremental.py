@@ -47,11 +47,19 @@ def upsert_daily(ticks: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return ticks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot_append(changes: DataFrame, path: str, checkpoint: str, rank: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Each micro-batch re-ranks and writes its day's snapshot; a rerun of a day replaces it."""
+def snapshot_append(changes: DataFrame, path: str, checkpoint: str, rank: Callable[[DataFrame], DataFrame], day: str = "date") -> StreamingQuery:
+    """Keep each micro-batch's input by day and batch, then rank all input of the touched days and replace their snapshots.
 
-    def write(batch: DataFrame, _: int) -> None:
-        overwrite_days(rank(batch), path)
+    A day may span any number of batches; a batch that is replayed replaces its own input, so a rerun changes nothing. Inputs lie in ``path`` + "-input".
+    """
+    inputs = f"{path}-input"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, "_batch").parquet(inputs)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(inputs)
+        overwrite_days(rank(stored.join(batch.select(day).distinct(), day, "left_semi").select(*batch.columns)), path, day)
+        batch.unpersist()
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

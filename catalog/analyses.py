@@ -412,8 +412,9 @@ def _rows_sql():
     return {
         "w_cfg": values(cfg, "line, line_no, indent"),
         "w_u": f"select * from (select ticker, fiscal_year, {', '.join(f'{c[0]}::DOUBLE as {c[0]}' for c in cfg)} from fx_income) unpivot include nulls (value for line in ({lines}))",
-        "w_k": """select u.* from w_u u where (select count(value) from w_u x where x.ticker = u.ticker and x.line = u.line) > 0
-                  and not (u.line = 'ebit' and not exists (select 1 from fx_income i where i.ticker = u.ticker and i.ebit is distinct from i.operating_income))""",
+        "w_e": "select ticker, bool_or(ebit is distinct from operating_income) as own from fx_income group by ticker",
+        "w_k": """select ticker, fiscal_year, line, value from (select *, count(value) over (partition by ticker, line) as c from w_u) join w_e using (ticker)
+                  where c > 0 and (line <> 'ebit' or own)""",
         "w_r": "select ticker, fiscal_year, line, line_no, indent, value from w_k join w_cfg using (line)",
     }
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from balancebeam.functions.lexicon import Lexicon
@@ -181,13 +179,13 @@ def _fact_json():
     return one
 
 
-@query("src_facts_explode", f"select entity, tag, unit, start_date, end_date, {rnd('val')} as val, form, filed from (select *, case when tag = 'N' then 'USD' when tag = 'A' then 'shares' end as unit from fx_facts) where unit is not null")
+@query("src_facts_explode", f"select entity, tag, unit, start_date, end_date, {rnd('val')} as val, form, filed from (select *, case when tag = 'N' then 'USD' when tag = 'A' and ord % 2 = 1 then 'shares' end as unit from fx_facts) where unit is not null")
 def src_facts_explode(spark, sf):
-    # one document per line: the nested shape with a non-array unit (an empty object) and two units of which the first by priority counts
+    # one document per line: two units of which the first by priority counts; for half of one tag that first unit is no array and so empty
     arr = F.to_json(F.array(_fact_json()))
     body = (
         F.when(F.col("tag") == "N", F.concat(F.lit('{"facts":{"us-gaap":{"N":{"units":{"shares":'), arr, F.lit(',"USD":'), arr, F.lit("}}}}}")))
-        .when(F.col("tag") == "A", F.concat(F.lit('{"facts":{"us-gaap":{"A":{"units":{"USD":{},"shares":'), arr, F.lit("}}}}}")))
+        .when(F.col("tag") == "A", F.concat(F.when(F.col("ord") % 2 == 1, '{"facts":{"us-gaap":{"A":{"units":{"shares":').otherwise('{"facts":{"us-gaap":{"A":{"units":{"USD":{},"shares":'), arr, F.lit("}}}}}")))
         .otherwise(F.concat(F.lit('{"facts":{"us-gaap":{"R":{"units":{"EUR":'), arr, F.lit("}}}}}")))
     )
     docs = fx(spark, sf).select("entity", body.alias("json"))
@@ -313,11 +311,11 @@ def headlines_recent(spark, sf):
     return tidy(positions(h, ["ticker"], [F.desc("published_order")], "place", distributed=True).select("ticker", "doc_id", "place"))
 
 
-CARRY = "select ticker, source, doc_id from fx_headlines where doc_id % 2 = 0 and (ticker, source) not in (select ticker, source from fx_headlines where doc_id % 4 = 1) union all select ticker, source, doc_id from fx_headlines where doc_id % 4 = 1"
+CARRY = "select ticker, source, doc_id from fx_headlines where doc_id % 4 <> 1 and (ticker, source) not in (select ticker, source from fx_headlines where doc_id % 4 = 1) union all select ticker, source, doc_id from fx_headlines where doc_id % 4 = 1"
 
 
 def _old_new(spark, sf, df):
-    return df.filter("doc_id % 2 = 0"), df.filter("doc_id % 4 = 1")
+    return df.filter("doc_id % 4 <> 1"), df.filter("doc_id % 4 = 1")
 
 
 @query("sent_carry_forward", CARRY)
@@ -378,7 +376,7 @@ def src_profile(spark, sf):
 
 PIT = {
     **D,
-    "v_k": "select f.*, d.as_of from fx_facts f join d_asof d on f.filed <= d.as_of where form = '10-K'",
+    "v_k": "select f.*, d.as_of from fx_facts f join d_asof d on f.filed <= d.as_of where form = '10-K' and (start_date is null or end_date - start_date between 350 and 380)",
     "v_v": "select entity, tag, as_of, end_date, filed, val from v_k qualify row_number() over (partition by entity, tag, as_of order by end_date desc, filed desc, ord, line) = 1",
     "v_prior": """select k.entity, k.tag, k.as_of, k.val from v_k k join v_v v on v.entity = k.entity and v.tag = k.tag and v.as_of = k.as_of and year(k.end_date) < year(v.end_date)
                   qualify row_number() over (partition by k.entity, k.tag, k.as_of order by k.end_date desc, k.filed desc, k.ord, k.line) = 1""",
@@ -396,7 +394,7 @@ PIT = {
 
 def _pit_values(spark, sf):
     """Three tags stand for ten concepts: each concept reads one tag with a factor."""
-    f = fx(spark, sf).filter("form = '10-K'")
+    f = facts.annual_filter(fx(spark, sf))
     now = backtest.pit_values(f, ASOF, ["entity", "tag"])
     mapping = {"revenue": ("N", 1.0), "operating_income": ("N", 1.0), "ocf": ("N", 1.0), "net_income": ("A", 1.0), "eps": ("A", 1 / 5000), "cash": ("A", 0.1), "capex": ("A", 1.0), "equity": ("R", 1.0), "shares": ("R", 0.2)}
     prior = backtest.pit_prior_values(f, ASOF, ["entity", "tag"]).select("entity", "tag", "as_of", F.col("val").alias("prior_val"))
@@ -405,15 +403,14 @@ def _pit_values(spark, sf):
     return rows.select("entity", "as_of", F.inline(F.filter(F.array(*[entry(c, t, k) for c, (t, k) in mapping.items()]), lambda x: x.isNotNull())))
 
 
-@query("pit_dates", "select as_of from d_asof", PIT)
+@query("pit_dates", "select unnest(generate_series(date_trunc('quarter', a), b, interval 3 month))::DATE as as_of from (select min(filed)::TIMESTAMP as a, max(filed)::TIMESTAMP as b from fx_facts)", PIT)
 def pit_dates(spark, sf):
-    span = table(spark, sf, "lineitem").agg(F.lit(datetime.date(1996, 1, 1)).alias("a"), F.lit(datetime.date(2001, 1, 1)).alias("b"))
-    return span.select(F.explode(F.sequence("a", "b", F.expr("interval 3 months"))).alias("as_of"))
+    return backtest.as_of_dates(fx(spark, sf), "filed")
 
 
 @query("pit_value_asof", f"select entity, tag, as_of, end_date, filed, {rnd('val')} as val from v_v", PIT)
 def pit_value_asof(spark, sf):
-    return tidy(backtest.pit_values(fx(spark, sf).filter("form = '10-K'"), ASOF, ["entity", "tag"]))
+    return tidy(backtest.pit_values(facts.annual_filter(fx(spark, sf)), ASOF, ["entity", "tag"]))
 
 
 PIT_KEYS = [k for k, _, _ in backtest.PIT_REGISTRY]
@@ -545,7 +542,7 @@ def src_universe_reshape(spark, sf):
 
 @query("snk_rankings_flat", f"select ticker, overall_rank, {rnd('overall_score')} as overall_score, " + ", ".join(
     f"(select {rnd('score')} from o_rank_cat k where k.ticker = r.ticker and k.category = '{c}') as {c}Score" for c in ("valuation", "profitability", "growth", "cashGeneration", "financialStrength", "capitalAllocation", "efficiency", "earningsQuality", "moat", "momentum"))
-    + ", company_name, sector from o_rank r left join fx_companies using (ticker) where overall_rank <= 2000")
+    + ", company_name, sector from o_rank r left join fx_companies using (ticker) where overall_rank is not null")
 def snk_rankings_flat(spark, sf):
     return tidy(sinks.rankings_flat(ranked(spark, sf), companies(spark, sf)))
 
@@ -557,10 +554,11 @@ def snk_preview_top20(spark, sf):
 
 @query("snk_refresh_log", """select l_suppkey as job, count(*) as requested, count_if(l_quantity > 5) as succeeded, count_if(l_quantity <= 5) as failed,
         case when count_if(l_quantity <= 5) = 0 then 'success' when count_if(l_quantity > 5) = 0 then 'failure' else 'partial_failure' end as status,
-        least(count_if(l_quantity <= 5), 50) as errors_kept from lineitem group by l_suppkey""")
+        count_if(l_quantity <= 5) as error_rows, max(case when l_quantity <= 5 then l_orderkey end) as last_order from lineitem group by l_suppkey""")
 def snk_refresh_log(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("job"), F.struct("l_orderkey", "l_linenumber").alias("key"), (F.col("l_quantity") > 5).alias("ok"), F.lit("too small").alias("error"))
-    return tidy(sinks.refresh_log(li, ["job"]).withColumn("errors_kept", F.size("errors")).drop("errors"))
+    errors = sinks.refresh_errors(li, ["job"]).groupBy("job").agg(F.count(F.lit(1)).alias("error_rows"), F.max("key.l_orderkey").alias("last_order"))
+    return tidy(sinks.refresh_log(li, ["job"]).join(errors, "job", "left").withColumn("error_rows", F.coalesce("error_rows", F.lit(0))))
 
 
 def _scratch(spark) -> str:
@@ -591,8 +589,8 @@ def snk_rankings(spark, sf):
 def inc_snapshot_append(spark, sf):
     ev = table(spark, sf, "events")
     path, source = _scratch(spark), _scratch(spark)
-    ev.select("event_id", F.to_date("ts").alias("date")).repartition(4, "date").write.parquet(source)
-    stream = spark.readStream.schema("event_id bigint, date date").parquet(source)
+    ev.select("event_id", F.to_date("ts").alias("date")).repartition(4).write.parquet(source)  # every day is spread over the files
+    stream = spark.readStream.schema("event_id bigint, date date").option("maxFilesPerTrigger", 1).parquet(source)
     for _ in range(2):  # the second run finds nothing new and changes nothing
         incremental.snapshot_append(stream, path, path + "-ckpt", lambda b: b.groupBy("date").agg(F.count(F.lit(1)).alias("n"))).awaitTermination()
     return spark.read.parquet(path).select("date", "n")

@@ -139,27 +139,27 @@ def rank_reweight(spark, sf):
 @query("rank_override_apply", f"""select ticker, {rnd('overall_score')} as overall_score, overall_rank from
         (select r.ticker, case when o.ticker is not null then o.overall_score else r.overall_score end as overall_score,
                 case when o.ticker is not null then o.overall_rank else r.overall_rank end as overall_rank
-         from o_rank r left join (select * from y_rank where overall_rank <= 100) o using (ticker))""",
+         from o_rank r left join y_rank o using (ticker))""",
        {**Z_WEIGHTS, **rollup_ctes("y_rank", "o_unit", "fx_companies", "z_weights", "z_categories", 3)})
 def rank_override_apply(spark, sf):
     ensure_checkpoint_dir(spark)
     stored, everyone, registry = unit_frame(spark, sf).checkpoint(), companies(spark, sf), metrics()
     n = everyone.count()
     base = rollup.aggregate_rankings(stored, everyone, xs.RankConfig(), registry, n_entities=n)
-    what_if = rollup.aggregate_rankings(stored, everyone, REWEIGHT, registry, n_entities=n).filter("overall_rank <= 100")
+    what_if = rollup.aggregate_rankings(stored, everyone, REWEIGHT, registry, n_entities=n)
     return tidy(rollup.override_scores(base.select("ticker", "overall_score", "overall_rank"), what_if))
 
 
 def _long_metric_values(spark, sf):
-    return panel_ops.metric_panel_long(wide_panel(spark, sf)).filter("raw_value is not null and metric_key like 'growth_%'")
+    return panel_ops.metric_panel_long(wide_panel(spark, sf)).filter("raw_value is not null")
 
 
-GROWTH = "from o_long where v is not null and metric_key like 'growth_%'"
+VALUES = "from o_long where v is not null"
 
 
 @query("xs_winsorize", f"""select ticker, metric_key, year_index, {rnd('least(greatest(v, lb), ub)')} as winsorized from (
         select *, max(case when r = floor(0.05::DOUBLE * (n - 1)) + 1 then v end) over g as lb, max(case when r = ceil(0.95::DOUBLE * (n - 1)) + 1 then v end) over g as ub
-        from (select *, row_number() over (partition by metric_key, year_index order by v) as r, count(*) over (partition by metric_key, year_index) as n {GROWTH})
+        from (select *, row_number() over (partition by metric_key, year_index order by v) as r, count(*) over (partition by metric_key, year_index) as n {VALUES})
         window g as (partition by metric_key, year_index))""")
 def xs_winsorize(spark, sf):
     out = xs.winsorize(_long_metric_values(spark, sf), ["metric_key", "year_index"], "raw_value", "ticker", 0.05, 0.95)
@@ -167,13 +167,13 @@ def xs_winsorize(spark, sf):
 
 
 @query("xs_percentile_rank", f"""select ticker, metric_key, year_index, {rnd('case when n = 1 then 1.0::DOUBLE else (r - 1) / (n - 1)::DOUBLE end', 9)} as percentile
-        from (select *, row_number() over (partition by metric_key, year_index order by v, ticker) as r, count(*) over (partition by metric_key, year_index) as n {GROWTH})""")
+        from (select *, row_number() over (partition by metric_key, year_index order by v, ticker) as r, count(*) over (partition by metric_key, year_index) as n {VALUES})""")
 def xs_percentile_rank(spark, sf):
     out = xs.percentile_rank(_long_metric_values(spark, sf), ["metric_key", "year_index"], "raw_value", "ticker")
     return tidy(out.select("ticker", "metric_key", "year_index", "percentile"), 9)
 
 
-@query("rank_row_number", f"""select ticker, metric_key, row_number() over (partition by metric_key order by v desc, ticker) as rank {GROWTH} and year_index = 0""")
+@query("rank_row_number", f"""select ticker, metric_key, row_number() over (partition by metric_key order by v desc, ticker) as rank {VALUES} and year_index = 0""")
 def rank_row_number(spark, sf):
     rows = _long_metric_values(spark, sf).filter("year_index = 0")
     return tidy(positions(rows, ["metric_key"], [F.desc("raw_value"), F.col("ticker")], "rank").select("ticker", "metric_key", "rank"))

@@ -57,7 +57,7 @@ def join_lookup_left(spark, sf):
     return tidy(out.join(companies(spark, sf).select("ticker", "sector", "company_name"), "ticker", "left"))
 
 
-FLOATS = {"r_floats": "select l_partkey, o_orderkey, o_orderdate::DATE as float_as_of, year(o_orderdate) as float_year from orders join lineitem on l_orderkey = o_orderkey and l_linenumber = 1",
+FLOATS = {"r_floats": "select l_partkey, o_orderkey, o_orderdate::DATE as float_as_of, year(o_orderdate) as float_year from orders join lineitem on l_orderkey = o_orderkey",
           "r_years": "select distinct l_partkey, year(l_shipdate) as fiscal_year, case when l_partkey % 5 <> 0 then make_date(year(l_shipdate), 12, 31) end as period_end from lineitem"}
 
 
@@ -71,8 +71,7 @@ def join_range_float(spark, sf):
     ticker = F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")).alias("ticker")
     li = table(spark, sf, "lineitem")
     orders = table(spark, sf, "orders")
-    first = li.filter("l_linenumber = 1").select("l_orderkey", "l_partkey")
-    floats = first.join(orders, first.l_orderkey == orders.o_orderkey).select(
+    floats = li.select("l_orderkey", "l_partkey").join(orders, li.l_orderkey == orders.o_orderkey).select(
         ticker, F.to_date("o_orderdate").alias("float_as_of"), F.year("o_orderdate").alias("float_year")).distinct()
     years = li.select(ticker, "l_partkey", F.year("l_shipdate").alias("fiscal_year")).distinct().select(
         "ticker", "fiscal_year", F.when(F.col("l_partkey") % 5 != 0, F.make_date("fiscal_year", F.lit(12), F.lit(31))).alias("period_end"))
@@ -118,21 +117,22 @@ def semi_watchlist(spark, sf):
 
 
 def _members(spark, sf, flag):
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).filter("l_shipdate < '1997-01-01'")
-    return li.select(F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")).alias("ticker")).distinct()
+    """Membership lists of every year: the parts of each ship year."""
+    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag)
+    return li.select(F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")).alias("ticker"), F.year("l_shipdate").cast("bigint").alias("list_year")).distinct()
 
 
-MEMBERS = {f"r_{n}": f"select distinct 'P' || lpad(l_partkey::VARCHAR, 8, '0') as ticker from lineitem where l_returnflag = '{f}' and l_shipdate < timestamp '1997-01-01'"
+MEMBERS = {f"r_{n}": f"select distinct 'P' || lpad(l_partkey::VARCHAR, 8, '0') as ticker, year(l_shipdate) as list_year from lineitem where l_returnflag = '{f}'"
            for n, f in (("old", "A"), ("new", "R"))}
 
 
-@query("anti_membership", "select ticker, true as is_member from r_new union all select ticker, false from r_old where ticker not in (select ticker from r_new)", MEMBERS)
+@query("anti_membership", "select ticker, list_year, true as is_member from r_new union all select ticker, list_year, false from r_old anti join r_new using (ticker, list_year)", MEMBERS)
 def anti_membership(spark, sf):
     old, new = _members(spark, sf, "A"), _members(spark, sf, "R")
-    return new.withColumn("is_member", F.lit(True)).unionByName(old.join(new, "ticker", "left_anti").withColumn("is_member", F.lit(False)))
+    return new.withColumn("is_member", F.lit(True)).unionByName(old.join(new, ["ticker", "list_year"], "left_anti").withColumn("is_member", F.lit(False)))
 
 
-@query("set_except_members", "select ticker from r_old except select ticker from r_new", MEMBERS)
+@query("set_except_members", "select ticker, list_year from r_old except select ticker, list_year from r_new", MEMBERS)
 def set_except_members(spark, sf):
     return _members(spark, sf, "A").subtract(_members(spark, sf, "R"))
 
@@ -149,10 +149,10 @@ def set_intersect_years(spark, sf):
     return tidy(a.intersect(b).intersect(c))
 
 
-@query("anti_non_operating", "select ticker from fx_companies where ticker not in (select ticker from fx_income where revenue is not null and inventory_year) "
-       .replace(" and inventory_year", " and fiscal_year >= 2001"))
+@query("anti_non_operating", "select ticker from fx_companies where ticker not in (select ticker from fx_income where revenue is not null and operating_income > 0.6 * revenue)")
 def anti_non_operating(spark, sf):
-    return screens.non_operating(companies(spark, sf), bind(spark, sf, "fx_income").filter("fiscal_year >= 2001")).select("ticker")
+    income = bind(spark, sf, "fx_income").withColumn("revenue", F.expr("case when operating_income > 0.6 * revenue then revenue end"))  # only very profitable years count as reported
+    return screens.non_operating(companies(spark, sf), income).select("ticker")
 
 
 @query("join_self_lag", f"""select ticker, fiscal_year, {rnd('lead(revenue, 2) over (partition by ticker order by fiscal_year desc)')} as revenue_2 from fx_income""")
@@ -464,7 +464,7 @@ SCATTER = "(select ticker, market_cap, roic, growth_revenue_1y from (select w.*,
 def scatter(spark, sf):
     c = companies(spark, sf).select("ticker", "market_cap")
     w = latest_wide(spark, sf).filter("roic is not null and growth_revenue_1y is not null and sector is not null").select("ticker", "roic", "growth_revenue_1y")
-    return w.join(c, "ticker").orderBy(F.desc("market_cap"), "ticker").limit(200)
+    return screens.top_k(w.join(c, "ticker"), [F.desc("market_cap"), F.col("ticker")], 200)
 
 
 @query("topk_scatter", f"select ticker, {rnd('market_cap')} as market_cap, {rnd('roic')} as roic from {SCATTER}")

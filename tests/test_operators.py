@@ -62,9 +62,26 @@ def test_public_float_prefers_later_cover_then_later_filing(spark):
     assert [(r.fiscal_year, r.public_float) for r in facts.public_float_history(df, F.lit(True)).collect()] == [(2020, 2.0)]
 
 
+def test_months_end_where_the_month_ends():
+    assert joins.plus_months(D(2023, 10, 31), 4) == D(2024, 2, 29) and joins.plus_months(D(2020, 1, 1), 12) == D(2021, 1, 1)
+    assert joins.quarter_dates(D(2020, 11, 30), D(2021, 6, 1)) == [D(2020, 11, 30), D(2021, 2, 28), D(2021, 5, 30)]
+
+
+def test_snapshot_of_a_day_over_several_batches(spark, tmp_path):
+    from balancebeam.streaming.incremental import snapshot_append
+
+    for k, days in enumerate((["2024-01-01", "2024-01-02"], ["2024-01-01"], ["2024-01-01", "2024-01-02"])):
+        spark.createDataFrame([(d, k) for d in days], "date string, v int").selectExpr("cast(date as date) as date", "v").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("date date, v int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        snapshot_append(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt", lambda b: b.groupBy("date").count()).awaitTermination()
+    assert {str(r.date): r["count"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"2024-01-01": 3, "2024-01-02": 2}
+
+
 def test_companyfacts_json(spark):
-    body = '{"facts":{"us-gaap":{"R":{"units":{"shares":[{"end":"2020-12-31","val":1,"form":"10-K","filed":"2021-02-01"}],"USD":{}}}}}}'
-    assert [(r.tag, r.unit, r.val) for r in facts.explode_companyfacts(spark.createDataFrame([("A", body)], "ticker string, json string")).collect()] == [("R", "shares", 1.0)]
+    one = '[{"end":"2020-12-31","val":1,"form":"10-K","filed":"2021-02-01"}]'
+    body = '{"facts":{"us-gaap":{"R":{"units":{"shares":%s,"USD":{}}},"S":{"units":{"shares":%s}},"T":{"units":{"EUR":%s}}}}}' % (one, one, one)
+    assert [(r.tag, r.unit, r.val) for r in facts.explode_companyfacts(spark.createDataFrame([("A", body)], "ticker string, json string")).collect()] == [("S", "shares", 1.0)]
 
 
 def test_momentum_defaults(spark):

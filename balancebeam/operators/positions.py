@@ -15,8 +15,6 @@ from balancebeam.session import ensure_checkpoint_dir
 
 # Largest group one task may sort; above it positions are computed over range partitions.
 MAX_WINDOW_ROWS = 2_000_000
-# Largest aggregate sent to every executor.
-MAX_BROADCAST_ROWS = 500_000
 
 
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "pos", *, distributed: bool | None = None) -> DataFrame:
@@ -43,12 +41,12 @@ def _distributed(df: DataFrame, group: Sequence[str], order: Sequence[Column], o
     per_part = rows.groupBy("_part", *group).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    # at most groups + partitions rows, since every range partition starts at most one group part-way; still measured before it is broadcast
+    # at most groups + partitions rows, since every range partition starts at most one group part-way; adaptive execution picks the join
     renamed = offsets.select(F.col("_part").alias("_o_part"), "_first", "_base", *[F.col(g).alias(f"_o_{g}") for g in group])
     same = F.col("_part") == F.col("_o_part")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    joined = rows.join(broadcast_if_small(renamed), same)
+    joined = rows.join(renamed, same)
     return joined.select(*df.columns, (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias(out))
 
 
@@ -57,13 +55,6 @@ def too_large(df: DataFrame) -> bool:
     return df.count() > MAX_WINDOW_ROWS
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast hint for an aggregate whose measured size allows it. The rows are written once, so counting does not compute them twice."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint()
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def group_bounded(n_entities: int) -> bool:
     """A cross-section has at most one row per entity and group, so the entity count bounds every group."""
     return n_entities <= MAX_WINDOW_ROWS

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from balancebeam.functions import dims
 from balancebeam.functions.scalars import clamp, logistic
 from balancebeam.metrics.registry import CATEGORY_WEIGHTS, Metric, metrics
-from balancebeam.operators.positions import broadcast_if_small, positions, too_large
+from balancebeam.operators.positions import positions, too_large
 from balancebeam.operators.sector import canonical_sector
 
 # Negatives of a mixed group score below this, positives from one half up: the bands never meet.
@@ -125,7 +125,7 @@ def _attach(df: DataFrame, group: list[str], aggs: dict[str, Column], distribute
     if not distributed:
         w = Window.partitionBy(*group)
         return df.withColumns({k: a.over(w) for k, a in aggs.items()})
-    return df.join(broadcast_if_small(df.groupBy(*group).agg(*[a.alias(k) for k, a in aggs.items()])), group)
+    return df.join(df.groupBy(*group).agg(*[a.alias(k) for k, a in aggs.items()]), group)
 
 
 def winsorize(df: DataFrame, group: list[str], value: str, key: str, lower: float, upper: float, *, distributed: bool | None = None) -> DataFrame:

@@ -207,9 +207,12 @@ def headline_metrics(spark, sf):
     return tidy(rollup.headline_metrics(wide_panel(spark, sf)))
 
 
-@query("src_metric_dim", "select m as ord, metric_key, category, direction, verdict, default_weight, negative_is_bad, sector_relative, enabled from d_metrics")
+@query("src_metric_dim", """select m as ord, metric_key, category, direction, verdict, default_weight, negative_is_bad, sector_relative, enabled, coalesce(n, 0) as panel_values
+        from d_metrics left join (select metric_key, count(v) as n from o_long group by metric_key) using (metric_key)""")
 def src_metric_dim(spark, sf):
-    return tidy(sinks.metric_dimension(spark))
+    """The dimension with the number of values that the panel holds of each metric."""
+    held = panel_ops.metric_panel_long(wide_panel(spark, sf)).groupBy("metric_key").agg(F.count("raw_value").alias("panel_values"))
+    return tidy(sinks.metric_dimension(spark).join(held, "metric_key", "left").withColumn("panel_values", F.coalesce("panel_values", F.lit(0))))
 
 
 @query("roll_years", f"select ticker, m, {rnd('score', 9)} as score from o_rank_my")

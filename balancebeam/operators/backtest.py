@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from balancebeam.functions.scalars import ratio_pos
@@ -36,6 +36,37 @@ def pit_values(facts: DataFrame, dates: list[datetime.date], keys: list[str]) ->
     return joins.asof_backward(rows, dates, "filed", ["end_date", "filed", "_o", "_l"], ["end_date", "filed", "val"], keys)
 
 
+def pit_panel(facts: DataFrame, dates: list[datetime.date], keys: list[str]) -> DataFrame:
+    """(keys, as_of, end_date, filed, val, prior_val): ``pit_values`` and the value of the newest period of an earlier fiscal year known at the same date.
+
+    One pass: facts are reduced to a row per (key, period end, date slot), the versions of that period. A version holds from its slot to the next one. A period is the
+    newest from its first filing until a later period is filed; it is the prior one from the filing of a later year until a period between the two, too, is of
+    an earlier year than the newest. Both spans are running minima over the key's few periods, so dates are expanded only for rows that are picked.
+    """
+    slotted = facts.withColumn("slot", joins.slot_at_or_after(F.col("filed"), dates)).filter(F.col("slot").isNotNull())
+    versions = slotted.groupBy(*keys, "end_date", "slot").agg(F.max(F.struct("filed", (-F.col("ord")).alias("o"), (-F.col("line")).alias("l"), "val")).alias("_best"))
+    # one shuffle on the key serves both windows and the last aggregate
+    placed = versions.repartition(*keys).withColumns({"_y": F.year("end_date"), "_d": F.unix_date("end_date")})
+    period = Window.partitionBy(*keys, "end_date").orderBy("slot")
+    held = placed.withColumns({
+        "_pick": F.max("_best").over(period.rowsBetween(Window.unboundedPreceding, 0)), "_known": F.min("slot").over(Window.partitionBy(*keys, "end_date")),
+        "_until": F.coalesce(F.lead("slot").over(period), F.lit(len(dates))) - 1})
+    later = Window.partitionBy(*keys).orderBy("_d").rangeBetween(1, Window.unboundedFollowing)
+    later_year = Window.partitionBy(*keys).orderBy("_y").rangeBetween(1, Window.unboundedFollowing)
+    held = held.withColumns({"_passed": F.min("slot").over(later), "_old": F.min("slot").over(later_year)})
+    held = held.withColumn("_prior_from", F.when(F.col("_old").isNotNull(), F.greatest("_known", "_old")))
+    held = held.withColumn("_prior_to", F.min("_prior_from").over(later))
+    newest = joins.dates_between(dates, F.col("slot"), F.least("_until", F.col("_passed") - 1))
+    prior = joins.dates_between(dates, F.greatest("slot", "_old"), F.least("_until", F.col("_prior_to") - 1))
+    spans = held.select(*keys, "end_date", "_pick", F.explode(F.concat(
+        F.transform(newest, lambda d: F.struct(d.alias("as_of"), F.lit(True).alias("now"))),
+        F.when(F.col("_old").isNotNull(), F.transform(prior, lambda d: F.struct(d.alias("as_of"), F.lit(False).alias("now")))).otherwise(F.expr("cast(array() as array<struct<as_of: date, now: boolean>>)")))).alias("s"))
+    now = F.col("now")
+    return spans.select(*keys, "s.as_of", "s.now", "end_date", "_pick.filed", "_pick.val").groupBy(*keys, "as_of").agg(
+        F.max(F.when(now, F.col("end_date"))).alias("end_date"), F.max(F.when(now, F.col("filed"))).alias("filed"), F.max(F.when(now, F.col("val"))).alias("val"),
+        F.max(F.when(~now, F.col("val"))).alias("prior_val"))
+
+
 def as_of_dates(facts: DataFrame, filed: str, months: int = 3) -> DataFrame:
     """As-of dates over the span in which anything was filed, from the start of the first quarter."""
     span = facts.agg(F.to_date(F.date_trunc("quarter", F.min(filed))).alias("a"), F.max(filed).alias("b")).filter("a is not null")
@@ -72,9 +103,9 @@ def pit_registry() -> list[Metric]:
     return [Metric(k, c, d, "supporting" if c == "growth" else "core", lambda k=k: F.col(k)) for k, c, d in PIT_REGISTRY]
 
 
-def pit_rank(metrics: DataFrame, *, distributed: bool | None = None) -> DataFrame:
-    """Full ranking per as-of date over dates with at least ten entities: the as-of date joins every partition key."""
-    sized = metrics.groupBy("as_of").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_ENTITIES).select("as_of")
+def pit_rank(metrics: DataFrame, min_entities: int = MIN_ENTITIES, *, distributed: bool | None = None) -> DataFrame:
+    """Full ranking per as-of date over dates with at least ``min_entities`` entities (1: every date): the as-of date joins every partition key."""
+    sized = metrics.groupBy("as_of").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_entities).select("as_of")
     wide = metrics.join(sized, "as_of").withColumnRenamed("entity", "ticker").withColumns({"sector": F.lit(None).cast("string"), "year_index": F.lit(0)})
     return rank_universe(wide, wide.select("as_of", "ticker", "sector"), PIT_CONFIG, pit_registry(), by=("as_of",), distributed=distributed)
 
@@ -108,8 +139,8 @@ def bucket_report(bucketed: DataFrame, value: str, keys: list[str], *, distribut
     return stats.join(upper_median(bucketed, ["bucket"], value, keys, distributed=distributed).withColumnRenamed("median", "median_return"), "bucket")
 
 
-def snapshot_backtest(snapshots: DataFrame, prices: DataFrame, current: DataFrame, *, distributed: bool | None = None) -> DataFrame:
-    """Earliest ranking per entity against today's price, bucketed by score: 5, 4 or 3 buckets by row count.
+def snapshot_backtest(snapshots: DataFrame, prices: DataFrame, current: DataFrame, buckets: int = 5) -> DataFrame:
+    """Earliest ranking per entity against today's price, bucketed by score. Fewer than 50 rows read better in four buckets, fewer than 20 in three.
 
     ``snapshots``: (entity, date, overall_score, overall_rank); ``prices``: (entity, date, close); ``current``: (entity, price_now).
     """
@@ -117,20 +148,4 @@ def snapshot_backtest(snapshots: DataFrame, prices: DataFrame, current: DataFram
     first = first.filter("overall_score is not null and overall_rank is not null")
     matched = joins.nearest(first, prices, "snap_date", "date", 14, "close").filter("matched_value > 0")
     rows = matched.join(current.filter("price_now > 0"), "entity").withColumn("forward_return", (F.col("price_now") - F.col("matched_value")) / F.col("matched_value"))
-    n = rows.count()
-    k = 5 if n >= 50 else 4 if n >= 20 else 3
-    return quantile_buckets(rows, [], "overall_score", "entity", k, distributed=distributed)
-
-
-def pit_prior_values(facts: DataFrame, dates: list[datetime.date], keys: list[str]) -> DataFrame:
-    """Per key and as-of date the value of the newest period of an earlier fiscal year than the newest one known.
-
-    Facts are reduced to one row per period end and date slot first; the two-step pick then runs over a key's few periods.
-    """
-    from pyspark.sql import Window
-
-    per_end = facts.withColumns({"_o": -F.col("ord"), "_l": -F.col("line")})
-    known = joins.asof_backward(per_end, dates, "filed", ["filed", "_o", "_l"], ["filed", "val"], [*keys, "end_date"])
-    newest = F.max(F.year("end_date")).over(Window.partitionBy(*keys, "as_of"))
-    earlier = known.withColumn("_y", newest).filter(F.year("end_date") < F.col("_y"))
-    return earlier.groupBy(*keys, "as_of").agg(F.max_by("val", "end_date").alias("val"))
+    return quantile_buckets(rows, [], "overall_score", "entity", buckets)

@@ -1,7 +1,7 @@
 """Statement joins, interval, nearest and as-of joins.
 
 The as-of joins never cross facts with dates: every row is first reduced to the latest one per (entity, date slot), an aggregate that
-combines map-side, and then carried forward over the few slots. A hot entity is therefore never gathered.
+combines map-side. The rows left are an entity's changes; each is expanded over the dates it holds for, at the very end. A hot entity is therefore never gathered.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import calendar
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,36 +82,38 @@ def plus_months(d: datetime.date, months: int) -> datetime.date:
     return datetime.date(year, month + 1, min(d.day, calendar.monthrange(year, month + 1)[1]))
 
 
-def date_table(spark: SparkSession, dates: list[datetime.date]) -> DataFrame:
-    return spark.createDataFrame([(i, d) for i, d in enumerate(dates)], "slot int, as_of date")
+def _date_array(dates: list[datetime.date]) -> Column:
+    return F.array(*[F.lit(d) for d in dates])
 
 
 def slot_at_or_after(date: Column, dates: list[datetime.date]) -> Column:
-    """Index of the first as-of date on or after ``date``; NULL beyond the last."""
-    out = F.lit(None).cast("int")
-    for i in reversed(range(len(dates))):
-        out = F.when(date <= F.lit(dates[i]), i).otherwise(out)
-    return out
+    """Index of the first of the sorted as-of dates on or after ``date``; NULL beyond the last. One constant array, so a long list adds no code."""
+    index = F.size(F.filter(_date_array(dates), lambda d: d < date))
+    return F.when(date.isNotNull() & (index < len(dates)), index)
 
 
 def slot_at_or_before(date: Column, dates: list[datetime.date]) -> Column:
-    out = F.lit(None).cast("int")
-    for i in range(len(dates)):
-        out = F.when(date >= F.lit(dates[i]), i).otherwise(out)
-    return out
+    """Index of the last of the sorted as-of dates on or before ``date``; NULL before the first."""
+    index = F.size(F.filter(_date_array(dates), lambda d: d <= date)) - 1
+    return F.when(date.isNotNull() & (index >= 0), index)
+
+
+def dates_between(dates: list[datetime.date], first: Column, last: Column) -> Column:
+    """The as-of dates of the slots ``first`` to ``last``; empty where the span is."""
+    return F.slice(_date_array(dates), first + 1, F.greatest(last - first + 1, F.lit(0)))
 
 
 def _carry(best: DataFrame, keys: list[str], dates: list[datetime.date], forward: bool) -> DataFrame:
-    """Running extreme over the slots. A key has at most one row per slot plus the padding, a few dozen in all."""
-    spark = best.sparkSession
-    grid = best.select(*keys).distinct().crossJoin(F.broadcast(date_table(spark, dates)))
-    padded = grid.join(best, [*keys, "slot"], "left")
+    """Running extreme over the slots in which a key changes; every change spans the slots up to the next one and is expanded last."""
     w = Window.partitionBy(*keys).orderBy("slot")
     if forward:
         run = F.min("_best").over(w.rowsBetween(0, Window.unboundedFollowing))
+        first, last = F.coalesce(F.lag("slot").over(w) + 1, F.lit(0)), F.col("slot")
     else:
         run = F.max("_best").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return padded.withColumn("_best", run).filter(F.col("_best").isNotNull())
+        first, last = F.col("slot"), F.coalesce(F.lead("slot").over(w) - 1, F.lit(len(dates) - 1))
+    spans = best.select(*keys, run.alias("_best"), first.alias("_first"), last.alias("_last"))
+    return spans.select(*keys, "_best", F.explode(dates_between(dates, F.col("_first"), F.col("_last"))).alias("as_of"))
 
 
 def asof_backward(rows: DataFrame, dates: list[datetime.date], known: str, order: list[str], carry: list[str], keys: list[str]) -> DataFrame:

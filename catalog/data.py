@@ -385,20 +385,17 @@ PIT = {
     "v_w": """select p.entity, p.as_of, p.close, n.val as revenue, a.val as net_income, a.val / 5000 as eps, r.val as equity, r.val / 5 as shares, pr.val as prior_revenue
               from v_p p left join v_v n on n.entity = p.entity and n.as_of = p.as_of and n.tag = 'N' left join v_v a on a.entity = p.entity and a.as_of = p.as_of and a.tag = 'A'
               join v_v r on r.entity = p.entity and r.as_of = p.as_of and r.tag = 'R' left join v_prior pr on pr.entity = p.entity and pr.as_of = p.as_of and pr.tag = 'N'""",
-    "v_m": """select entity, as_of, close / (case when eps > 0 then eps end) as pe, (close * shares - net_income * 0.1::DOUBLE) / (case when revenue > 0 then revenue end) as ev_ebit,
+    "v_m": """select entity, as_of, close / (case when eps > 0 then eps end) as pe, (close * shares + coalesce(revenue * 0.25::DOUBLE, 0) - coalesce(net_income * 0.1::DOUBLE, 0)) / (case when revenue > 0 then revenue end) as ev_ebit,
               (revenue - abs(net_income)) / (case when close * shares > 0 then close * shares end) as fcf_yield, net_income / (case when equity > 0 then equity end) as roe,
-              null::DOUBLE as gross_margin, revenue / (case when prior_revenue > 0 then prior_revenue end) - 1 as revenue_growth, null::DOUBLE as debt_to_equity, net_income from v_w""",
+              equity * 0.5::DOUBLE / (case when revenue > 0 then revenue end) as gross_margin, revenue / (case when prior_revenue > 0 then prior_revenue end) - 1 as revenue_growth, revenue * 0.25::DOUBLE / (case when equity > 0 then equity end) as debt_to_equity, coalesce(revenue, net_income) as net_income from v_w""",
     "v_me": "select entity, as_of, pe, case when net_income is not null then ev_ebit end as ev_ebit, fcf_yield, roe, gross_margin, revenue_growth, debt_to_equity from v_m",
 }
 
 
 def _pit_values(spark, sf):
-    """Three tags stand for ten concepts: each concept reads one tag with a factor."""
-    f = facts.annual_filter(fx(spark, sf))
-    now = backtest.pit_values(f, ASOF, ["entity", "tag"])
-    mapping = {"revenue": ("N", 1.0), "operating_income": ("N", 1.0), "ocf": ("N", 1.0), "net_income": ("A", 1.0), "eps": ("A", 1 / 5000), "cash": ("A", 0.1), "capex": ("A", 1.0), "equity": ("R", 1.0), "shares": ("R", 0.2)}
-    prior = backtest.pit_prior_values(f, ASOF, ["entity", "tag"]).select("entity", "tag", "as_of", F.col("val").alias("prior_val"))
-    rows = now.join(prior, ["entity", "tag", "as_of"], "left")
+    """Three tags stand for eleven concepts: each concept reads one tag with a factor."""
+    rows = backtest.pit_panel(facts.annual_filter(fx(spark, sf)), ASOF, ["entity", "tag"])
+    mapping = {"revenue": ("N", 1.0), "gross_profit": ("R", 0.5), "debt": ("N", 0.25), "operating_income": ("N", 1.0), "ocf": ("N", 1.0), "net_income": ("A", 1.0), "eps": ("A", 1 / 5000), "cash": ("A", 0.1), "capex": ("A", 1.0), "equity": ("R", 1.0), "shares": ("R", 0.2)}
     entry = lambda c, t, k: F.when(F.col("tag") == t, F.struct(F.lit(c).alias("concept"), (F.col("val") / (1 / k) if k == 1 / 5000 else F.col("val") / 5 if k == 0.2 else F.col("val") * k).alias("val"), (F.col("prior_val") * k).alias("prior_val")))
     return rows.select("entity", "as_of", F.inline(F.filter(F.array(*[entry(c, t, k) for c, (t, k) in mapping.items()]), lambda x: x.isNotNull())))
 
@@ -488,7 +485,7 @@ SNAPS = {
     "u_s": "select l_partkey as entity, l_shipdate::DATE as date, round(l_extendedprice / 1000, 3) as overall_score, l_orderkey as overall_rank from lineitem qualify row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber) = 1",
     "u_m": "select s.*, p.date as pd, p.close, row_number() over (partition by s.entity order by abs(p.date - s.date), p.date) as k from u_s s join fx_trade_prices p on p.entity = s.entity and abs(p.date - s.date) <= 14 and p.date <> s.date",
     "u_r": "select m.entity, m.date as snap_date, m.overall_score, m.pd as matched_date, (c.p_retailprice - m.close) / m.close as forward_return from u_m m join part c on c.p_partkey = m.entity where k = 1 and m.close > 0",
-    "u_b": "select *, (case when count(*) over () >= 50 then 5 when count(*) over () >= 20 then 4 else 3 end) as nb, row_number() over (order by round(overall_score, 9) desc, entity) as k, count(*) over () as n from u_r",
+    "u_b": "select *, 5 as nb, row_number() over (order by round(overall_score, 9) desc, entity) as k, count(*) over () as n from u_r",
 }
 
 
@@ -501,7 +498,7 @@ def snapshot_backtest(spark, sf):
     # a price of another day than the snapshot's, so the tolerance matters
     px = bind(spark, sf, PRICE).join(snaps.select("entity", "date"), ["entity", "date"], "left_anti")
     now = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("price_now"))
-    out = backtest.snapshot_backtest(snaps, px, now, distributed=True)
+    out = backtest.snapshot_backtest(snaps, px, now)
     return tidy(out.select("entity", "snap_date", "matched_date", "forward_return", "bucket"))
 
 

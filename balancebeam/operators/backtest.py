@@ -43,7 +43,7 @@ def pit_panel(facts: DataFrame, dates: list[datetime.date], keys: list[str]) ->
     newest from its first filing until a later period is filed; it is the prior one from the filing of a later year until a period between the two, too, is of
     an earlier year than the newest. Both spans are running minima over the key's few periods, so dates are expanded only for rows that are picked.
     """
-    slotted = facts.withColumn("slot", joins.slot_at_or_after(F.col("filed"), dates)).filter(F.col("slot").isNotNull())
+    slotted = joins.slot_at_or_after(facts, "filed", dates)
     versions = slotted.groupBy(*keys, "end_date", "slot").agg(F.max(F.struct("filed", (-F.col("ord")).alias("o"), (-F.col("line")).alias("l"), "val")).alias("_best"))
     # one shuffle on the key serves both windows and the last aggregate
     placed = versions.repartition(*keys).withColumns({"_y": F.year("end_date"), "_d": F.unix_date("end_date")})

@@ -86,16 +86,19 @@ def _date_array(dates: list[datetime.date]) -> Column:
     return F.array(*[F.lit(d) for d in dates])
 
 
-def slot_at_or_after(date: Column, dates: list[datetime.date]) -> Column:
-    """Index of the first of the sorted as-of dates on or after ``date``; NULL beyond the last. One constant array, so a long list adds no code."""
-    index = F.size(F.filter(_date_array(dates), lambda d: d < date))
-    return F.when(date.isNotNull() & (index < len(dates)), index)
+def _count_dates(dates: list[datetime.date], date: Column, counted) -> Column:
+    """How many as-of dates ``counted(as_of, date)`` holds for. One constant array, so a long list adds no code; the date is bound once, not once per element."""
+    return F.get(F.transform(F.array(date), lambda x: F.size(F.filter(_date_array(dates), lambda d: counted(d, x)))), F.lit(0))
 
 
-def slot_at_or_before(date: Column, dates: list[datetime.date]) -> Column:
-    """Index of the last of the sorted as-of dates on or before ``date``; NULL before the first."""
-    index = F.size(F.filter(_date_array(dates), lambda d: d <= date)) - 1
-    return F.when(date.isNotNull() & (index >= 0), index)
+def slot_at_or_after(rows: DataFrame, known: str, dates: list[datetime.date]) -> DataFrame:
+    """Rows known by the last of the sorted as-of dates, with ``slot``: the index of the first as-of date on or after ``known``."""
+    return rows.filter(F.col(known) <= F.lit(dates[-1])).withColumn("slot", _count_dates(dates, F.col(known), lambda d, x: d < x))
+
+
+def slot_at_or_before(rows: DataFrame, known: str, dates: list[datetime.date]) -> DataFrame:
+    """Rows from the first of the sorted as-of dates on, with ``slot``: the index of the last as-of date on or before ``known``."""
+    return rows.filter(F.col(known) >= F.lit(dates[0])).withColumn("slot", _count_dates(dates, F.col(known), lambda d, x: d <= x) - 1)
 
 
 def dates_between(dates: list[datetime.date], first: Column, last: Column) -> Column:
@@ -118,7 +121,7 @@ def _carry(best: DataFrame, keys: list[str], dates: list[datetime.date], forward
 
 def asof_backward(rows: DataFrame, dates: list[datetime.date], known: str, order: list[str], carry: list[str], keys: list[str]) -> DataFrame:
     """Per key and as-of date, among rows with ``known`` <= as_of, the one greatest by ``order``. The order must be total for a deterministic pick."""
-    slotted = rows.withColumn("slot", slot_at_or_after(F.col(known), dates)).filter(F.col("slot").isNotNull())
+    slotted = slot_at_or_after(rows, known, dates)
     best = slotted.groupBy(*keys, "slot").agg(F.max(F.struct(*order, *[c for c in carry if c not in order])).alias("_best"))
     out = _carry(best, keys, dates, forward=False)
     return out.select(*keys, "as_of", *[F.col(f"_best.{c}").alias(c) for c in carry])
@@ -126,7 +129,7 @@ def asof_backward(rows: DataFrame, dates: list[datetime.date], known: str, order
 
 def asof_forward(rows: DataFrame, dates: list[datetime.date], known: str, carry: list[str], keys: list[str]) -> DataFrame:
     """Per key and as-of date the first row with ``known`` >= as_of."""
-    slotted = rows.withColumn("slot", slot_at_or_before(F.col(known), dates)).filter(F.col("slot").isNotNull())
+    slotted = slot_at_or_before(rows, known, dates)
     best = slotted.groupBy(*keys, "slot").agg(F.min(F.struct(known, *[c for c in carry if c != known])).alias("_best"))
     out = _carry(best, keys, dates, forward=True)
     return out.select(*keys, "as_of", *[F.col(f"_best.{c}").alias(c) for c in carry])

@@ -17,12 +17,11 @@ from balancebeam.operators.xs import RankConfig
 MIN_ENTITIES = 10
 
 
-def upper_median(df: DataFrame, group: list[str], value: str, key: str, *, distributed: bool | None = None) -> DataFrame:
+def upper_median(df: DataFrame, group: list[str], value: str, key: str) -> DataFrame:
     """(group, median): the element at floor(n / 2), not interpolated. ``key`` makes the order total."""
     keys = [key] if isinstance(key, str) else list(key)
-    ranked = positions(df, group, [F.col(value), *[F.col(k) for k in keys]], "_r", distributed=distributed)
-    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    at = ranked.join(n, group).filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1)
+    ranked = positions(df, group, [F.col(value), *[F.col(k) for k in keys]], "_r", {"_n": F.count(F.lit(1))})
+    at = ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1)
     return at.select(*group, F.col(value).alias("median"))
 
 
@@ -103,11 +102,11 @@ def pit_registry() -> list[Metric]:
     return [Metric(k, c, d, "supporting" if c == "growth" else "core", lambda k=k: F.col(k)) for k, c, d in PIT_REGISTRY]
 
 
-def pit_rank(metrics: DataFrame, min_entities: int = MIN_ENTITIES, *, distributed: bool | None = None) -> DataFrame:
+def pit_rank(metrics: DataFrame, min_entities: int = MIN_ENTITIES) -> DataFrame:
     """Full ranking per as-of date over dates with at least ``min_entities`` entities (1: every date): the as-of date joins every partition key."""
     sized = metrics.groupBy("as_of").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_entities).select("as_of")
     wide = metrics.join(sized, "as_of").withColumnRenamed("entity", "ticker").withColumns({"sector": F.lit(None).cast("string"), "year_index": F.lit(0)})
-    return rank_universe(wide, wide.select("as_of", "ticker", "sector"), PIT_CONFIG, pit_registry(), by=("as_of",), distributed=distributed)
+    return rank_universe(wide, wide.select("as_of", "ticker", "sector"), PIT_CONFIG, pit_registry(), by=("as_of",))
 
 
 def forward_returns(prices: DataFrame, dates: list[datetime.date], months: tuple[int, ...] = (6, 12), keys: tuple[str, ...] = ("entity",)) -> DataFrame:
@@ -124,19 +123,17 @@ def forward_returns(prices: DataFrame, dates: list[datetime.date], months: tuple
     return out.drop("base")
 
 
-def quantile_buckets(scored: DataFrame, by: list[str], score: str, key: str, buckets: int = 5, *, distributed: bool | None = None) -> DataFrame:
+def quantile_buckets(scored: DataFrame, by: list[str], score: str, key: str, buckets: int = 5) -> DataFrame:
     """bucket = floor(i / ceil(n / k)), capped at k - 1, by score descending within ``by``. Not ntile."""
-    ranked = positions(scored, by, [F.round(score, 9).desc(), F.col(key)], "_r", distributed=distributed)
-    n = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sized = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))  # a single row without groups
+    sized = positions(scored, by, [F.round(score, 9).desc(), F.col(key)], "_r", {"_n": F.count(F.lit(1))})
     size = F.ceil(F.col("_n") / buckets)
     return sized.withColumn("bucket", F.least(F.floor((F.col("_r") - 1) / size), F.lit(buckets - 1))).drop("_r", "_n")
 
 
-def bucket_report(bucketed: DataFrame, value: str, keys: list[str], *, distributed: bool | None = None) -> DataFrame:
+def bucket_report(bucketed: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """n, mean and upper median of the return per bucket."""
     stats = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_return"))
-    return stats.join(upper_median(bucketed, ["bucket"], value, keys, distributed=distributed).withColumnRenamed("median", "median_return"), "bucket")
+    return stats.join(upper_median(bucketed, ["bucket"], value, keys).withColumnRenamed("median", "median_return"), "bucket")
 
 
 def snapshot_backtest(snapshots: DataFrame, prices: DataFrame, current: DataFrame, buckets: int = 5) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact positions (1..n) within groups of any size.
 
-Small groups use a window. A group that may hold a large share of all rows is ranked without ever meeting in one task: rows are
-range-partitioned on (group, order), numbered inside each partition, and shifted by the rows the group has in earlier partitions.
+No group ever meets in one task: rows are range-partitioned on (group, order), numbered inside each partition, and shifted by the rows the group has in
+earlier partitions. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -13,21 +13,13 @@ from pyspark.sql import functions as F
 
 from balancebeam.session import ensure_checkpoint_dir
 
-# Largest group one task may sort; above it positions are computed over range partitions.
-MAX_WINDOW_ROWS = 2_000_000
 
-
-def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "pos", *, distributed: bool | None = None) -> DataFrame:
+def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "pos", totals: dict[str, Column] | None = None) -> DataFrame:
     """Add 1-based ``out`` per group. The order must be total (end it with a unique key) for the result to be deterministic.
 
-    ``distributed`` is for callers that know a bound on the group size; left out, the row count decides.
+    ``totals`` adds sums over the group to every row, e.g. ``{"n": F.count(F.lit(1))}``; they come with the shift, without a join of their own.
     """
-    if not (too_large(df) if distributed is None else distributed):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return _distributed(df, group, order, out)
-
-
-def _distributed(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    totals = totals or {}
     ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(g).asc_nulls_first() for g in group]
     # the checkpoint pins each row to its partition: the offsets and the rows must come from the same range bounds
@@ -38,23 +30,13 @@ def _distributed(df: DataFrame, group: Sequence[str], order: Sequence[Column], o
         .checkpoint()
         .withColumn("_part", F.shiftrightunsigned("_id", 33))
     )
-    per_part = rows.groupBy("_part", *group).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    per_part = rows.groupBy("_part", *group).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), *[a.alias(f"_t_{k}") for k, a in totals.items()])
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    offsets = per_part.withColumns({"_base": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), **{f"_t_{k}": F.sum(f"_t_{k}").over(Window.partitionBy(*group)) for k in totals}})
     # at most groups + partitions rows, since every range partition starts at most one group part-way; adaptive execution picks the join
-    renamed = offsets.select(F.col("_part").alias("_o_part"), "_first", "_base", *[F.col(g).alias(f"_o_{g}") for g in group])
+    renamed = offsets.select(F.col("_part").alias("_o_part"), "_first", "_base", *[f"_t_{k}" for k in totals], *[F.col(g).alias(f"_o_{g}") for g in group])
     same = F.col("_part") == F.col("_o_part")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
     joined = rows.join(renamed, same)
-    return joined.select(*df.columns, (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias(out))
-
-
-def too_large(df: DataFrame) -> bool:
-    """Whether one group could hold more rows than a task may sort."""
-    return df.count() > MAX_WINDOW_ROWS
-
-
-def group_bounded(n_entities: int) -> bool:
-    """A cross-section has at most one row per entity and group, so the entity count bounds every group."""
-    return n_entities <= MAX_WINDOW_ROWS
+    return joined.select(*df.columns, (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias(out), *[F.col(f"_t_{k}").alias(k) for k in totals])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from balancebeam.functions import dims
 from balancebeam.functions.scalars import coverage_tier
 from balancebeam.metrics.registry import CATEGORIES, YEAR_WEIGHTS, Metric
-from balancebeam.operators.positions import group_bounded, positions
+from balancebeam.operators.positions import positions
 from balancebeam.operators.sector import canonical_sector
 from balancebeam.operators.xs import RankConfig, enabled_metrics, unit_scores, values_from_wide
 from balancebeam.session import ensure_checkpoint_dir
@@ -75,7 +75,7 @@ def roll_overall(categories: DataFrame, config: RankConfig) -> DataFrame:
     return sums.withColumn("coverage_ratio", ratio).withColumn("coverage_tier", coverage_tier("coverage_ratio"))
 
 
-def overall_rank(scored: DataFrame, by: tuple[str, ...] = (), *, n_entities: int) -> DataFrame:
+def overall_rank(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Row-number rank by score, ties by ticker; no score, no rank. Without ``by``, peer_count is the whole universe.
 
     The wide rows are written once. Only (score, ticker) is ranked, over range partitions at any size, and joined back, so no task meets the universe.
@@ -84,28 +84,26 @@ def overall_rank(scored: DataFrame, by: tuple[str, ...] = (), *, n_entities: int
     scored = scored.checkpoint()
     # rounding keeps equal scores tied however sums were partitioned
     narrow = scored.filter("overall_score is not null").select(*by, "ticker", F.round("overall_score", 9).alias("_s"))
-    ranks = positions(narrow, list(by), [F.desc("_s"), F.col("ticker")], "overall_rank", distributed=True).select(*by, "ticker", F.col("overall_rank").cast("long"))
+    ranks = positions(narrow, list(by), [F.desc("_s"), F.col("ticker")], "overall_rank").select(*by, "ticker", F.col("overall_rank").cast("long"))
     out = scored.join(ranks, [*by, "ticker"], "left")
-    return out if by else out.withColumn("peer_count", F.lit(n_entities).cast("long"))
+    # one row
+    return out if by else out.crossJoin(F.broadcast(scored.agg(F.count(F.lit(1)).alias("peer_count"))))
 
 
-def aggregate_rankings(scores: DataFrame, companies: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = (), *,
-                       n_entities: int) -> DataFrame:
+def aggregate_rankings(scores: DataFrame, companies: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = ()) -> DataFrame:
     """The weight-dependent half: reusable over stored unit scores for any weights and for fewer years."""
     # one shuffle on the entity serves both roll-ups; every entity has at most metrics x years rows
     placed = scores.repartition(*by, "ticker")
     rolled = roll_category(roll_years(placed, config.years, by), companies, config, registry, by)
-    return overall_rank(roll_overall(rolled, config), by, n_entities=n_entities)
+    return overall_rank(roll_overall(rolled, config), by)
 
 
 def rank_universe(wide: DataFrame, companies: DataFrame, config: RankConfig = RankConfig(), registry: list[Metric] | None = None,
-                  by: tuple[str, ...] = (), *, distributed: bool | None = None) -> DataFrame:
-    """Full ranking. ``companies`` (by, ticker, sector) is the universe; it also bounds every peer group, which decides the plan."""
+                  by: tuple[str, ...] = ()) -> DataFrame:
+    """Full ranking. ``companies`` (by, ticker, sector) is the universe."""
     registry = enabled_metrics(registry)
-    n = companies.count()
-    distributed = (not group_bounded(n)) if distributed is None else distributed
-    scores = unit_scores(values_from_wide(wide, config, registry, by), config, registry, by, distributed=distributed)
-    return aggregate_rankings(scores, companies, config, registry, by, n_entities=n)
+    scores = unit_scores(values_from_wide(wide, config, registry, by), config, registry, by)
+    return aggregate_rankings(scores, companies, config, registry, by)
 
 
 def override_scores(stored: DataFrame, overrides: DataFrame) -> DataFrame:

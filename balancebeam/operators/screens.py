@@ -149,23 +149,22 @@ def negative_is_bad_order(value: str) -> list[Column]:
     return [v.isNull(), v <= 0, F.abs(v)]
 
 
-def trim_outliers(df: DataFrame, axes: tuple[str, ...], p: float) -> DataFrame:
-    """Mark rows inside the [round(p(n-1)), round((1-p)(n-1))] order statistics of every axis; off when p <= 0 or n < 10.
+def trim_outliers(df: DataFrame, axes: tuple[str, ...], p: float, min_rows: int = 10) -> DataFrame:
+    """Mark rows inside the [round(p(n-1)), round((1-p)(n-1))] order statistics of every axis; p <= 0 or fewer than ``min_rows`` rows keeps everything.
 
     The two bounds per axis come from range-partitioned positions, so no axis is sorted in one task.
     """
-    from balancebeam.operators.positions import MAX_WINDOW_ROWS, positions
+    from balancebeam.operators.positions import positions
 
-    n = df.count()
-    if p <= 0 or n < 10:
+    if p <= 0:
         return df.withColumn("kept", F.lit(True))
-    lo, hi = int(p * (n - 1) + 0.5), int((1 - p) * (n - 1) + 0.5)
+    at = lambda q: F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5) + 1
     out, inside = df, F.lit(True)
     for a in axes:
-        ranked = positions(df.select("ticker", a), [], [F.col(a), F.col("ticker")], "_r", distributed=n > MAX_WINDOW_ROWS)
-        bounds = ranked.filter(F.col("_r").isin(lo + 1, hi + 1)).agg(F.min(a).alias(f"_{a}_lo"), F.max(a).alias(f"_{a}_hi"))
+        ranked = positions(df.select("ticker", a), [], [F.col(a), F.col("ticker")], "_r", {"_n": F.count(F.lit(1))})
+        bounds = ranked.agg(F.max(F.when(F.col("_r") == at(p), F.col(a))).alias(f"_{a}_lo"), F.max(F.when(F.col("_r") == at(1 - p), F.col(a))).alias(f"_{a}_hi"), F.max("_n").alias(f"_{a}_n"))
         out = out.crossJoin(F.broadcast(bounds))
-        inside = inside & F.col(a).between(F.col(f"_{a}_lo"), F.col(f"_{a}_hi"))
+        inside = inside & ((F.col(f"_{a}_n") < min_rows) | F.col(a).between(F.col(f"_{a}_lo"), F.col(f"_{a}_hi")))
     return out.withColumn("kept", inside).select(*df.columns, "kept")
 
 

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from balancebeam.functions import dims
 from balancebeam.functions.scalars import clamp, logistic
 from balancebeam.metrics.registry import CATEGORY_WEIGHTS, Metric, metrics
-from balancebeam.operators.positions import positions, too_large
+from balancebeam.operators.positions import positions
 from balancebeam.operators.sector import canonical_sector
 
 # Negatives of a mixed group score below this, positives from one half up: the bands never meet.
@@ -56,7 +56,7 @@ def values_from_wide(wide: DataFrame, config: RankConfig, registry: list[Metric]
     return rows.select(*by, "ticker", "sector", "year_index", F.posexplode(cells).alias("m", "v")).filter(F.abs("v") < float("inf"))
 
 
-def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = (), *, distributed: bool) -> DataFrame:
+def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], by: tuple[str, ...] = ()) -> DataFrame:
     """(by, ticker, m, year_index, score, peer_rank, peer_count): score in [0, 1], higher is better; rank 1 is best.
 
     One row of ``values`` per entity, metric and year. Peer groups with fewer than two values give no score.
@@ -67,11 +67,8 @@ def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], b
     rows = values.select(*by, "m", "year_index", F.when(rel, F.coalesce("sector", F.lit("~"))).otherwise("").alias("peer"),
                          "ticker", F.col("v").alias("v"))
     group = [*by, "m", "year_index", "peer"]
-    ranked = positions(rows, group, [F.col("v"), F.col("ticker")], "r", distributed=distributed)
-
-    n, n_pos = F.count(F.lit(1)), F.count(F.when(F.col("v") > 0, True))
-    counted = _attach(ranked, group, {"n": n, "n_pos": n_pos}, distributed)
-    counted = counted.filter(F.col("n") >= 2)
+    totals = {"n": F.count(F.lit(1)), "n_pos": F.count(F.when(F.col("v") > 0, True))}
+    counted = positions(rows, group, [F.col("v"), F.col("ticker")], "r", totals).filter(F.col("n") >= 2)
     split = neg & (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
     counted = (
         counted.withColumn("split", split)
@@ -86,28 +83,27 @@ def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], b
     for side, cond in (("low", F.col("low_side")), ("high", ~F.col("low_side"))):
         bounds[f"lb_{side}"] = F.max(F.when(cond & (F.col("r_side") == lo_at), F.col("v")))
         bounds[f"ub_{side}"] = F.max(F.when(cond & (F.col("r_side") == hi_at), F.col("v")))
-    bounded = _attach(counted, group, bounds, distributed)
+    bounded = _attach(counted, group, bounds)
     pick = lambda b: F.when(F.col("low_side"), F.col(f"{b}_low")).otherwise(F.col(f"{b}_high"))
-    bounded = bounded.withColumn("wv", clamp("v", pick("lb"), pick("ub"))).drop("lb_low", "lb_high", "ub_low", "ub_high", "r", "r_side")
-    # the low side sorts first, as it does by value: rows arrive almost in the order the second numbering needs
-    bounded = bounded.withColumn("high_side", ~F.col("low_side"))
+    bounded = bounded.withColumns({"lb": pick("lb"), "ub": pick("ub"), "high_side": ~F.col("low_side")}).drop("lb_low", "lb_high", "ub_low", "ub_high", "r")
+    bounded = bounded.withColumn("wv", clamp("v", "lb", "ub"))
     side = [*group, "high_side"]
     # a whole group that is not positive is scored by closeness to zero, without the metric's direction
     rising = F.when(F.col("low_side") | (neg & (F.col("n_pos") == 0)), F.lit(True)).otherwise(~flip)
     below = F.when(F.col("low_side"), F.col("n_pos")).otherwise(0)
 
     if config.method == "percentile":
-        placed = positions(bounded, side, [F.col("wv"), F.col("ticker")], "rw", distributed=distributed)
+        placed = _clamped_positions(bounded, side)
         unit = F.when(F.col("n_side") == 1, F.lit(1.0)).otherwise((F.col("rw") - 1) / F.nullif((F.col("n_side") - 1).cast("double"), F.lit(0.0)))
         scored = placed.withColumn("score", _banded(unit, rising))
         rank = below + F.when(rising, F.col("n_side") - F.col("rw") + 1).otherwise(F.col("rw"))
         scored = scored.withColumn("peer_rank", rank)
     else:
         stats = {"mu": F.avg("wv"), "sd": F.stddev_pop("wv"), "w_min": F.min("wv"), "w_max": F.max("wv")}
-        placed = _attach(bounded, side, stats, distributed)
+        placed = _attach(bounded, side, stats)
         z = F.when(_constant("w_min", "w_max"), F.lit(0.0)).otherwise((F.col("wv") - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0)))
         scored = placed.withColumn("score", _banded(logistic(z), rising)).drop(*stats)
-        scored = positions(scored, group, [F.desc("score"), F.col("ticker")], "peer_rank", distributed=distributed)
+        scored = positions(scored, group, [F.desc("score"), F.col("ticker")], "peer_rank")
     return scored.select(*by, "ticker", "m", "year_index", "score", F.col("peer_rank").cast("long").alias("peer_rank"), F.col("n").alias("peer_count"))
 
 
@@ -120,36 +116,39 @@ def _banded(unit: Column, rising: Column) -> Column:
     return F.when(~F.col("split"), directed).when(F.col("low_side"), unit * NEGATIVE_CEILING).otherwise(0.5 + 0.5 * directed)
 
 
-def _attach(df: DataFrame, group: list[str], aggs: dict[str, Column], distributed: bool) -> DataFrame:
-    """Group statistics on every row: over the window when groups are bounded, else by partial aggregation and a small join."""
-    if not distributed:
-        w = Window.partitionBy(*group)
-        return df.withColumns({k: a.over(w) for k, a in aggs.items()})
+def _clamped_positions(bounded: DataFrame, side: list[str]) -> DataFrame:
+    """Add ``rw``, the position by (clamped value, ticker) within ``side``. Between the bounds clamping changes no order, so only the two tails are numbered again:
+    each is a run of positions, dealt anew by ticker."""
+    inside = (F.col("lb") < F.col("wv")) & (F.col("wv") < F.col("ub"))
+    tails = bounded.filter(~inside).withColumn("tail", (F.col("wv") == F.col("ub")) & (F.col("lb") < F.col("ub")))
+    run = [*side, "tail"]
+    dealt = positions(tails, run, [F.col("ticker")], "k", {"n_run": F.count(F.lit(1))})
+    start = F.when(F.col("tail"), F.col("n_side") - F.col("n_run")).otherwise(0)
+    return bounded.filter(inside).withColumn("rw", F.col("r_side")).unionByName(dealt.withColumn("rw", start + F.col("k")).drop("tail", "k", "n_run"))
+
+
+def _attach(df: DataFrame, group: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """Group statistics on every row, by partial aggregation and a join with one row per group."""
     return df.join(df.groupBy(*group).agg(*[a.alias(k) for k, a in aggs.items()]), group)
 
 
-def winsorize(df: DataFrame, group: list[str], value: str, key: str, lower: float, upper: float, *, distributed: bool | None = None) -> DataFrame:
+def winsorize(df: DataFrame, group: list[str], value: str, key: str, lower: float, upper: float) -> DataFrame:
     """Add ``winsorized``: the value clamped to two order statistics of its group."""
-    distributed = too_large(df) if distributed is None else distributed
-    ranked = positions(df, group, [F.col(value), F.col(key)], "_r", distributed=distributed)
-    counted = _attach(ranked, group, {"_n": F.count(F.lit(1))}, distributed)
+    counted = positions(df, group, [F.col(value), F.col(key)], "_r", {"_n": F.count(F.lit(1))})
     at = lambda p, f: f(F.lit(p) * (F.col("_n") - 1)) + 1
     bounds = {"_lb": F.max(F.when(F.col("_r") == at(lower, F.floor), F.col(value))), "_ub": F.max(F.when(F.col("_r") == at(upper, F.ceil), F.col(value)))}
-    return _attach(counted, group, bounds, distributed).withColumn("winsorized", clamp(value, "_lb", "_ub")).drop("_r", "_n", "_lb", "_ub")
+    return _attach(counted, group, bounds).withColumn("winsorized", clamp(value, "_lb", "_ub")).drop("_r", "_n", "_lb", "_ub")
 
 
-def percentile_rank(df: DataFrame, group: list[str], value: str, key: str, *, distributed: bool | None = None) -> DataFrame:
+def percentile_rank(df: DataFrame, group: list[str], value: str, key: str) -> DataFrame:
     """Add ``percentile`` in [0, 1]: row position over n - 1, ties by key; a group of one scores 1."""
-    distributed = too_large(df) if distributed is None else distributed
-    ranked = positions(df, group, [F.col(value), F.col(key)], "_r", distributed=distributed)
-    counted = _attach(ranked, group, {"_n": F.count(F.lit(1))}, distributed)
+    counted = positions(df, group, [F.col(value), F.col(key)], "_r", {"_n": F.count(F.lit(1))})
     pct = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((F.col("_r") - 1) / F.nullif((F.col("_n") - 1).cast("double"), F.lit(0.0)))
     return counted.withColumn("percentile", pct).drop("_r", "_n")
 
 
-def zscore(df: DataFrame, group: list[str], value: str, *, distributed: bool | None = None) -> DataFrame:
+def zscore(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Add ``zscore`` (population deviation, 0 in a constant group) and ``unit_score``, its logistic."""
-    distributed = too_large(df) if distributed is None else distributed
     stats = {"_mu": F.avg(value), "_sd": F.stddev_pop(value), "_lo": F.min(value), "_hi": F.max(value)}
     z = F.when(_constant("_lo", "_hi"), F.lit(0.0)).otherwise((F.col(value) - F.col("_mu")) / F.nullif(F.col("_sd"), F.lit(0.0)))
-    return _attach(df, group, stats, distributed).withColumn("zscore", z).withColumn("unit_score", logistic("zscore")).drop(*stats)
+    return _attach(df, group, stats).withColumn("zscore", z).withColumn("unit_score", logistic("zscore")).drop(*stats)

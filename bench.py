@@ -49,10 +49,9 @@ def main() -> None:
         measure(name, lambda name=name: QUERIES[name](spark, sf_dir))
     # the reference's interactive case: unit scores are stored, only the weights change
     registry, config, everyone = xs.enabled_metrics(), xs.RankConfig(), companies(spark, sf_dir)
-    n = everyone.count()
-    xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf_dir), config, registry), config, registry, distributed=False).write.parquet(f"{scratch}/unit_scores")
+    xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf_dir), config, registry), config, registry).write.parquet(f"{scratch}/unit_scores")
     stored = spark.read.parquet(f"{scratch}/unit_scores")
-    measure("rank_reweight", lambda: rollup.aggregate_rankings(stored, everyone, REWEIGHT, registry, n_entities=n))
+    measure("rank_reweight", lambda: rollup.aggregate_rankings(stored, everyone, REWEIGHT, registry))
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
 
 

@@ -308,7 +308,7 @@ def headlines_recent(spark, sf):
     from balancebeam.operators.positions import positions
 
     h = bind(spark, sf, "fx_headlines").select("ticker", "doc_id", "published_order")
-    return tidy(positions(h, ["ticker"], [F.desc("published_order")], "place", distributed=True).select("ticker", "doc_id", "place"))
+    return tidy(positions(h, ["ticker"], [F.desc("published_order")], "place").select("ticker", "doc_id", "place"))
 
 
 CARRY = "select ticker, source, doc_id from fx_headlines where doc_id % 4 <> 1 and (ticker, source) not in (select ticker, source from fx_headlines where doc_id % 4 = 1) union all select ticker, source, doc_id from fx_headlines where doc_id % 4 = 1"

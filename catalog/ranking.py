@@ -8,7 +8,7 @@ from balancebeam.metrics.registry import CATEGORIES, metrics
 from balancebeam.operators import panel as panel_ops
 from balancebeam.operators import prices, rollup, xs
 from balancebeam.operators import sector as sector_ops
-from balancebeam.operators.positions import group_bounded, positions
+from balancebeam.operators.positions import positions
 from balancebeam.session import ensure_checkpoint_dir
 from balancebeam.sources import sinks
 from catalog.base import FIXTURE_MOMENTUM, companies, daily_prices, query, tidy, wide_panel
@@ -35,12 +35,7 @@ def metric_panel_long(spark, sf):
 
 def unit_frame(spark, sf, config=xs.RankConfig()):
     registry = xs.enabled_metrics()
-    return xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry, distributed=large(spark, sf))
-
-
-def large(spark, sf):
-    """Peer groups hold at most one row per entity, so the entity count decides the plan."""
-    return not group_bounded(companies(spark, sf).count())
+    return xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry)
 
 
 @query("xs_unit_scores", f"select ticker, m, year_index, {rnd("score", 9)} as score, peer_rank, peer_count from o_unit")
@@ -74,7 +69,7 @@ def subset(keep):
 
 def _unit(spark, sf, keep, config=xs.RankConfig()):
     registry = subset(keep)
-    scores = xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry, distributed=large(spark, sf))
+    scores = xs.unit_scores(xs.values_from_wide(wide_panel(spark, sf), config, registry), config, registry)
     return scores.withColumn("metric_key", key_of(registry)).drop("m")
 
 
@@ -133,7 +128,7 @@ def rank_reweight(spark, sf):
     ensure_checkpoint_dir(spark)
     stored = unit_frame(spark, sf).checkpoint()
     everyone = companies(spark, sf)
-    return tidy(rollup.aggregate_rankings(stored, everyone, REWEIGHT, metrics(), n_entities=everyone.count()).select(*RANK_COLS))
+    return tidy(rollup.aggregate_rankings(stored, everyone, REWEIGHT, metrics()).select(*RANK_COLS))
 
 
 @query("rank_override_apply", f"""select ticker, {rnd('overall_score')} as overall_score, overall_rank from
@@ -144,9 +139,8 @@ def rank_reweight(spark, sf):
 def rank_override_apply(spark, sf):
     ensure_checkpoint_dir(spark)
     stored, everyone, registry = unit_frame(spark, sf).checkpoint(), companies(spark, sf), metrics()
-    n = everyone.count()
-    base = rollup.aggregate_rankings(stored, everyone, xs.RankConfig(), registry, n_entities=n)
-    what_if = rollup.aggregate_rankings(stored, everyone, REWEIGHT, registry, n_entities=n)
+    base = rollup.aggregate_rankings(stored, everyone, xs.RankConfig(), registry)
+    what_if = rollup.aggregate_rankings(stored, everyone, REWEIGHT, registry)
     return tidy(rollup.override_scores(base.select("ticker", "overall_score", "overall_rank"), what_if))
 
 
@@ -243,17 +237,14 @@ def score_coverage(spark, sf):
 
 @query("overall_rank", "select ticker, overall_rank, peer_count from o_rank")
 def overall_rank(spark, sf):
-    return tidy(ranked(spark, sf, distributed=True).select("ticker", "overall_rank", "peer_count"))
+    return tidy(ranked(spark, sf).select("ticker", "overall_rank", "peer_count"))
 
 
-def ranked(spark, sf, distributed=None):
-    """The default ranking; ``distributed`` forces the plan used for universes too large for one task per group."""
-    return rollup.rank_universe(wide_panel(spark, sf), companies(spark, sf), distributed=distributed)
+def ranked(spark, sf):
+    """The default ranking."""
+    return rollup.rank_universe(wide_panel(spark, sf), companies(spark, sf))
 
 
-@query("xs_peer_rank", "select ticker, m, year_index, peer_rank, peer_count from o_unit where m in (select m from d_metrics where category = 'valuation')")
+@query("xs_peer_rank", "select ticker, m, year_index, peer_rank, peer_count from o_unit")
 def xs_peer_rank(spark, sf):
-    registry, config = metrics(), xs.RankConfig()
-    numbers = [i for i, m in enumerate(registry) if m.category == "valuation"]
-    rows = xs.values_from_wide(wide_panel(spark, sf), config, registry).filter(F.col("m").isin(numbers))
-    return tidy(xs.unit_scores(rows, config, registry, distributed=True).select("ticker", "m", "year_index", "peer_rank", "peer_count"))
+    return tidy(unit_frame(spark, sf).select("ticker", "m", "year_index", "peer_rank", "peer_count"))

@@ -444,7 +444,7 @@ def sort_negative_is_bad(spark, sf):
     from balancebeam.operators.positions import positions
 
     order = [*screens.negative_is_bad_order("pe_ttm"), F.col("ticker")]
-    return tidy(positions(latest_wide(spark, sf), [], order, "place", distributed=True).select("ticker", "place"))
+    return tidy(positions(latest_wide(spark, sf), [], order, "place").select("ticker", "place"))
 
 
 @query("sort_null_defaults", f"select ticker, coalesce(overall_rank, 9999) as rank_key, {rnd('coalesce(market_cap, 0)')} as cap_key, {rnd('coalesce(overall_score, -1)')} as score_key from {R}")

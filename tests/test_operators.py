@@ -159,6 +159,25 @@ def test_strategy_qualifies_is_null_while_gaps_could_pass(spark):
     assert {r.ticker: r.qualifies for r in strategies.strategy_eval(df, chain).collect()} == {"P": None, "F": False, "T": True}
 
 
+def test_point_in_time_panel_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("abc"), D(2015 + rng.randint(0, 3), rng.choice([3, 9, 12]), 28), i, rng.randint(1, 3), float(i)) for i in range(400)]
+    rows = [(e, end, end + dt.timedelta(days=rng.randint(10, 700)), o, n, v) for e, end, o, n, v in rows]
+    rows += [("late", D(2016, 3, 28), D(2030, 1, 1), 1, 1, 1.0), ("void", D(2016, 3, 28), D(2016, 4, 1), 1, 1, None)]
+    dates = joins.quarter_dates(D(2015, 1, 1), D(2020, 1, 1))
+    facts = spark.createDataFrame(rows, "entity string, end_date date, filed date, ord int, line int, val double")
+    got = {(r.entity, r.as_of): (r.end_date, r.filed, r.val, r.prior_val) for r in backtest.pit_panel(facts, dates, ["entity"]).collect()}
+    want = {}
+    for e in {r[0] for r in rows}:
+        for a in dates:
+            known = sorted(((end, f, -o, -n), v) for x, end, f, o, n, v in rows if x == e and f <= a)
+            if known:
+                (end, filed, *_), val = known[-1]
+                prior = [v for (x, *_), v in known if x.year < end.year]
+                want[e, a] = (end, filed, val, prior[-1] if prior else None)
+    assert got == want
+
+
 def test_implied_growth_matches_bisection(spark):
     def firm(g, rate):
         fcf, pv = 1.0, 0.0

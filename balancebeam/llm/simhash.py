@@ -136,7 +136,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     Rows without any word are copies of each other. Only ids and fingerprints are shuffled to find the groups; the texts join once, with the kept ids.
     """
-    found = near_duplicates(docs, words, budget, id_col, text_col)
+    return keep_ids(docs, near_duplicates(docs, words, budget, id_col, text_col), id_col)
+
+
+def keep_ids(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``found`` (id, component_id); of rows that repeat an id, one."""
     keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(_key(F.col("id")).alias("__key")).distinct()
     kept = docs.withColumn("__key", _key(F.col(id_col))).join(keep, "__key", "left_semi")
     return kept.dropDuplicates(["__key"]).drop("__key")  # the join has dealt and sorted by it

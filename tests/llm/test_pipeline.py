@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pytest
@@ -60,3 +61,38 @@ def test_stages_take_odd_and_empty_tables(spark, docs, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs(rows), str(tmp_path))
             assert out.count() <= (len(rows) if out.columns == corpus_pipeline.COLUMNS else 10**6)
+
+
+def test_near_duplicate_stage_is_brute_force_jaccard(spark, docs):
+    r = random.Random(11)
+    rows = list(ODD)
+    for k in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.choice((4, 9, 60, 200)))]
+        for j in range(5):  # near copies that differ in a few words; a copy of a copy drifts away
+            rows.append((100 + 10 * k + j, " ".join(base), "en"))
+            for _ in range(r.randint(0, 3)):
+                base[r.randrange(len(base))] = f"x{r.randrange(10**6)}"
+    notice = " ".join(f"n{i}" for i in range(40))
+    rows += [(900 + k, f"{notice} {' '.join(f'y{k}.{i}' for i in range(k % 20))}", "en") for k in range(60)]
+
+    def sets(text):
+        w = (text or "").encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    root, have = list(range(len(rows))), [sets(t) for _, t, _ in rows]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (not have[a] and not have[b]) or len(have[a] & have[b]) >= 0.8 * len(have[a] | have[b]) > 0:
+                root[find(a)] = find(b)
+    groups = {}
+    for k, (i, _, _) in enumerate(rows):
+        groups.setdefault(find(k), []).append(i)
+    want = sorted(min((i for i in g if i is not None), default=0) for g in groups.values())
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert sorted(x.doc_id or 0 for x in stage(spark, docs(rows), "").collect()) == want

@@ -1,7 +1,7 @@
 """Lexical retrieval packing: a sharded BM25 index over token ids gives each seed document its neighbours, which fill the seed's window.
 
-A document first fills whole windows of its own; what is left of it (its tail) is packed. Tails are dealt to shards by their rarest tokens, so documents that
-share rare tokens meet. A shard holds a bounded number of tails and indexes them; the first unused tail seeds a window, the index returns unused neighbours, best
+A document first fills whole windows of its own; what is left of it (its tail) is packed. Tails are dealt to shards by the BM25 scores of all their tokens
+against sampled tails (pivots), similar pivots next to each other, so related documents meet. A shard holds a bounded number of tails and indexes them; the first unused tail seeds a window, the index returns unused neighbours, best
 first, and they fill the window exactly, the last one cut. What is cut off stays in the index and seeds the next window. Only the last window of a task may stay
 open, so padding does not follow the data. Document frequencies are counted over the tails of all documents; their table has one entry per id of the vocabulary.
 """
@@ -23,7 +23,7 @@ from balancebeam.llm.wordids import WordEncoder, file_encoder
 
 K1, B = 1.2, 0.75
 SHARD = 2048  # tails indexed together
-QUERY = 24  # a seed asks with its heaviest terms
+PIVOTS = 256  # tails that route the others; the index itself never reads them
 PIECE = "doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -39,9 +39,8 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids, k1, k2): the ids of the whole text and ``end_id`` after them, two bytes an id where the vocabulary allows it; null text: ``end_id`` alone.
-    k1 and k2 are the two highest ids of the tail: a vocabulary lists tokens by merge order, so these are its rarest."""
+def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, ids): the ids of the whole text and ``end_id`` after them, two bytes an id where the vocabulary allows it; null text: ``end_id`` alone."""
     kind, narrow = dict(docs.dtypes)[id_col], id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,18 +49,9 @@ def tokenise(docs: DataFrame, path: str, end_id: int, window: int, id_col: str =
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 ids = [np.frombuffer((enc.encode(t) if t else b"") + end, "<u4").astype(narrow) for t in part.column(1).to_pylist()]
-                high = np.array([_two_highest(x[len(x) // window * window :]) for x in ids], np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(high[:, 0]), pa.array(high[:, 1])], names=["doc_id", "n", "ids", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n long, ids binary, k1 int, k2 int")
-
-
-def _two_highest(tail: np.ndarray) -> tuple[int, int]:
-    if not len(tail):
-        return -1, -1
-    first = int(tail.max())
-    rest = tail[tail < first]
-    return first, int(rest.max()) if len(rest) else -1
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n long, ids binary")
 
 
 def id_type(path: str) -> str:
@@ -93,6 +83,55 @@ def bm25_idf(df: np.ndarray, count: int) -> np.ndarray:
     return np.log1p((count - df + 0.5) / (df + 0.5))
 
 
+def bm25_weights(tf: np.ndarray, idf: np.ndarray, length, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))
+
+
+class Router:
+    """Ranks the pivots for a tail by BM25 over all terms of both, a pivot's score divided by the root of its summed idf so that long ones do not take all."""
+
+    def __init__(self, pivots: list[np.ndarray], idf: np.ndarray, mean: float):
+        terms = [np.unique(x).astype(np.int64) for x in pivots]
+        self.idf, self.mean, self.n = idf, mean, len(pivots)
+        flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.names, first = np.unique(flat[order], return_index=True)
+        self.ptr = np.append(first, len(flat))
+        self.post = np.repeat(np.arange(self.n), [len(t) for t in terms])[order]
+        self.norm = np.sqrt([max(float(idf[t].sum()), 1e-9) for t in terms])
+        self.place = np.arange(self.n)
+        if self.n:
+            self.place = self._chain(np.array([self.scores(x) for x in pivots]))
+
+    def _chain(self, near: np.ndarray) -> np.ndarray:
+        """The place of each pivot in a chain that goes on with the most similar one left."""
+        near, left, at, place = near + near.T, np.ones(self.n, bool), 0, np.zeros(self.n, np.int64)
+        for k in range(self.n):
+            left[at], place[at] = False, k
+            at = int(np.argmax(np.where(left, near[at], -1.0)))
+        return place
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        terms, tf = np.unique(ids, return_counts=True)
+        at = np.minimum(np.searchsorted(self.names, terms), max(len(self.names) - 1, 0))
+        known = self.names[at] == terms
+        at, weight = at[known], bm25_weights(tf[known], self.idf[terms[known]], len(ids), self.mean)
+        many = self.ptr[at + 1] - self.ptr[at]
+        flat = np.repeat(self.ptr[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(self.post[flat], np.repeat(weight, many), self.n) / self.norm
+
+    def route(self, ids: np.ndarray) -> tuple[int, int]:
+        """The places of the best and the second pivot; -1: none."""
+        if self.n < 2:
+            return -1, -1
+        score = self.scores(ids)
+        best = int(score.argmax())
+        first = score[best]
+        score[best] = -1.0
+        second = int(score.argmax())
+        return (int(self.place[best]) if first > 0 else -1), (int(self.place[second]) if score[second] > 0 else -1)
+
+
 class Shard:
     """A BM25 index of the tails of one shard, and the greedy packing of its windows."""
 
@@ -106,20 +145,17 @@ class Shard:
             tf.append(c)
         self.doc, term, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, terms, tf))
         length = np.array([len(x) for x in tails], float)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1)))
+        weight = bm25_weights(tf, idf[term], length[self.doc], mean)
         self.row = np.searchsorted(self.doc, np.arange(self.n + 1))
-        self.term, self.weight = term, weight
+        self.term = term
         order = np.argsort(term, kind="stable")
         self.names, first = np.unique(term[order], return_index=True)
         self.ptr = np.append(first, len(order))
         self.post_doc, self.post_weight = self.doc[order], weight[order]
 
     def scores(self, seed: int) -> np.ndarray:
-        a, b = self.row[seed], self.row[seed + 1]
-        terms, weight = self.term[a:b], self.weight[a:b]
-        if len(terms) > QUERY:
-            terms = terms[np.argpartition(-weight, QUERY)[:QUERY]]
-        at = np.searchsorted(self.names, terms)
+        """BM25 of all tails for all terms of the seed."""
+        at = np.searchsorted(self.names, self.term[self.row[seed] : self.row[seed + 1]])
         spans = [slice(self.ptr[k], self.ptr[k + 1]) for k in at]
         return np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
 
@@ -164,6 +200,14 @@ def pack_shard(rows: list[tuple], idf: np.ndarray, mean: float, window: int, las
         windows.append(pieces)
 
 
+def pivots(tails: DataFrame, narrow: str) -> list[np.ndarray]:
+    """Sampled tails, drawn by hash; copies count once."""
+    h = F.xxhash64("ids")
+    drawn = [r.h for r in tails.select(h.alias("h")).distinct().orderBy("h").limit(PIVOTS).collect()]
+    rows = tails.select("ids", h.alias("h")).where(F.col("h").isin(drawn)).dropDuplicates(["h"]).orderBy("h").select("ids").toArrow()
+    return [np.frombuffer(x.as_buffer(), narrow) for x in rows.column("ids")]
+
+
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit). Every id of every document, and ``end_id``
     after it, lies in exactly one piece. A sequence is the pieces of one sequence_id by offset, without gaps, of at most ``window`` ids.
@@ -175,7 +219,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
     arrow = to_arrow_type(docs.schema[id_col].dataType)
     width, vocabulary = int(narrow[-1]), vocabulary_size(path)
     schema = PIECE.format(kind=kind)
-    table = cut(tokenise(docs, path, end_id, window, id_col, text_col))
+    table = cut(tokenise(docs, path, end_id, id_col, text_col))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k = TaskContext.get().partitionId() << 33, 0
@@ -191,9 +235,17 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
                     out = []
             yield _batch(out, arrow)
 
-    tails = table.where(F.expr(f"n % {window} > 0")).select("doc_id", "n", "k1", "k2", F.expr(f"(n div {window}) * {window}").alias("start"), F.expr(f"substring(ids, cast((n div {window}) * {window * width} + 1 as int), {window * width})").alias("ids"))
+    tails = table.where(F.expr(f"n % {window} > 0")).select("doc_id", "n", F.expr(f"(n div {window}) * {window}").alias("start"), F.expr(f"substring(ids, cast((n div {window}) * {window * width} + 1 as int), {window * width})").alias("ids"))
     df, count, mean = document_frequencies(tails, vocabulary, narrow)
     idf = bm25_idf(df, count)
+    router = Router(pivots(tails, narrow), idf, mean)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to = np.array([router.route(np.frombuffer(x.as_buffer(), narrow)) for x in b.column(3)], np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to[:, 0]), pa.array(to[:, 1])], names=["doc_id", "n", "start", "ids", "p1", "p2"])
+
+    dealt = cut(tails.mapInArrow(routed, f"doc_id {kind}, n long, start long, ids binary, p1 int, p2 int"))  # read twice: for the bounds of the ranges and for the rows
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k, held = TaskContext.get().partitionId() << 33, 0, []
@@ -221,7 +273,8 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
         if held:
             yield emit(True, len(held))
 
-    shards = tails.repartitionByRange("k1", "k2", "doc_id", F.crc32("ids")).sortWithinPartitions("k1", "k2", "doc_id", F.crc32("ids"))
+    by = ("p1", "p2", "doc_id", F.crc32("ids"))
+    shards = dealt.repartitionByRange(*by).sortWithinPartitions(*by)
     packed = shards.select("doc_id", "n", "start", "ids").mapInArrow(fill, schema)
     return table.where(F.col("n") >= window).mapInArrow(whole, schema).unionAll(packed)
 

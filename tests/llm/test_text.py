@@ -104,6 +104,30 @@ def test_index_returns_bm25_neighbours():
     assert list(index.neighbours(0, np.array([True, True, True, False, True])))[0] == 2
 
 
+def test_index_scores_every_term_of_a_seed():
+    g = np.random.default_rng(12)
+    tails = [np.unique(g.integers(0, 300, 120)) for _ in range(12)]
+    df = np.bincount(np.concatenate(tails), minlength=300)
+    idf, mean = packing.bm25_idf(df, 12), np.mean([len(t) for t in tails])
+    index = packing.Shard(tails, idf, mean)
+    for seed in range(12):
+        want = [sum(idf[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in set(x.tolist()) & set(tails[seed].tolist())) for x in tails]
+        assert np.allclose(index.scores(seed), want)
+
+
+def test_related_tails_meet_in_a_shard(docs):
+    r = random.Random(13)
+    vocab = sorted((i, t[1:]) for t, i in Tokenizer.from_file(JSON).get_vocab().items() if len(t) > 4 and t[0] == "Ġ" and t[1:].isascii() and t[1:].islower() and t[1:].isalpha())
+    plain, late = [t for _, t in vocab[:40]], [t for _, t in vocab[-200:]]  # two of the highest ids in each document, whatever its topic
+    rows = [(k, " " + " ".join([*r.sample(late, 2), *r.choices(plain[k % 8 :: 8], k=20)]), "en") for k in range(640)]
+    r.shuffle(rows)
+    windows = {}
+    for p in packing.pack(docs(rows).repartition(1), JSON, window=128, shard=32).collect():
+        windows.setdefault(p.sequence_id, []).append(p.doc_id % 8)
+    pieces = sum(len(v) for v in windows.values())
+    assert sum(max(v.count(t) for t in range(8)) for v in windows.values()) > 0.85 * pieces
+
+
 # ---- SimHash
 
 

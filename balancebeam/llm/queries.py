@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balancebeam.llm import bpe, chat, embdedup, langid, licenses, packing, quality, simhash, topk, urls
+from balancebeam.llm import bpe, chat, convtrie, embdedup, langid, lexical, licenses, lshsearch, packing, quality, simhash, topk, urls
 from balancebeam.llm.common import workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,44 @@ def op10(spark, sf):
     coded = bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
     out = bpe.decode(coded, path, public_tokenizers.PATTERN)
     return out.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op11_neighbours")
+def op11(spark, sf):
+    return lshsearch.nearest(table(spark, sf, "embeddings"), 20, 20).withColumnRenamed("id", "vec_id")
+
+
+TERM_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_ranked", f"""
+    with d as (select row_number() over () as r, doc_id, {TERM_SQL} as w from documents where text is not null),
+    s as (select count(*) as n_docs, cast(sum(len(w)) as bigint) as n_words from d where len(w) > 0),
+    i as (select row_number() over () as item, item_id, {TERM_SQL} as w from (select distinct item_id, text from benchmark where text is not null)),
+    it as (select item, item_id, term, count(*) as c from (select item, item_id, unnest(w) as term from i) group by item, item_id, term),
+    tf as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) where term in (select term from it) group by r, term),
+    df as (select term, count(*) as df from tf group by term),
+    wt as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w from df, s),
+    m as (select r, doc_id, 100 - 25 + (25 * len(w) * n_docs) // n_words as m from d, s where len(w) > 0),
+    p as (select item, item_id, r, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score from it join wt using (term) join tf using (term) join m using (r) group by item, item_id, r, doc_id)
+    select item_id, rank, doc_id, score from (select *, cast(row_number() over (partition by item order by score desc, doc_id) as integer) as rank from p where score > 0) t where rank <= 20""")
+def op12(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_trie", """
+    with crc as (select conv_id, xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                        lambda a, b: list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384::bigint * (y & 1))))) % 4 as h
+                 from (select distinct conv_id from conversations where conv_id is not null)),
+    own as (select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, role, text) as seq from conversations where conv_id is not null group by conv_id),
+    built as (select o.conv_id as c, list_concat(coalesce(b.seq, [])[1:h], o.seq[h + 1:]) as seq from own o join crc using (conv_id) left join own b on b.conv_id = o.conv_id - o.conv_id % 20),
+    p as (select c, seq[1:d] as pre, d, len(seq) = d as ends from (select c, seq, unnest(range(0, len(seq) + 1)) as d from built)),
+    n as (select min(c) as conv_id, d, pre, count(*) as n_convs, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256,
+                 (count(*) - 1) * coalesce(len(regexp_extract_all(pre[d].t, '[^\x20\x09-\x0D]+')), 0) as own from p group by d, pre),
+    k as (select a.conv_id, a.d, count(b.d) as n_children from n a left join n b on b.d = a.d + 1 and b.pre[1:a.d] = a.pre group by a.conv_id, a.d),
+    x as (select n.*, n_children from n join k using (conv_id, d))
+    select a.conv_id, a.d as depth, (select q.conv_id from x q where q.d = a.d - 1 and q.pre = a.pre[1:a.d - 1]) as parent_conv_id, a.n_convs, a.n_children,
+           cast(sum(case when b.n_children = 0 then 1 else 0 end) as bigint) as n_leaves, cast(sum(b.own) as bigint) as saved_tokens, a.ends_sha256
+    from x a join x b on b.d >= a.d and b.pre[1:a.d] = a.pre group by a.conv_id, a.d, a.pre, a.n_convs, a.n_children, a.ends_sha256""")
+def op13(spark, sf):
+    return convtrie.conversation_trie(table(spark, sf, "conversations"))

@@ -71,7 +71,8 @@ def name_prefixes(turns: DataFrame, members: DataFrame, span: int, root: int) ->
     state, named = top, top.select("conv", F.lit(0).cast("long").alias("d"), F.col("forest").alias("name"))
     while s:
         have = state.join(halves[s], ["conv", "i"])
-        names = have.groupBy("i", "forest", "up").agg(F.min("conv").alias("name"))
+        # in a table of their own, so that the skew join can split the rows of a prefix that many share
+        names = cut(have.groupBy("i", "forest", "up").agg(F.min("conv").alias("name")))
         lower = cut(have.join(names, ["i", "forest", "up"]).select("conv", "i", "name"))
         named = named.unionAll(lower.select("conv", (F.col("i") * (2 * s) + s).alias("d"), "name"))
         state = state.select("conv", (F.col("i") * 2).alias("i"), "forest").unionAll(lower.select("conv", (F.col("i") * 2 + 1).alias("i"), F.col("name").alias("forest")))

@@ -2,12 +2,14 @@ import os
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from balancebeam.llm import langid, quality, shingles
 from balancebeam.llm.queries import ORACLES
-from balancebeam.llm.simhash import fingerprint
 from check import TABLES, canon
 from tests.llm.conftest import ODD
 
@@ -28,28 +30,52 @@ def test_query_matches_sql(spark, name):
     assert sorted((tuple(canon(x) for x in r) for r in df.collect()), key=repr) == want
 
 
+def sets(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_groups(texts):
+    """The root of each text by pairs of similarity 0.8 or more, by brute force."""
+    root, have = list(range(len(texts))), [sets(t) for t in texts]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if (not have[a] and not have[b]) or len(have[a] & have[b]) >= 0.8 * len(have[a] | have[b]) > 0:
+                root[find(a)] = find(b)
+    return [find(x) for x in range(len(texts))]
+
+
+def jaccard_kept(rows):
+    groups = {}
+    for (i, t), root in zip(rows, jaccard_groups([t for _, t in rows])):
+        groups.setdefault(root, []).append(i)
+    return sorted(min((i for i in g if i is not None), default=0) for g in groups.values())
+
+
 @here
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    count = docs.count()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        if name == "language ID":  # each text by itself with the model that the stage fits
+            model = langid.fit(docs)
+            want = sorted(r.doc_id for r in before if not model.predict(r.text)[2])
+        elif name == "quality classifier":
+            model = quality.fit(docs, labels)
+            want = sorted(r.doc_id for r in before if model.score(r.text) >= quality.THRESHOLD)
+        else:
+            want = jaccard_kept([(r.doc_id, r.text) for r in before])
         out = spark.createDataFrame(stage(spark, docs, SF).toPandas(), docs.schema)
         assert out.columns == corpus_pipeline.COLUMNS
-        kept = out.collect()
-        if name == "SimHash near-dedup":
-            before = [(r.doc_id, fingerprint(r.text)) for r in docs.collect()]
-            root = {i: i for i, _ in before}
-            changed = True
-            while changed:
-                changed = False
-                for a, f in before:
-                    for b, g in before:
-                        if (f ^ g).bit_count() <= 2 and root[a] != root[b]:
-                            root[a] = root[b] = min(root[a], root[b])
-                            changed = True
-            assert sorted(r.doc_id for r in kept) == sorted({root[i] for i, _ in before})
-        assert 0.5 * count < len(kept) <= count
-        docs, count = out, len(kept)
+        assert sorted(r.doc_id for r in out.collect()) == want and want
+        docs = out
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {p.doc_id for p in pieces} == {r.doc_id for r in docs.collect()}
     assert all(sum(p.length for p in pieces if p.doc_id == d) == n for d, n in {(p.doc_id, p.doc_tokens) for p in pieces})
@@ -75,24 +101,42 @@ def test_near_duplicate_stage_is_brute_force_jaccard(spark, docs):
     notice = " ".join(f"n{i}" for i in range(40))
     rows += [(900 + k, f"{notice} {' '.join(f'y{k}.{i}' for i in range(k % 20))}", "en") for k in range(60)]
 
-    def sets(text):
-        w = (text or "").encode().lower().split()
-        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    want = jaccard_kept([(i, t) for i, t, _ in rows])
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert sorted(x.doc_id or 0 for x in stage(spark, docs(rows), "").collect()) == want
 
-    root, have = list(range(len(rows))), [sets(t) for _, t, _ in rows]
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+def test_texts_that_share_an_id_are_rows_of_their_own(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "k1"), (1, b, "k2"), (2, a, "k3"), (3, a + " more", "k4"), (1, a, "k5"), (None, b, "k6"), (None, "c d", "k7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = shingles.dedup(df)
+    assert got.columns == ["doc_id", "text", "key"]  # a column of that name stays
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (1, b), (None, "c d")], key=repr)
 
-    for a in range(len(rows)):
-        for b in range(a):
-            if (not have[a] and not have[b]) or len(have[a] & have[b]) >= 0.8 * len(have[a] | have[b]) > 0:
-                root[find(a)] = find(b)
-    groups = {}
-    for k, (i, _, _) in enumerate(rows):
-        groups.setdefault(find(k), []).append(i)
-    want = sorted(min((i for i in g if i is not None), default=0) for g in groups.values())
-    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
-    assert sorted(x.doc_id or 0 for x in stage(spark, docs(rows), "").collect()) == want
+
+def test_stars_over_batch_ends():
+    r = random.Random(4)
+    rows = sorted((r.randrange(12), r.randrange(6)) for _ in range(60)) + [(20, 5)] * 4 + [(21, 3), (21, 4), (21, 4), (22, 1)]
+    want = set()
+    for t in {t for t, _ in rows}:
+        hs = {h for u, h in rows if u == t}
+        want |= {(t, h, min(hs)) for h in hs} if len(hs) > 1 else set()
+    for size in (1, 2, 3, 7, 100):
+        batches = [pa.record_batch({"token": pa.array([t for t, _ in rows[k : k + size]], pa.int64()), "h": pa.array([h for _, h in rows[k : k + size]], pa.int64())}) for k in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in shingles._stars(iter(batches)) for x in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
+def test_bands_and_sketches_lose_no_similar_pair():
+    g = np.random.default_rng(9)
+    lost = 0
+    for _ in range(400):
+        n = int(g.integers(20, 400))
+        both = g.integers(0, 1 << 63, n).astype(np.uint64)
+        extra = g.integers(0, 1 << 63, int(n / 0.8 - n)).astype(np.uint64)
+        cut = int(g.integers(0, len(extra) + 1))
+        low = [shingles.minima(np.unique(np.concatenate((both, x)))) for x in (extra[:cut], extra[cut:])]
+        shared = (shingles.bands(low[0]) == shingles.bands(low[1])).any()
+        lost += not (shared and (shingles.sketch(low[0]) == shingles.sketch(low[1])).mean() >= shingles.least_agreement(0.8))
+    assert not lost

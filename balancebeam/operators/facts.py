@@ -8,7 +8,7 @@ Fact rows: (entity, tag, tag_priority, start_date, end_date, filed, val, form, o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ANNUAL_FORMS = ("10-K", "10-K/A")
@@ -16,16 +16,24 @@ UNITS = ("USD", "USD/shares", "shares")
 
 
 def explode_companyfacts(raw: DataFrame, entity: str = "ticker") -> DataFrame:
-    """Nested facts.taxonomy.tag.units.unit[] JSON text to flat rows: the first unit present by priority for each tag; where that is no array the tag has no facts."""
-    fact = "array<struct<start:string,end:string,val:double,fy:int,fp:string,form:string,filed:string>>"
-    tags = raw.select(entity, F.explode(F.from_json("json", "facts map<string,map<string,struct<units:map<string,string>>>>")["facts"]).alias("taxonomy", "tags"))
-    units = tags.select(entity, "taxonomy", F.explode("tags").alias("tag", "t")).select(entity, "taxonomy", "tag", F.col("t.units").alias("u"))
-    present = lambda u: F.when(F.map_contains_key("u", F.lit(u)), F.lit(u))
-    picked = units.withColumn("unit", F.coalesce(*[present(u) for u in UNITS])).filter("unit is not null")
-    picked = picked.filter(F.ltrim(F.try_element_at("u", F.col("unit"))).startswith("["))
-    rows = picked.select(entity, "taxonomy", "tag", "unit", F.inline(F.from_json(F.try_element_at("u", F.col("unit")), fact)))
-    return rows.select(entity, "taxonomy", "tag", "unit", F.try_to_date("start", "yyyy-MM-dd").alias("start_date"), F.try_to_date("end", "yyyy-MM-dd").alias("end_date"), "val", "fy", "fp",
-                       "form", F.try_to_date("filed", "yyyy-MM-dd").alias("filed"))
+    """Nested facts.taxonomy.tag.units.unit[] JSON text to flat rows: the first unit present by priority for each tag; where that is no array the tag has no facts.
+
+    A document is parsed once into a VARIANT and exploded level by level, so a whole company's file of any number of taxonomies, tags and facts is never held as nested maps of strings.
+    Text that is no JSON gives no rows; a field that is missing or of another kind is NULL.
+    """
+    explode = lambda df, value, names: df.lateralJoin(SparkSession.active().tvf.variant_explode(F.col(value).outer())).withColumnsRenamed(names)
+    facts = raw.select(entity, F.try_variant_get(F.try_parse_json("json"), "$.facts", "variant").alias("_facts"))
+    tags = explode(facts, "_facts", {"pos": "_p1", "key": "taxonomy", "value": "_tags"})
+    units = explode(tags.drop("_facts"), "_tags", {"pos": "_p2", "key": "tag", "value": "_tag"}).drop("_tags")
+    at = lambda u: F.try_variant_get("_tag", f'$.units["{u}"]', "variant")
+    found = [at(u) for u in UNITS]
+    unit = F.coalesce(*[F.when(x.isNotNull(), F.lit(u)) for u, x in zip(UNITS, found)])
+    picked = units.select(entity, "taxonomy", "tag", unit.alias("unit"), F.coalesce(*found).alias("_list")).filter("unit is not null and schema_of_variant(_list) like 'ARRAY<%'")
+    rows = explode(picked, "_list", {"pos": "_p3", "key": "_k3", "value": "_fact"})
+    get = lambda name, kind: F.try_variant_get("_fact", f"$.{name}", kind)
+    day = lambda name: F.try_to_date(get(name, "string"), "yyyy-MM-dd")
+    return rows.select(entity, "taxonomy", "tag", "unit", day("start").alias("start_date"), day("end").alias("end_date"), get("val", "double").alias("val"), get("fy", "int").alias("fy"),
+                       get("fp", "string").alias("fp"), get("form", "string").alias("form"), day("filed").alias("filed"))
 
 
 def annual_filter(facts: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from balancebeam.operators.sentiment import carry_forward
+from balancebeam.session import ensure_checkpoint_dir
 from balancebeam.sources.sinks import latest_per_key, overwrite_days
+from balancebeam.sources.store import KeyedStore
 
 
 def daily_quotes(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -24,6 +26,32 @@ def daily_quotes(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
     return picked.select("entity", F.to_date("w.start").alias("date"), F.col("r.value").alias("close"))
 
 
+QUOTES = "entity bigint, date date, ts timestamp, event_id bigint, close double"
+
+
+def quote_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedStore:
+    """Daily quotes by (entity, date), in buckets of days, so that a batch rewrites the days it touches."""
+    return KeyedStore(spark, path, ["entity", "date"], QUOTES, buckets, ["date"])
+
+
+def stream_daily(ticks: DataFrame, store: KeyedStore, checkpoint: str, lateness: str = "2 days") -> StreamingQuery:
+    """Keep each day's last tick in the state store until the watermark passes the day; every batch puts the days that changed into ``store``.
+
+    ``ticks``: a stream of (entity, ts, event_id, value). Last write wins by (ts, event_id), in whatever order ticks arrive. Late rows: a tick more than ``lateness`` behind the newest
+    tick of earlier batches belongs to a closed day if the watermark has passed that day's end; it is then left out and the stored day stays (``upsert_daily`` repairs closed days).
+    A run that is started again goes on from the checkpoint.
+    """
+    day = ticks.withWatermark("ts", lateness).groupBy("entity", F.window("ts", "1 day").alias("w")).agg(F.max(F.struct("ts", "event_id", "value")).alias("r"))
+    rows = day.select("entity", F.to_date("w.start").alias("date"), "r.ts", "r.event_id", F.col("r.value").alias("close"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.checkpoint()  # the state is advanced once
+        store.replace(number, rows, rows)
+
+    ensure_checkpoint_dir(ticks.sparkSession)
+    return rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def upsert_daily(ticks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Run what is available and replace the touched days: new quotes merged with the stored day, last write wins."""
 
@@ -41,8 +69,6 @@ def upsert_daily(ticks: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         # written through the checkpoint, because the job replaces partitions it also reads
         overwrite_days(merged.checkpoint(), path)
 
-    from balancebeam.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(ticks.sparkSession)
     return ticks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -78,3 +104,23 @@ def affected(table: DataFrame, changed: DataFrame) -> DataFrame:
 def merge_sentiment(stored: DataFrame, fresh: DataFrame, fetched: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score the fetched headlines and carry the rest forward."""
     return carry_forward(stored, score(fresh), fetched)
+
+
+def apply_fetch(batch: DataFrame, number: int, store: KeyedStore, score: Callable[[DataFrame], DataFrame], headline: str = "doc_id") -> None:
+    """One batch of fetches into ``store``, keyed by (ticker, source): what a fetch returned replaces that source's headlines, even by none; other sources keep theirs.
+
+    ``batch``: a row per headline with ``fetched_at``; a fetch that came back empty is a row without ``headline``. Of several fetches of a source the newest counts. Only fetched headlines
+    are scored. Applied again under its number, the batch changes nothing.
+    """
+    batch = batch.persist()
+    newest = batch.groupBy(*store.keys).agg(F.max("fetched_at").alias("fetched_at"))
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"n.{k}")) for k in (*store.keys, "fetched_at")]
+    rows = batch.filter(F.col(headline).isNotNull()).alias("b").join(newest.alias("n"), same, "left_semi")
+    store.replace(number, newest, score(rows))
+    batch.unpersist()
+
+
+def refresh_sentiment(fetches: DataFrame, store: KeyedStore, score: Callable[[DataFrame], DataFrame], checkpoint: str, headline: str = "doc_id") -> StreamingQuery:
+    """Apply the fetches that are available, batch by batch (``apply_fetch``)."""
+    merge = lambda batch, number: apply_fetch(batch, number, store, score, headline)
+    return fetches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -174,23 +174,19 @@ def map_sic_sector(spark, sf):
     return tidy(sector_ops.map_sic_sector(spark, codes)).select("ticker", "sic", "mapped_sector")
 
 
-def _fact_json():
-    one = F.struct(F.col("start_date").cast("string").alias("start"), F.col("end_date").cast("string").alias("end"), "val", "form", F.col("filed").cast("string").alias("filed"))
-    return one
-
-
-@query("src_facts_explode", f"select entity, tag, unit, start_date, end_date, {rnd('val')} as val, form, filed from (select *, case when tag = 'N' then 'USD' when tag = 'A' and ord % 2 = 1 then 'shares' end as unit from fx_facts) where unit is not null")
+@query("src_facts_explode", f"""select entity, taxonomy, tag, unit, start_date, end_date, {rnd('val')} as val, case when ord % 7 <> 0 then year(end_date) end as fy, case when form = '10-K' then 'FY' else 'Q3' end as fp, form, filed
+        from (select *, case when tag = 'R' then 'dei' else 'us-gaap' end as taxonomy, case when tag = 'N' then 'USD' when tag = 'A' and entity % 2 = 1 then 'shares' when tag = 'R' and entity % 3 <> 0 then 'USD/shares' end as unit from fx_facts)
+        where unit is not null""")
 def src_facts_explode(spark, sf):
-    # one document per line: two units of which the first by priority counts; for half of one tag that first unit is no array and so empty
-    arr = F.to_json(F.array(_fact_json()))
-    body = (
-        F.when(F.col("tag") == "N", F.concat(F.lit('{"facts":{"us-gaap":{"N":{"units":{"shares":'), arr, F.lit(',"USD":'), arr, F.lit("}}}}}")))
-        .when(F.col("tag") == "A", F.concat(F.when(F.col("ord") % 2 == 1, '{"facts":{"us-gaap":{"A":{"units":{"shares":').otherwise('{"facts":{"us-gaap":{"A":{"units":{"USD":{},"shares":'), arr, F.lit("}}}}}")))
-        .otherwise(F.concat(F.lit('{"facts":{"us-gaap":{"R":{"units":{"EUR":'), arr, F.lit("}}}}}")))
-    )
-    docs = fx(spark, sf).select("entity", body.alias("json"))
-    out = facts.explode_companyfacts(docs, "entity")
-    return tidy(out.select("entity", "tag", "unit", "start_date", "end_date", "val", "form", "filed"))
+    # one document per entity with all its facts: two taxonomies; N has two units, of which the first by priority counts; for half the entities the first unit of A is no array, and so empty;
+    # R has a unit that is not read for a third of them
+    fact = lambda scale: F.struct(F.col("start_date").cast("string").alias("start"), F.col("end_date").cast("string").alias("end"), (F.col("val") * scale).alias("val"), F.when(F.col("ord") % 7 != 0, F.year("end_date")).alias("fy"), F.when(F.col("form") == "10-K", "FY").otherwise("Q3").alias("fp"), "form", F.col("filed").cast("string").alias("filed"))  # noqa: E731, E501
+    lists = {f"{t}{k}": F.to_json(F.collect_list(F.when(F.col("tag") == t, fact(k)))) for t, k in (("N", 1), ("N", 2), ("A", 1), ("R", 1))}
+    rows = fx(spark, sf).groupBy("entity").agg(*[x.alias(n) for n, x in lists.items()])
+    no_array = F.when(F.col("entity") % 2 == 1, '{"shares":').otherwise('{"USD":{"not":"a list"},"shares":')
+    unread = F.when(F.col("entity") % 3 != 0, '{"USD/shares":').otherwise('{"EUR":')
+    body = F.concat(F.lit('{"entityName":"x","facts":{"us-gaap":{"N":{"label":"n","units":{"shares":'), F.col("N2"), F.lit(',"USD":'), F.col("N1"), F.lit('}},"A":{"units":'), no_array, F.col("A1"), F.lit('}}},"dei":{"R":{"units":'), unread, F.col("R1"), F.lit("}}}}}"))
+    return tidy(facts.explode_companyfacts(rows.select("entity", body.alias("json")), "entity"))
 
 
 # --- prices ----------------------------------------------------------------------------------------------------------------------
@@ -207,8 +203,19 @@ def src_prices(spark, sf):
 
 @query("inc_daily_quote", f"select entity, date, {rnd('close')} as close from fx_daily_prices")
 def inc_daily_quote(spark, sf):
+    """The stream over three deliveries; a part of each arrives with the next one, out of order but within the lateness. Each run goes on from the checkpoint of the one before."""
     ticks = table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    return tidy(incremental.daily_quotes(ticks))
+    path, source = _scratch(spark), _scratch(spark)
+    low, high = ticks.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    third = ((high or 0) - (low or 0)) // 3 + 1
+    part = F.floor((F.unix_seconds("ts") - F.lit(low or 0)) / third)
+    dealt = ticks.withColumn("part", F.least(part + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0), F.lit(2)))
+    stream = spark.readStream.schema("entity bigint, ts timestamp, event_id bigint, value double").parquet(f"{source}/*")
+    store = incremental.quote_store(spark, path, 16)
+    for k in range(3):
+        dealt.filter(F.col("part") == k).drop("part").write.parquet(f"{source}/{k}")
+        incremental.stream_daily(stream, store, path + "-ckpt", f"{third + 86400} seconds").awaitTermination()
+    return tidy(store.read().select("entity", "date", "close"))
 
 
 @query("win_moving_avg", f"""select entity, date, {', '.join(rnd(f'case when row_number() over w >= {n} then avg(close) over (partition by entity order by date rows between {n - 1} preceding and current row) end') + f' as ma_{n}' for n in (5, 15))}
@@ -324,14 +331,34 @@ def sent_carry_forward(spark, sf):
     return sentiment.carry_forward(old, new, new)
 
 
-@query("inc_sentiment", f"select ticker, count(*) as headlines, {rnd('avg(score)')} as mean_score from ({CARRY}) join x_s using (ticker, source, doc_id) group by ticker", TEXT)
+# a source that comes back empty loses its headlines
+EMPTY = "select distinct ticker, source from fx_headlines where doc_id % 4 <> 1 and substr(ticker, 2)::INT % 7 = 3 and (ticker, source) not in (select ticker, source from fx_headlines where doc_id % 4 = 1)"
+
+
+@query("inc_sentiment", f"select ticker, source, count(*) as headlines, {rnd('avg(score)')} as mean_score from ({CARRY}) join x_s using (ticker, source, doc_id) where (ticker, source) not in ({EMPTY}) group by ticker, source", TEXT)
 def inc_sentiment(spark, sf):
+    """Three deliveries of fetches into the stored headlines, each a run that goes on from the checkpoint; the last batch is applied once more, as after a failure."""
     h = bind(spark, sf, "fx_headlines")
-    keep = ("ticker", "source", "doc_id", "score")
-    score = lambda df: sentiment.score_text(df, "title", LEX).select(*keep)
+    score = lambda df: sentiment.score_text(df, "title", LEX)
+    path, source = _scratch(spark), _scratch(spark)
+    schema = "doc_id bigint, ticker string, source string, title string, fetched_at int"
+    store = incremental.KeyedStore(spark, path, ["ticker", "source"], "ticker string, source string, doc_id bigint, score double", 16)
     old, new = _old_new(spark, sf, h)
-    merged = incremental.merge_sentiment(score(old), new, new, score)
-    return tidy(merged.groupBy("ticker").agg(F.count(F.lit(1)).alias("headlines"), F.avg("score").alias("mean_score")))
+    again = new.select("ticker", "source").distinct()
+    keys = old.select("ticker", "source").distinct().filter(F.substring("ticker", 2, 8).cast("int") % 7 == 3).join(again, ["ticker", "source"], "left_anti")
+    empty = keys.select(F.lit(None).cast("bigint").alias("doc_id"), "ticker", "source", F.lit(None).cast("string").alias("title"))
+    half = F.pmod(F.xxhash64("ticker", "source"), F.lit(2))
+    rows = h.select("doc_id", "ticker", "source", "title")
+    # the second delivery holds an earlier fetch of its sources too, which the newer one replaces
+    first = old.join(again, ["ticker", "source"], "left_semi").filter(half == 0).select(rows.columns).withColumn("fetched_at", F.lit(1))
+    parts = [old.select(rows.columns).withColumn("fetched_at", F.lit(0)), first.unionByName(new.filter(half == 0).select(rows.columns).withColumn("fetched_at", F.lit(2))),
+             new.filter(half == 1).select(rows.columns).unionByName(empty).withColumn("fetched_at", F.lit(3))]
+    stream = spark.readStream.schema(schema).parquet(f"{source}/*")
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{source}/{k}")
+        incremental.refresh_sentiment(stream, store, score, path + "-ckpt").awaitTermination()
+    incremental.apply_fetch(spark.read.schema(schema).parquet(f"{source}/2"), 2, store, score)
+    return tidy(store.read().groupBy("ticker", "source").agg(F.count(F.lit(1)).alias("headlines"), F.avg("score").alias("mean_score")))
 
 
 @query("src_constituents", """select distinct s as symbol from (select unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]+)</a>', 1)) as s from pages) where s <> ''""")

@@ -21,15 +21,26 @@ def roic() -> F.Column:
     return safe_div(F.col("ebit") * (1 - tax_rate_roic()), capital)
 
 
-def with_earnings_cycle(panel: DataFrame) -> DataFrame:
-    """Mean, count and latest of the newest <= 10 reported net incomes up to each row's year."""
-    ni = F.slice(F.collect_list("net_income").over(newest_first("ticker").rowsBetween(0, Window.unboundedFollowing)), 1, CYCLE_YEARS)
+def with_earnings_cycle(panel: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Mean, count and latest of the newest <= 10 reported net incomes up to each row's year.
+
+    ``history`` (ticker, fiscal_year, net_income) holds them for more years than the panel; without it the panel's own are taken. Its rows pass through the same window as the panel's, behind
+    those of their year, so every period has its own cut of the history without a join of years to years.
+    """
+    if history is None:
+        rows, latest = panel.withColumn("_past", F.col("net_income")).withColumn("_own", F.lit(1)), newest_first("ticker")
+    else:
+        past = history.select("ticker", "fiscal_year", F.col("net_income").alias("_past"), F.lit(0).alias("_own"))
+        rows = panel.withColumn("_past", F.lit(None).cast("double")).withColumn("_own", F.lit(1)).unionByName(past, allowMissingColumns=True)
+        latest = Window.partitionBy("ticker").orderBy(F.desc("fiscal_year"), F.desc("_own"))
+    ni = F.slice(F.collect_list("_past").over(latest.rowsBetween(0, Window.unboundedFollowing)), 1, CYCLE_YEARS)
     return (
-        panel.withColumn("_ni", ni)
+        rows.withColumn("_ni", ni)
+        .filter("_own = 1")
         .withColumn("cycle_years", F.size("_ni"))
         .withColumn("cycle_latest", F.get("_ni", F.lit(0)))
         .withColumn("cycle_mean", F.aggregate("_ni", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_ni"), F.lit(0)))
-        .drop("_ni")
+        .drop("_ni", "_past", "_own")
     )
 
 
@@ -73,20 +84,22 @@ def with_history(series: DataFrame) -> DataFrame:
         extra[f"{c}_sd"] = F.stddev_samp(c).over(older)
     for c in ("roic", "gross_margin", "operating_margin"):
         extra[f"{c}_mean5"] = F.avg(c).over(five)
-    # enterprise value is today's, from the newest balance sheet of the series
+    # enterprise value is today's: the snapshot's own, else from the newest balance sheet of the series
     newest = w.rowsBetween(Window.unboundedPreceding, 0)
     extra["_debt0"] = F.first("total_debt").over(newest)
     extra["_cash0"] = F.first("cash").over(newest)
     ev = F.col("market_cap") + F.coalesce("_debt0", F.lit(0.0)) - F.coalesce("_cash0", F.lit(0.0))
+    if "snapshot_ev" in base.columns:
+        ev = F.coalesce("snapshot_ev", ev)
     return base.withColumns(extra).withColumn("enterprise_value", ev)
 
 
-def metric_panel_wide(panel: DataFrame, momentum: DataFrame | None = None) -> DataFrame:
-    """(ticker, sector, period_key, year_index, 81 metrics). ``panel`` has one row per entity and year with the three statements joined.
+def metric_panel_wide(panel: DataFrame, momentum: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
+    """(ticker, sector, period_key, year_index, 81 metrics). ``panel`` has one row per entity and year with the three statements joined, and may have today's enterprise value as snapshot_ev.
 
-    ``momentum`` has one row per entity; it is joined by key, so its size does not matter.
+    ``momentum`` has one row per entity; it is joined by key, so its size does not matter. ``history``: yearly net incomes (see ``with_earnings_cycle``).
     """
-    series = newest_common_periods(with_earnings_cycle(panel))
+    series = newest_common_periods(with_earnings_cycle(panel, history))
     if momentum is None:
         for c in MOMENTUM:
             series = series.withColumn(c, F.lit(None).cast("double"))

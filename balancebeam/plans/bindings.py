@@ -35,6 +35,7 @@ BINDINGS: dict[str, str] = {
         from lineitem group by l_partkey, year(l_shipdate)""",
     "fx_panel": """
         select ticker, cik, sector, industry, country, p_partkey, p_size, share_price, shares_outstanding, market_cap,
+               case when p_size % 6 = 0 then 1.1e0 * market_cap end as snapshot_ev,
                cast(fiscal_year as int) as fiscal_year, cast(fiscal_year as string) || '-FY' as period_key,
                make_date(fiscal_year, 12, 31) as period_end,
                case when max_qty >= 30 then make_date(fiscal_year, 12, 31) + (max_qty - 30) end as filed_at,
@@ -96,6 +97,10 @@ BINDINGS: dict[str, str] = {
                0.9e0 * market_cap * (1 + 0.05e0 * (fiscal_year - 1998)) as public_float,
                net_income, revenue, total_equity, operating_income, total_debt, cash, shares_diluted as shares_outstanding
         from fx_panel""",
+    "fx_earnings_history": """
+        select ticker, fiscal_year, net_income from fx_panel
+        union all
+        select ticker, fiscal_year - 8 as fiscal_year, case when p_size % 4 <> 0 then 0.8e0 * net_income end as net_income from fx_panel""",
     "fx_daily_prices": """
         select user_id as entity, cast(ts as date) as date, max_by(value, struct_key) as close
         from (select user_id, ts, value, STRUCT_OF(ts, event_id) as struct_key from events) e

@@ -58,7 +58,7 @@ def momentum_by_ticker(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return panel_ops.metric_panel_wide(bind(spark, sf, "fx_panel"), momentum_by_ticker(spark, sf))
+    return panel_ops.metric_panel_wide(bind(spark, sf, "fx_panel"), momentum_by_ticker(spark, sf), bind(spark, sf, "fx_earnings_history"))
 
 
 __all__ = ["QUERIES", "ORACLES", "query", "tidy", "bind", "table", "companies", "wide_panel", "daily_prices", "momentum_by_ticker", "FIXTURE_MOMENTUM"]

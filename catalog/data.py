@@ -129,11 +129,19 @@ def annual_fundamentals(spark, sf):
     return tidy(out)
 
 
-@query("public_float_history", f"""select entity, fiscal_year, as_of, {rnd('val')} as public_float from (select *, year(end_date) as fiscal_year, end_date as as_of from fx_facts where val > 0 and val <= 60000 and form = '10-K'
-        qualify row_number() over (partition by entity, year(end_date) order by end_date desc, filed desc, ord, line) = 1) qualify row_number() over (partition by entity order by fiscal_year desc) <= 3""")
+FLOATS = {
+    # every fifth filing is an amendment; some facts state a fiscal year of their own, some are absurd
+    "c_float": "select * replace (case when ord % 5 = 0 and form = '10-K' then '10-K/A' else form end as form, case when ord % 11 = 0 then val * 1e10 when ord % 13 = 0 then -val else val end as val), case when ord % 3 = 0 then (year(end_date) + ord % 2)::INT end as fy from fx_facts",
+}
+
+
+@query("public_float_history", f"""select entity, fiscal_year, as_of, {rnd('val')} as public_float from (select *, coalesce(fy, year(end_date)) as fiscal_year, end_date as as_of from c_float where val > 0 and val <= 1e13 and form in ('10-K', '10-K/A')
+        qualify row_number() over (partition by entity, coalesce(fy, year(end_date)) order by end_date desc, filed desc, ord, line) = 1) qualify row_number() over (partition by entity order by fiscal_year desc) <= 12""", FLOATS)
 def public_float_history(spark, sf):
-    f = fx(spark, sf).withColumn("fy", F.lit(None).cast("int"))
-    return tidy(facts.public_float_history(f, F.col("val") <= 60000, 3))
+    o = F.col("ord")
+    f = fx(spark, sf).withColumn("form", F.when((o % 5 == 0) & (F.col("form") == "10-K"), "10-K/A").otherwise(F.col("form"))).withColumn("fy", F.when(o % 3 == 0, F.year("end_date") + o % 2).cast("int"))
+    f = f.withColumn("val", F.when(o % 11 == 0, F.col("val") * 1e10).when(o % 13 == 0, -F.col("val")).otherwise(F.col("val")))
+    return tidy(facts.public_float_history(f, F.col("val") <= 1e13))
 
 
 @query("approx_market_value", f"""select f.entity, {rnd('f.val')} as public_float, f.end_date as public_float_as_of, {rnd('s.val')} as shares, {rnd('r.val')} as revenue, r.val is not null as has_operating_financials from
@@ -312,10 +320,15 @@ def sent_rank(spark, sf):
 
 @query("headlines_recent", "select ticker, doc_id, row_number() over (partition by ticker order by published_order desc) as place from fx_headlines")
 def headlines_recent(spark, sf):
-    from balancebeam.operators.positions import positions
+    """The place of each headline among its entity's, read off the order of the rows: a position over partitions, less the first of the entity."""
+    from pyspark.sql import Window
 
-    h = bind(spark, sf, "fx_headlines").select("ticker", "doc_id", "published_order")
-    return tidy(positions(h, ["ticker"], [F.desc("published_order")], "place").select("ticker", "doc_id", "place"))
+    h = sentiment.headlines_recent(bind(spark, sf, "fx_headlines").select("ticker", "doc_id", "published_order"))
+    ensure_checkpoint_dir(spark)
+    rows = h.withColumn("at", F.monotonically_increasing_id()).checkpoint().withColumn("part", F.shiftrightunsigned("at", 33))
+    run = rows.groupBy("ticker", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("ticker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return tidy(rows.join(run.withColumn("earlier", earlier), ["ticker", "part"]).select("ticker", "doc_id", (F.col("at") - F.col("first") + F.col("earlier") + 1).alias("place")))
 
 
 CARRY = "select ticker, source, doc_id from fx_headlines where doc_id % 4 <> 1 and (ticker, source) not in (select ticker, source from fx_headlines where doc_id % 4 = 1) union all select ticker, source, doc_id from fx_headlines where doc_id % 4 = 1"
@@ -533,42 +546,52 @@ def snapshot_backtest(spark, sf):
 
 
 @query("snk_metric_percentiles", f"""select ticker, metric_key, year_index, {rnd('v', 9)} as raw_value, {rnd('score', 9)} as percentile, peer_rank, coalesce(peer_count, 0) as peer_count
-        from o_long join d_metrics using (metric_key) left join o_unit using (ticker, m, year_index) where category = 'moat'""")
+        from o_long left join d_metrics using (metric_key) left join o_unit using (ticker, m, year_index)""")
 def snk_metric_percentiles(spark, sf):
-    from balancebeam.metrics.registry import metrics
+    """Scores of all metrics merged on the stored rows, which stay in their buckets."""
     from balancebeam.operators.panel import metric_panel_long
 
-    moat = [m.key for m in metrics() if m.category == "moat"]
-    long = metric_panel_long(wide_panel(spark, sf)).filter(F.col("metric_key").isin(moat)).select("ticker", "metric_key", "year_index", "raw_value")
-    return tidy(sinks.metric_percentiles(long, _unit(spark, sf, lambda m: m.category == "moat")), 9)
-
-
-EXPORT_KEYS = ["pe_ttm", "roic", "gross_margin", "fcf_yield"]
+    path = _scratch(spark)
+    name = "metric_rows_" + path.rsplit("-", 1)[1]
+    sinks.store_metric_rows(metric_panel_long(wide_panel(spark, sf)).select("ticker", "metric_key", "year_index", "raw_value"), name, path, 16)
+    return tidy(sinks.metric_percentiles(spark.table(name), _unit(spark, sf, lambda m: m.enabled)), 9)
 
 
 def exported(spark, sf):
-    from balancebeam.operators.panel import metric_panel_long
-
-    return sinks.universe_export(metric_panel_long(wide_panel(spark, sf)), EXPORT_KEYS)
+    """The universe with all metrics, written and read back."""
+    path = _scratch(spark)
+    sinks.write_universe_export(sinks.universe_export(wide_panel(spark, sf), KEYS), KEYS, path)
+    return sinks.read_universe_export(spark, path)
 
 
-@query("snk_universe_export", f"select ticker, sector, count(*) as years, sum(len(row))::BIGINT as cells, {rnd('sum(coalesce(row[2], 0))')} as roic_sum from (select ticker, sector, year_index, [pe_ttm, roic, gross_margin, fcf_yield] as row from o_wide) group by ticker, sector")
+@query("snk_universe_export", f"select ticker, sector, year_index, metric_key, {rnd('v')} as raw_value from o_long")
 def snk_universe_export(spark, sf):
-    roic = F.aggregate("by_year", F.lit(0.0), lambda a, r: a + F.coalesce(r[1], F.lit(0.0)))
-    cells = F.aggregate("by_year", F.lit(0), lambda a, r: a + F.size(r))
-    return tidy(exported(spark, sf).select("ticker", "sector", F.size("by_year").alias("years"), cells.alias("cells"), roic.alias("roic_sum")))
+    return tidy(sinks.universe_reshape(*exported(spark, sf)))
 
 
-@query("src_universe_reshape", f"select ticker, year_index, metric_key, {rnd('v')} as raw_value from o_long where metric_key in ({', '.join(quote(k) for k in EXPORT_KEYS)})")
+@query("src_universe_reshape", f"select ticker, sector, year_index, metric_key, {rnd('v')} as raw_value from o_long where year_index = 0")
 def src_universe_reshape(spark, sf):
-    return tidy(sinks.universe_reshape(exported(spark, sf), EXPORT_KEYS).drop("sector"))
+    return tidy(sinks.universe_reshape(*exported(spark, sf), latest_only=True))
 
 
 @query("snk_rankings_flat", f"select ticker, overall_rank, {rnd('overall_score')} as overall_score, " + ", ".join(
     f"(select {rnd('score')} from o_rank_cat k where k.ticker = r.ticker and k.category = '{c}') as {c}Score" for c in ("valuation", "profitability", "growth", "cashGeneration", "financialStrength", "capitalAllocation", "efficiency", "earningsQuality", "moat", "momentum"))
-    + ", company_name, sector from o_rank r left join fx_companies using (ticker) where overall_rank is not null")
+    + ", company_name, sector, true as in_order, true as same_json from o_rank r left join fx_companies using (ticker) where overall_rank is not null")
 def snk_rankings_flat(spark, sf):
-    return tidy(sinks.rankings_flat(ranked(spark, sf), companies(spark, sf)))
+    """CSV and JSON files, written and read back: in_order says that all ranks of a file follow those of the files before it, same_json that the JSON row equals the CSV row."""
+    from pyspark.sql import Window
+
+    path = _scratch(spark)
+    flat = sinks.rankings_flat(ranked(spark, sf), companies(spark, sf))
+    for kind in ("csv", "json"):
+        sinks.write_rankings_flat(flat, f"{path}/{kind}", kind, 500)
+    csv, js = (sinks.read_rankings_flat(spark, f"{path}/{kind}", kind, flat.schema) for kind in ("csv", "json"))
+    csv = csv.withColumn("file", F.input_file_name())
+    before = F.lag("hi").over(Window.orderBy("file"))  # a row per file
+    files = csv.groupBy("file").agg(F.min("overall_rank").alias("lo"), F.max("overall_rank").alias("hi")).withColumn("in_order", F.coalesce(F.col("lo") > before, F.lit(True)))
+    other = js.select("ticker", F.struct(*flat.columns).alias("j"))
+    rows = csv.join(files.select("file", "in_order"), "file").join(other, "ticker", "left")
+    return tidy(rows.select(*flat.columns, "in_order", F.struct(*flat.columns).eqNullSafe(F.col("j")).alias("same_json")))
 
 
 @query("snk_preview_top20", f"select ticker, overall_rank, {rnd('overall_score')} as overall_score, coalesce(company_name, ticker) as company_name, sector from o_rank left join fx_companies using (ticker) where overall_rank <= 20")

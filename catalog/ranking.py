@@ -86,9 +86,10 @@ def xs_sector_peers(spark, sf):
     return tidy(_unit(spark, sf, lambda m: m.sector_relative), 9)
 
 
-@query("xs_direction", UNIT_SQL + "direction = 'asc' and category = 'earningsQuality'")
+@query("xs_direction", f"select ticker, metric_key, year_index, direction, {rnd('score', 9)} as score, peer_rank, peer_count from o_unit join d_metrics using (m)")
 def xs_direction(spark, sf):
-    return tidy(_unit(spark, sf, lambda m: m.direction == "asc" and m.category == "earningsQuality"), 9)
+    way = F.create_map(*[F.lit(x) for m in metrics() for x in (m.key, m.direction)])
+    return tidy(_unit(spark, sf, lambda m: m.enabled).withColumn("direction", way[F.col("metric_key")]), 9)
 
 
 Z_CONFIG = xs.RankConfig(method="zscore", years=3, winsor_lower=0.05, winsor_upper=0.95,
@@ -103,10 +104,9 @@ Z_WEIGHTS = {
 }
 
 
-@query("xs_zscore", f"select ticker, metric_key, year_index, {rnd('score', 9)} as score, peer_rank, peer_count from z_unit join d_metrics using (m) "
-                    "where category = 'profitability'", Z_SCORES)
+@query("xs_zscore", f"select ticker, metric_key, year_index, {rnd('score', 9)} as score, peer_rank, peer_count from z_unit join d_metrics using (m)", Z_SCORES)
 def xs_zscore(spark, sf):
-    return tidy(_unit(spark, sf, lambda m: m.category == "profitability", Z_CONFIG), 9)
+    return tidy(_unit(spark, sf, lambda m: m.enabled, Z_CONFIG), 9)
 
 
 def rank_select(prefix):

@@ -131,8 +131,8 @@ CTES: dict[str, str] = {
            case when b.n >= 8 and b.first5 > 0 and b.sd > 0 then (b.last5 / b.first5 - 1) / b.sd end as risk_adjusted_6m, latest as as_of
          from o_smooth s left join o_risk a on a.entity = s.entity and a.days = 10 left join o_risk b on b.entity = s.entity and b.days = 20""",
     "o_cycle": """select ticker, fiscal_year, len(l) as cycle_years, l[1] as cycle_latest, list_sum(l) / nullif(len(l), 0) as cycle_mean
-         from (select ticker, fiscal_year, list(net_income) filter (where net_income is not null) over (partition by ticker order by fiscal_year desc
-                      rows between current row and 9 following) as l from fx_panel)""",
+         from (select p.ticker, p.fiscal_year, (list(h.net_income order by h.fiscal_year desc) filter (where h.net_income is not null))[1:10] as l
+               from fx_panel p left join fx_earnings_history h on h.ticker = p.ticker and h.fiscal_year <= p.fiscal_year group by p.ticker, p.fiscal_year)""",
     "o_series": """select p.*, cycle_years, cycle_latest, cycle_mean, row_number() over (partition by p.ticker order by p.fiscal_year desc) - 1 as year_index,
            coalesce(eps_diluted, eps_basic) as eps, gross_profit / nullif(revenue, 0) as gross_margin, operating_income / nullif(revenue, 0) as operating_margin,
            net_income / nullif(total_assets, 0) as roa, total_current_assets / nullif(total_current_liabilities, 0) as current_ratio,
@@ -145,8 +145,8 @@ CTES: dict[str, str] = {
            join o_cycle using (ticker, fiscal_year)""",
     "o_wide_all": f"""select ticker, sector, period_key, fiscal_year, year_index, {metric_select()}
          from (select s.*, mo.return_12m1m, mo.risk_adjusted_3m, mo.risk_adjusted_6m,
-                      market_cap + coalesce(first(total_debt) over (partition by ticker order by fiscal_year desc), 0)
-                                 - coalesce(first(cash) over (partition by ticker order by fiscal_year desc), 0) as ev
+                      coalesce(snapshot_ev, market_cap + coalesce(first(total_debt) over (partition by ticker order by fiscal_year desc), 0)
+                                 - coalesce(first(cash) over (partition by ticker order by fiscal_year desc), 0)) as ev
                from o_series s left join o_momentum mo on mo.entity = s.p_partkey)
          window w as (partition by ticker order by fiscal_year desc),
                 o as (partition by ticker order by fiscal_year desc rows between current row and unbounded following),

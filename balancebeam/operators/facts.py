@@ -106,35 +106,67 @@ def period_end(facts: DataFrame, years: DataFrame, keys: tuple[str, ...] = ("ent
     return out.withColumn("period_end", F.coalesce("period_end", F.make_date("fiscal_year", F.lit(12), F.lit(31))))
 
 
-def pivot_concepts(yearly: DataFrame, concepts: list[str], keys: tuple[str, ...] = ("entity",)) -> DataFrame:
+def pivot_concepts(yearly: DataFrame, concepts: list[str], keys: tuple[str, ...] = ("entity",), more: tuple[Column, ...] = ()) -> DataFrame:
     """One row per entity and year with a column per concept; the concept list is given, so no extra pass finds it."""
-    return yearly.groupBy(*keys, "fiscal_year").agg(*[F.max(F.when(F.col("concept") == c, F.col("val"))).alias(c) for c in concepts])
+    return yearly.groupBy(*keys, "fiscal_year").agg(*[F.max(F.when(F.col("concept") == c, F.col("val"))).alias(c) for c in concepts], *more)
 
 
-def build_income(pivoted: DataFrame) -> DataFrame:
-    """Backbone years from revenue, else from net income; gross profit falls back to revenue less cost. EBITDA and EPS stay empty."""
-    w = Window.partitionBy("entity")
-    has_revenue = F.max(F.col("revenue").isNotNull()).over(w)
-    kept = pivoted.withColumn("_r", has_revenue).filter(F.when(F.col("_r"), F.col("revenue").isNotNull()).otherwise(F.col("net_income").isNotNull()))
+INCOME = ["revenue", "cost_of_revenue", "gross_profit", "research_and_development", "operating_income", "interest_expense", "pretax_income", "income_tax_expense", "net_income", "eps_diluted", "shares_diluted"]
+BALANCE = ["cash", "receivables", "inventory", "total_current_assets", "total_assets", "intangibles", "goodwill", "total_current_liabilities", "accounts_payable", "total_debt", "total_liabilities", "total_equity",
+           "retained_earnings"]
+CASH_FLOW = ["operating_cash_flow", "capex", "dividends_paid", "stock_buybacks", "stock_issuance", "depreciation_amortization", "stock_compensation"]
+
+
+def concept_series(facts: DataFrame, fallback: list[str], years: int = 12) -> DataFrame:
+    """Per entity, concept and fiscal year the winning fact, newest ``years`` of each concept: (entity, concept, fiscal_year, end_date, val, filed, tag, tag_priority).
+
+    For the concepts in ``fallback`` the first tag with any value wins a period, for the others the latest filing over all tags. All concepts pass in one aggregate.
+    """
+    order = [F.when(F.col("concept").isin(fallback), F.col("tag_priority")).otherwise(0), *latest_order()]
+    picked = annual_filter(facts).groupBy("entity", "concept", "end_date").agg(_first(FIELDS, order).alias("r"))
+    return to_fiscal_year(picked.select("entity", "concept", "end_date", "r.*"), years, ("entity", "concept"))
+
+
+def _lines(series: DataFrame, concepts: list[str], backbone: str, second: str | None, years: int) -> DataFrame:
+    """The concepts side by side with period_end and filed_at, for the newest years that have the backbone line (the second line where an entity has none of the first).
+
+    period_end is the latest end of the backbone lines, else 31 December; filed_at the latest usable filing of all lines.
+    """
+    spine = [backbone] + ([second] if second else [])
+    end = F.max(F.when(F.col("concept").isin(spine), F.col("end_date"))).alias("_end")
+    filed = F.max(usable_filed()).alias("filed_at")
+    wide = pivot_concepts(series, concepts, more=(end, filed))
+    has = F.col(backbone).isNotNull()
+    if second:
+        has = F.when(F.max(has).over(Window.partitionBy("entity")), has).otherwise(F.col(second).isNotNull())
+    newest = Window.partitionBy("entity").orderBy(F.desc("fiscal_year"))
+    kept = wide.withColumn("_has", has).filter("_has").withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= years)
+    return kept.withColumn("period_end", F.coalesce("_end", F.make_date("fiscal_year", F.lit(12), F.lit(31)))).drop("_has", "_k", "_end")
+
+
+def build_income(series: DataFrame, years: int = 12) -> DataFrame:
+    """Income statement of a ``concept_series``: backbone years from revenue, else from net income; a reported gross profit wins, else revenue less cost where both are known. EBIT is operating
+    income; EBITDA and basic EPS stay empty."""
     none = F.lit(None).cast("double")
-    return kept.select("entity", "fiscal_year", "revenue", "cost_of_revenue", F.coalesce("gross_profit", F.col("revenue") - F.col("cost_of_revenue")).alias("gross_profit"),
-                       "operating_income", F.col("operating_income").alias("ebit"), none.alias("ebitda"), "net_income", none.alias("eps_diluted"))
+    rows = _lines(series, INCOME, "revenue", "net_income", years)
+    gross = F.coalesce("gross_profit", F.col("revenue") - F.col("cost_of_revenue"))
+    return rows.withColumns({"gross_profit": gross, "ebit": F.col("operating_income"), "ebitda": none, "eps": none}).select(
+        "entity", "fiscal_year", "period_end", "filed_at", *INCOME, "ebit", "ebitda", "eps")
 
 
-def build_balance(pivoted: DataFrame) -> DataFrame:
-    w = Window.partitionBy("entity")
-    has_assets = F.max(F.col("total_assets").isNotNull()).over(w)
-    kept = pivoted.withColumn("_a", has_assets).filter(F.when(F.col("_a"), F.col("total_assets").isNotNull()).otherwise(F.col("total_equity").isNotNull()))
+def build_balance(series: DataFrame, years: int = 12) -> DataFrame:
+    """Balance sheet: backbone years from total assets, else from equity; tangible book takes missing intangibles and goodwill as zero; long-term debt is the total."""
     tangible = F.col("total_equity") - F.coalesce("intangibles", F.lit(0.0)) - F.coalesce("goodwill", F.lit(0.0))
-    return kept.select("entity", "fiscal_year", "total_assets", "total_equity", "total_debt", F.col("total_debt").alias("long_term_debt"), tangible.alias("tangible_book"))
+    rows = _lines(series, BALANCE, "total_assets", "total_equity", years)
+    return rows.select("entity", "fiscal_year", "period_end", "filed_at", *BALANCE, F.col("total_debt").alias("long_term_debt"), tangible.alias("tangible_book"))
 
 
-def build_cash_flow(pivoted: DataFrame) -> DataFrame:
-    """Backbone operating cash flow; outflows stored as negatives; free cash flow needs both of its parts."""
-    out = lambda c: (-F.abs(c)).alias(c)
-    return pivoted.filter("operating_cash_flow is not null").select(
-        "entity", "fiscal_year", "operating_cash_flow", out("capex"), out("dividends_paid"), out("stock_buybacks"),
-        (F.col("operating_cash_flow") - F.abs("capex")).alias("free_cash_flow"))
+def build_cash_flow(series: DataFrame, years: int = 12) -> DataFrame:
+    """Cash flow statement: backbone operating cash flow; outflows stored as negatives; free cash flow needs both of its parts."""
+    out = ("capex", "dividends_paid", "stock_buybacks")
+    rows = _lines(series, CASH_FLOW, "operating_cash_flow", None, years)
+    return rows.select("entity", "fiscal_year", "period_end", "filed_at", *[(-F.abs(c)).alias(c) if c in out else F.col(c) for c in CASH_FLOW],
+                       (F.col("operating_cash_flow") - F.abs("capex")).alias("free_cash_flow"))
 
 
 def build_quarterly(rows: DataFrame) -> DataFrame:

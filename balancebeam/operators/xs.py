@@ -103,7 +103,9 @@ def unit_scores(values: DataFrame, config: RankConfig, registry: list[Metric], b
         placed = _attach(bounded, side, stats)
         z = F.when(_constant("w_min", "w_max"), F.lit(0.0)).otherwise((F.col("wv") - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0)))
         scored = placed.withColumn("score", _banded(logistic(z), rising)).drop(*stats)
-        scored = positions(scored, group, [F.desc("score"), F.col("ticker")], "peer_rank")
+        # ranked by nine decimals, as overall scores are, so that a rank does not hang on the last bits of a mean
+        scored = scored.withColumn("_nine", F.floor(F.col("score") * 1e9 + 0.5))
+        scored = positions(scored, group, [F.desc("_nine"), F.col("ticker")], "peer_rank")
     return scored.select(*by, "ticker", "m", "year_index", "score", F.col("peer_rank").cast("long").alias("peer_rank"), F.col("n").alias("peer_count"))
 
 

@@ -115,6 +115,20 @@ BINDINGS: dict[str, str] = {
                case when l_linestatus = 'O' and l_orderkey % 9 = 0 then '10-Q' else '10-K' end as form,
                l_orderkey as ord, l_linenumber as line
         from lineitem""",
+    # filings of 31 concepts: each line item files a quarter of them, under one of the concept's tags; fiscal years end in any month, and on two days of it
+    "fx_filings": """
+        select l_partkey as entity, concept, concept || '_' || cast((l_linenumber + l_orderkey) % tags as string) as tag, cast((l_linenumber + l_orderkey) % tags as int) as tag_priority,
+               case when ci < 11 or ci > 23 then ends - cast(350 + l_orderkey % 40 as int) end as start_date, ends as end_date, ends + (cast(l_quantity as int) - 5) as filed,
+               case when concept = 'retained_earnings' and l_linenumber % 2 = 0 then -1 else 1 end * l_extendedprice * (ci + 1) as val,
+               case when l_linestatus = 'O' and l_orderkey % 9 = 0 then '10-Q' else '10-K' end as form, l_orderkey as ord, l_linenumber as line
+        from (select *, last_day(make_date(year(l_shipdate), cast(1 + l_partkey % 12 as int), 1)) - cast(3 * (l_orderkey % 2) as int) as ends, (l_orderkey + l_linenumber) % 4 as slot from lineitem) f
+        join (select ci, concept, tags, ci % 4 as slot from (values """ + ", ".join(
+        f"({i}, '{c}', {t})" for i, (c, t) in enumerate([
+            ("revenue", 2), ("cost_of_revenue", 3), ("gross_profit", 2), ("research_and_development", 1), ("operating_income", 1), ("interest_expense", 1), ("pretax_income", 1), ("income_tax_expense", 1),
+            ("net_income", 3), ("eps_diluted", 1), ("shares_diluted", 1), ("cash", 1), ("receivables", 1), ("inventory", 1), ("total_current_assets", 1), ("total_assets", 1), ("intangibles", 1),
+            ("goodwill", 1), ("total_current_liabilities", 1), ("accounts_payable", 1), ("total_debt", 3), ("total_liabilities", 1), ("total_equity", 1), ("retained_earnings", 1),
+            ("operating_cash_flow", 1), ("capex", 1), ("dividends_paid", 1), ("stock_buybacks", 1), ("stock_issuance", 1), ("depreciation_amortization", 2), ("stock_compensation", 2)])) + """) v(ci, concept, tags)) c
+             on f.slot = c.slot""",
     "fx_trade_prices": """
         select l_partkey as entity, cast(l_shipdate as date) as date,
                sum(cast(floor(l_extendedprice * 100 + 0.5e0) as bigint)) / 1e2 / sum(cast(l_quantity as bigint)) as close

@@ -31,14 +31,26 @@ def split_title(raw: Column) -> tuple[Column, Column]:
     return F.when(split, parts[0]).otherwise(raw), F.when(split, parts[1])
 
 
+FEED = "channel struct<item:array<struct<title:string,link:string,pubDate:string>>>, _corrupt string"
+
+
+def strip(c) -> Column:
+    """Without white space and control characters at both ends."""
+    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def headlines_rss(df: DataFrame, keep: list[str]) -> DataFrame:
-    """RSS text: <item> blocks with title, link and pubDate."""
-    items = df.select(*keep, F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))).alias("_i"))
-    tag = lambda t: F.trim(decode_entities(F.regexp_extract("_i", rf"(?s)<{t}>(.*?)</{t}>", 1)))
+    """RSS feeds: the items' title, link and pubDate, read by the XML parser. A feed that is not well-formed still gives its <item> blocks, their entities decoded one by one."""
+    feed = df.select(*keep, "body", F.from_xml("body", FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_f"))
+    tag = lambda x, t: decode_entities(F.regexp_extract(x, rf"(?s)<{t}>(.*?)</{t}>", 1))
+    blocks = F.regexp_extract_all("body", F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), F.lit(1))
+    salvaged = F.transform(blocks, lambda x: F.struct(tag(x, "title").alias("title"), tag(x, "link").alias("link"), tag(x, "pubDate").alias("pubDate")))
+    whole = F.col("_f").isNotNull() & F.col("_f._corrupt").isNull()
+    items = feed.select(*keep, F.inline(F.coalesce(F.when(whole, F.col("_f.channel.item")), salvaged)))
     # the weekday carries no information and Spark's parser does not read one
-    when = F.regexp_replace(tag("pubDate"), r"^[A-Za-z]{3},\s*", "")
+    when = F.regexp_replace(strip("pubDate"), r"^[A-Za-z]{3},\s*", "")
     at = F.coalesce(*[F.try_to_timestamp(when, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("z", "xx")])
-    rows = items.select(*keep, tag("title").alias("_raw"), tag("link").alias("url"), at.alias("published_at"))
+    rows = items.select(*keep, strip("title").alias("_raw"), strip("link").alias("url"), at.alias("published_at"))
     title, publisher = split_title(F.col("_raw"))
     return _complete(rows.select("*", title.alias("title"), F.coalesce(publisher, F.lit("News search")).alias("publisher")), keep)
 
@@ -50,16 +62,24 @@ def headlines_articles(df: DataFrame, keep: list[str]) -> DataFrame:
     return _complete(rows, keep)
 
 
-def constituents(pages: DataFrame, pattern: str, minimum: int, group: int = 1) -> DataFrame:
-    """Symbols listed in the rows of a corpus of pages, without repeats. Fewer than ``minimum`` is an error, not a short list.
+MINIMUM = 400
+
+
+def constituents(pages: DataFrame, pattern: str, minimum: int = MINIMUM, group: int = 1, table: str | None = None) -> DataFrame:
+    """Symbols listed in the rows of a corpus of pages, without repeats, in one pass over the pages.
 
-    The default pattern of callers matches a table cell; the count is taken on the exploded rows by Spark.
+    A list of fewer than ``minimum`` symbols is an error, not a short list, and so is a corpus without any page that matches ``table`` (a pattern whose match is the part to read). Both
+    are raised by the plan itself when it runs: symbols and their number come out of one aggregate, so nothing is counted first and computed again. The list is that of an index, some
+    thousands of symbols, and is gathered in one row for that.
     """
-    found = pages.select(F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(group))).alias("symbol")).filter("symbol <> ''").distinct()
-    n = found.count()
-    if n < minimum:
-        raise ValueError(f"only {n} symbols found, expected at least {minimum}: the page layout may have changed")
-    return found
+    text = F.col("html") if table is None else F.regexp_extract("html", f"({table})", 1)
+    rows = pages.select(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("s"), (F.lit(True) if table is None else text != "").alias("t"))
+    symbols = rows.select(F.explode_outer("s").alias("symbol"), "t").groupBy("symbol").agg(F.max("t").alias("t"))
+    all_of = symbols.agg(F.coalesce(F.max("t"), F.lit(table is None)).alias("t"), F.sort_array(F.collect_set(F.when(F.col("symbol") != "", F.col("symbol")))).alias("s"))
+    short = F.concat(F.lit("only "), F.size("s").cast("string"), F.lit(f" symbols found, expected at least {minimum}: the page layout may have changed"))
+    missing = F.raise_error(F.lit("the table of constituents was not found in any page")).cast("array<string>")
+    checked = F.when(~F.col("t"), missing).when(F.size("s") < minimum, F.raise_error(short).cast("array<string>")).otherwise(F.col("s"))
+    return all_of.select(F.explode(checked).alias("symbol"))
 
 
 def blank_to_null(c) -> Column:

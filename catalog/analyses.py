@@ -406,49 +406,59 @@ def strategy_order(spark, sf):
 # --- statements ------------------------------------------------------------------------------------------------------------------
 
 
+STATEMENTS = (("income", "fx_income", statements.INCOME_ROWS), ("balance", "fx_balance", statements.BALANCE_ROWS), ("cash_flow", "fx_cash_flow", statements.CASH_FLOW_ROWS))
+
+
 def _rows_sql():
-    cfg = [(line, i, indent) for i, (line, indent, _) in enumerate(statements.INCOME_ROWS)]
-    lines = ", ".join(c[0] for c in cfg)
-    return {
-        "w_cfg": values(cfg, "line, line_no, indent"),
-        "w_u": f"select * from (select ticker, fiscal_year, {', '.join(f'{c[0]}::DOUBLE as {c[0]}' for c in cfg)} from fx_income) unpivot include nulls (value for line in ({lines}))",
-        "w_e": "select ticker, bool_or(ebit is distinct from operating_income) as own from fx_income group by ticker",
-        "w_k": """select ticker, fiscal_year, line, value from (select *, count(value) over (partition by ticker, line) as c from w_u) join w_e using (ticker)
-                  where c > 0 and (line <> 'ebit' or own)""",
-        "w_r": "select ticker, fiscal_year, line, line_no, indent, value from w_k join w_cfg using (line)",
-    }
+    out, parts = {}, []
+    for name, source, config in STATEMENTS:
+        cfg, p = [(line, i, indent) for i, (line, indent, _) in enumerate(config)], f"w_{name}"
+        out[f"{p}_cfg"] = values(cfg, "line, line_no, indent")
+        out[f"{p}_u"] = (f"select * from (select ticker, fiscal_year, {', '.join(f'{c[0]}::DOUBLE as {c[0]}' for c in cfg)} from {source}) "
+                         f"unpivot include nulls (value for line in ({', '.join(c[0] for c in cfg)}))")
+        twins = [(line, twin) for line, _, twin in config if twin]
+        out[f"{p}_e"] = f"select ticker, {', '.join(f'bool_or({a} is distinct from {b}) as own_{a}' for a, b in twins) or '1'} from {source} group by ticker"
+        own = " and ".join(["c > 0", *(f"(line <> '{a}' or own_{a})" for a, _ in twins)])
+        parts.append(f"select '{name}' as statement, ticker, fiscal_year, line, line_no, indent, value from (select *, count(value) over (partition by ticker, line) as c from {p}_u) join {p}_e using (ticker) join {p}_cfg using (line) where {own}")
+    return {**out, "w_r": " union all ".join(parts)}
 
 
 ROWS = _rows_sql()
 
 
-def rows(spark, sf):
-    return statements.statement_rows(bind(spark, sf, "fx_income"))
+def each_statement(spark, sf, view=lambda rows: rows):
+    """A view of each of the three statements, one under the other."""
+    out = None
+    for name, source, config in STATEMENTS:
+        part = view(statements.statement_rows(bind(spark, sf, source), config)).withColumn("statement", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return tidy(out)
 
 
-@query("stmt_rows", f"select ticker, fiscal_year, line, line_no, indent, {rnd('value')} as value from w_r", ROWS)
+@query("stmt_rows", f"select statement, ticker, fiscal_year, line, line_no, indent, {rnd('value')} as value from w_r", ROWS)
 def stmt_rows(spark, sf):
-    return tidy(rows(spark, sf))
+    return each_statement(spark, sf)
 
 
-@query("stmt_groups", "select ticker, line, line_no, indent, last_value(case when indent = 0 then line end ignore nulls) over (partition by ticker order by line_no) as parent from (select distinct ticker, line, line_no, indent from w_r)", ROWS)
+@query("stmt_groups", """select statement, ticker, line, line_no, indent, last_value(case when indent = 0 then line end ignore nulls) over (partition by statement, ticker order by line_no) as parent
+        from (select distinct statement, ticker, line, line_no, indent from w_r)""", ROWS)
 def stmt_groups(spark, sf):
-    return tidy(statements.statement_groups(rows(spark, sf)))
+    return each_statement(spark, sf, statements.statement_groups)
 
 
-NN = {**ROWS, "w_n": "select *, row_number() over (partition by ticker, line order by fiscal_year desc) as k from w_r where value is not null"}
+NN = {**ROWS, "w_n": "select *, lead(value) over w as before, lead(fiscal_year) over w as before_year, row_number() over w as k from w_r where value is not null window w as (partition by statement, ticker, line order by fiscal_year desc)"}
 
 
-@query("stmt_yoy_latest", f"""select a.ticker, a.line, b.fiscal_year as from_year, a.fiscal_year as to_year, {rnd('(a.value - b.value) / abs(b.value)')} as change from w_n a join w_n b on b.ticker = a.ticker and b.line = a.line and b.k = 2
-        where a.k = 1 and b.value <> 0 and sign(a.value) = sign(b.value)""", NN)
+@query("stmt_yoy_latest", f"""select statement, ticker, line, before_year as from_year, fiscal_year as to_year, {rnd('(value - before) / abs(before)')} as change from w_n
+        where k = 1 and before <> 0 and sign(value) = sign(before)""", NN)
 def stmt_yoy_latest(spark, sf):
-    return tidy(statements.yoy_latest(rows(spark, sf)))
+    return each_statement(spark, sf, statements.yoy_latest)
 
 
-@query("stmt_trend", """select ticker, line, case when arg_max(value, fiscal_year) = arg_min(value, fiscal_year) then 'flat' when arg_max(value, fiscal_year) > arg_min(value, fiscal_year) then 'up' else 'down' end as trend
-        from w_n group by ticker, line having count(*) >= 2""", NN)
+@query("stmt_trend", """select statement, ticker, line, case when arg_max(value, fiscal_year) = arg_min(value, fiscal_year) then 'flat' when arg_max(value, fiscal_year) > arg_min(value, fiscal_year) then 'up' else 'down' end as trend
+        from w_n group by statement, ticker, line having count(*) >= 2""", NN)
 def stmt_trend(spark, sf):
-    return statements.trend(rows(spark, sf))
+    return each_statement(spark, sf, statements.trend)
 
 
 @query("stmt_latest_filing", "select ticker, period_end, filed_at from (select * from fx_income qualify row_number() over (partition by ticker order by fiscal_year desc) = 1) where period_end is not null and filed_at is not null")

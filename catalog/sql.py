@@ -172,7 +172,7 @@ def xs_ctes(prefix: str, source: str, method: str, lo: float, hi: float, by: str
     }[method]
     rank = {
         "percentile": "(case when low then np else 0 end) + (case when rising then ns - rw + 1 else rw end)",
-        "zscore": f"row_number() over (partition by {grp} order by score desc, ticker)",
+        "zscore": f"row_number() over (partition by {grp} order by floor(score * 1e9 + 0.5::DOUBLE) desc, ticker)",
     }[method]
     return {
         f"{prefix}_g": f"""select {b}ticker, m, year_index, v, case when sector_relative then coalesce(sector, '~') else '' end as peer,

@@ -223,13 +223,6 @@ def test_headlines(spark):
     assert [(r.title, r.publisher) for r in got] == [("A - B", "Wire")]
 
 
-def test_constituents_refuse_a_short_list(spark):
-    pages = spark.createDataFrame([("<td>AAA</td><td>BBB</td>",)], "html string")
-    assert readers.constituents(pages, "<td>([A-Z]+)</td>", 2).count() == 2
-    with pytest.raises(ValueError):
-        readers.constituents(pages, "<td>([A-Z]+)</td>", 400)
-
-
 def test_rerun_of_a_day_replaces_it(spark, tmp_path):
     path = str(tmp_path / "s")
     day = lambda d, v: spark.createDataFrame([("A", D(2024, 1, d), v)], "ticker string, date date, v double")

@@ -51,26 +51,34 @@ def summary_rows(periods: DataFrame) -> DataFrame:
         F.max_by(flows, F.when(has_flows, F.col("fiscal_year"))).alias("flow"))
 
 
-def balance_sheet(rows: DataFrame) -> DataFrame:
+def _balance() -> list[Column]:
     held = F.coalesce(F.col("sector") == "Financials", F.lit(False))
     show = lambda x: F.when(~held, x)
     comparable = (F.col("coverage_n") > 1) & (F.col("coverage_new") > 0) & (F.col("coverage_old") > 0)
-    return rows.select(
-        "ticker", held.alias("suppressed"), show(F.col("net_debt_new")).alias("net_debt"), show(F.col("net_debt_old")).alias("net_debt_start"),
+    return [
+        held.alias("suppressed"), show(F.col("net_debt_new")).alias("net_debt"), show(F.col("net_debt_old")).alias("net_debt_start"),
         show(F.when(F.col("net_debt_n") > 1, relative_trend("net_debt", True))).alias("net_debt_trend"),
         show(F.col("leverage_new")).alias("leverage"), show(F.when(F.col("leverage_n") > 1, relative_trend("leverage", True))).alias("leverage_trend"),
-        show(F.col("coverage_new")).alias("coverage"), show(F.when(comparable, relative_trend("coverage", False))).alias("coverage_trend"))
+        show(F.col("coverage_new")).alias("coverage"), show(F.when(comparable, relative_trend("coverage", False))).alias("coverage_trend")]
 
 
-def reinvestment(rows: DataFrame) -> DataFrame:
+def balance_sheet(rows: DataFrame) -> DataFrame:
+    return rows.select("ticker", *_balance())
+
+
+def _reinvestment() -> list[Column]:
     new, old = F.col("capital_new"), F.col("capital_old")
     added = new["invested"] - old["invested"]
     pair = F.col("capital_n") > 1
     grew = pair & (old["invested"] > 0) & (added > MIN_CAPITAL_GROWTH * old["invested"])
-    return rows.select(
-        "ticker", F.col("gp_new").alias("gross_profitability"), F.when(F.col("gp_n") > 1, absolute_trend("gp", False, PROFIT_BAND)).alias("gross_profitability_trend"),
+    return [
+        F.col("gp_new").alias("gross_profitability"), F.when(F.col("gp_n") > 1, absolute_trend("gp", False, PROFIT_BAND)).alias("gross_profitability_trend"),
         F.when(grew, (new["nopat"] - old["nopat"]) / F.nullif(added, F.lit(0.0))).alias("incremental_return"),
-        F.when(pair, F.when(grew, "measured").otherwise("base-too-small")).alias("incremental_status"))
+        F.when(pair, F.when(grew, "measured").otherwise("base-too-small")).alias("incremental_status")]
+
+
+def reinvestment(rows: DataFrame) -> DataFrame:
+    return rows.select("ticker", *_reinvestment())
 
 
 def _share_rate() -> Column:
@@ -78,7 +86,7 @@ def _share_rate() -> Column:
     return F.when(F.col("shares_n") > 1, F.pow(F.col("shares_new") / F.col("shares_old"), 1 / F.nullif(years, F.lit(0)).cast("double")) - 1)
 
 
-def distributions(rows: DataFrame) -> DataFrame:
+def _distributions() -> list[Column]:
     f = F.col("flow")
     fcf = f["fcf"]
     net_buybacks = F.abs(f["stock_buybacks"]) - F.abs(F.coalesce(f["stock_issuance"], F.lit(0.0)))
@@ -86,17 +94,19 @@ def distributions(rows: DataFrame) -> DataFrame:
     either = F.coalesce(dividends, net_buybacks).isNotNull()
     total = F.when(either, F.coalesce(dividends, F.lit(0.0)) + F.greatest(F.coalesce(net_buybacks, F.lit(0.0)), F.lit(0.0)))
     rate = _share_rate()
-    return rows.select(
-        "ticker", f["fiscal_year"].alias("flow_year"), net_buybacks.alias("net_buybacks"), dividends.alias("dividends"), total.alias("distributed"),
+    return [
+        f["fiscal_year"].alias("flow_year"), net_buybacks.alias("net_buybacks"), dividends.alias("dividends"), total.alias("distributed"),
         ratio_pos(total, fcf).alias("share_of_fcf"), (total > fcf).alias("beyond_fcf"), rate.alias("share_rate"),
-        F.when(rate.isNotNull(), F.when(F.abs(rate) < SHARE_BAND, "flat").when(rate < 0, "improving").otherwise("deteriorating")).alias("share_trend"))
+        F.when(rate.isNotNull(), F.when(F.abs(rate) < SHARE_BAND, "flat").when(rate < 0, "improving").otherwise("deteriorating")).alias("share_trend")]
+
+
+def distributions(rows: DataFrame) -> DataFrame:
+    return rows.select("ticker", *_distributions())
 
 
 def capalloc_summary(rows: DataFrame) -> DataFrame:
     """Trend codes only, one row per entity."""
-    return (
-        balance_sheet(rows).select("ticker", F.when(F.col("suppressed"), "suppressed").otherwise(F.col("net_debt_trend")).alias("leverage_code"))
-        .join(reinvestment(rows).select("ticker", F.col("gross_profitability_trend").alias("profitability_code")), "ticker")
-        .join(distributions(rows).select("ticker", F.when(F.col("beyond_fcf"), "beyond-fcf").when(~F.col("beyond_fcf"), "covered").alias("distribution_code"),
-                                         F.when(F.col("share_trend") != "flat", F.col("share_trend")).alias("share_code")), "ticker")
-    )
+    return rows.select("ticker", *_balance(), *_reinvestment(), *_distributions()).select(
+        "ticker", F.when(F.col("suppressed"), "suppressed").otherwise(F.col("net_debt_trend")).alias("leverage_code"), F.col("gross_profitability_trend").alias("profitability_code"),
+        F.when(F.col("beyond_fcf"), "beyond-fcf").when(~F.col("beyond_fcf"), "covered").alias("distribution_code"),
+        F.when(F.col("share_trend") != "flat", F.col("share_trend")).alias("share_code"))

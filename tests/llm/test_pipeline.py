@@ -140,3 +140,37 @@ def test_bands_and_sketches_lose_no_similar_pair():
         shared = (shingles.bands(low[0]) == shingles.bands(low[1])).any()
         lost += not (shared and (shingles.sketch(low[0]) == shingles.sketch(low[1])).mean() >= shingles.least_agreement(0.8))
     assert not lost
+
+
+def test_groups_that_share_bands_but_not_links(spark, docs, monkeypatch):
+    """Many variants of one text, most of them less similar than asked for: blocks meet in tasks, whatever the size of the chunks."""
+    r = random.Random(3)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}.{k}" for k in range(120)]
+        for k in range(40):
+            w = list(base)
+            for _ in range(r.choice((1, 2, 4))):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            rows.append((1000 * g + k, " ".join(w), "en"))
+    want = jaccard_kept([(i, t) for i, t, _ in rows])
+    assert 4 < len(want) < len(rows)
+    for chunk, weight, columns in ((shingles.CHUNK, shingles.WEIGHT, shingles.COLUMNS), (5, 900, 64)):
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        monkeypatch.setattr(shingles, "WEIGHT", weight)
+        monkeypatch.setattr(shingles, "COLUMNS", columns)
+        assert sorted(x.doc_id for x in shingles.dedup(docs(rows)).collect()) == want
+
+
+def test_runs_over_batch_ends_and_shared_counts():
+    r = random.Random(6)
+    rows = sorted((r.randrange(3), r.randrange(4), k) for k in range(50))
+    want = {}
+    for a, b, k in rows:
+        want.setdefault((a, b), []).append(k)
+    for size in (1, 2, 7, 100):
+        batches = [pa.record_batch({n: pa.array([x[i] for x in rows[k : k + size]], pa.int64()) for i, n in enumerate("abk")}) for k in range(0, len(rows), size)]
+        assert [t.column(0).to_pylist() for t in shingles._runs(iter(batches), 2)] == list(want.values())
+    some = [np.unique(np.array([r.randrange(300) for _ in range(r.randrange(1, 200))], np.uint64)) for _ in range(9)]
+    got = shingles.shared_counts(some)
+    assert all(got[i, j] == len(np.intersect1d(some[i], some[j])) for i in range(9) for j in range(9) if i != j)

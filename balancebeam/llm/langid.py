@@ -2,7 +2,10 @@
 
 The subwords of a text are its runs of three and four bytes, lower-cased. A text is the mean of its subwords' embeddings. The model is trained on the driver from a
 bounded sample of labelled rows, drawn by hash and alike for every language; only the sparse counts of a sampled text leave the executors. A part of the sample that
-is not trained on sets the temperature of the softmax and the score under which a prediction is rejected.
+is not trained on sets the temperature of the softmax and the bound under which a prediction is rejected.
+
+The softmax compares learned languages with each other, so it is as sure of a text in another one. A prediction is rejected by how familiar the text's subwords are: their mean log frequency in
+the predicted language, its distance from that language's median in deviations that a text of this length has among the calibration rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ UND = "und"
 BUCKETS = 1 << 13
 DIMS = 16
 SAMPLE = 3000  # labelled rows fitted on, over all languages
-REJECT = 0.001  # share of calibration rows that the threshold may reject
+REJECT = 0.001  # share of calibration rows at which the bound of familiarity lies
+MARGIN = 1.0  # deviations under it that are still accepted
+UNSEEN = 0.001  # share of a language's frequencies given to all subwords alike
+FLAT = 1e-4  # least variance of a mean log frequency
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -42,20 +48,29 @@ class LanguageModel:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    frequencies: np.ndarray  # log frequency of each bucket, per language
+    centre: np.ndarray  # median familiarity per language
+    spread: np.ndarray  # its variance per language: a constant and a part that falls with the number of subwords
+    bound: float
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         return (counts @ self.embeddings / max(1, counts.sum())) @ self.weights + self.bias
 
+    def familiarity(self, counts: np.ndarray, k: int) -> float:
+        """Deviations by which the subwords' mean log frequency in language k lies above its median."""
+        n = max(1, counts.sum())
+        return float((counts @ self.frequencies[k] / n - self.centre[k]) / np.sqrt(self.spread[k, 0] + self.spread[k, 1] / n))
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, probability, rejected). No letter, or no language learned: und, 0, rejected."""
         if not text or not self.languages or not _LETTER.search(text):
             return UND, 0.0, True
-        z = self.logits(subword_counts(text, len(self.embeddings))) / self.temperature
+        counts = subword_counts(text, len(self.embeddings))
+        z = self.logits(counts) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         k = int(p.argmax())
-        return self.languages[k], float(p[k]), bool(p[k] < self.threshold)
+        return self.languages[k], float(p[k]), self.familiarity(counts, k) < self.bound
 
 
 def sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str], list[np.ndarray], list[np.ndarray]]:
@@ -84,7 +99,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages, labels, at, counts = sample(docs, rows, id_col, text_col, lang_col)
     rng, n_lang = np.random.default_rng(seed), max(1, len(languages))
     e, w, bias = rng.normal(0, 1 / np.sqrt(DIMS), (BUCKETS, DIMS)), np.zeros((DIMS, n_lang)), np.zeros(n_lang)
-    model = LanguageModel(languages, e, w, bias, 1.0, 0.0)
+    model = LanguageModel(languages, e, w, bias, 1.0, np.zeros((n_lang, BUCKETS)), np.zeros(n_lang), np.ones((n_lang, 2)), -np.inf)
     if not labels:
         return model
     y = np.searchsorted(languages, labels)
@@ -117,12 +132,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     check = np.flatnonzero(held) if held.any() else train
     z = np.concatenate([dense(check[s : s + 256]) @ e @ w + bias for s in range(0, len(check), 256)])
     model.temperature = _temperature(z, y[check])
-    p = _softmax(z / model.temperature)
-    right = p.argmax(1) == y[check]
-    model.threshold = float(min(0.5, np.quantile(p.max(1)[right], REJECT))) if right.any() else 0.0
+    _calibrate(model, [(at[k], counts[k], y[k]) for k in train], [(at[k], counts[k], g) for k, g in zip(check, z.argmax(1)) if g == y[k]])
     return model
 
 
+def _calibrate(model: LanguageModel, train: list[tuple], right: list[tuple]) -> None:
+    """Set frequencies, their usual values and the bound. Rows are (buckets, counts, language); ``right`` are the calibration rows that were predicted right."""
+    seen = np.zeros_like(model.frequencies)
+    for at, n, k in train:
+        seen[k, at] += n / n.sum()
+    total = np.maximum(seen.sum(1, keepdims=True), 1e-9)
+    model.frequencies = np.log((1 - UNSEEN) * seen / total + UNSEEN / BUCKETS)
+    rows = [(k, n @ model.frequencies[k, at] / n.sum(), n.sum()) for at, n, k in right]
+    kinds, mean, size = (np.array(x) for x in zip(*rows)) if rows else (np.zeros(0),) * 3
+    far = np.zeros(len(rows))
+    for k in range(len(model.languages)):
+        of = kinds == k
+        if not of.any():  # nothing to judge this language by: none is rejected
+            model.spread[k, 0] = np.inf
+            continue
+        model.centre[k] = np.median(mean[of])
+        parts = np.stack([np.ones(of.sum()), 1 / size[of]], 1)
+        found = np.linalg.lstsq(parts, (mean[of] - model.centre[k]) ** 2, rcond=None)[0]
+        model.spread[k] = max(found[0], FLAT), max(found[1], FLAT)
+        far[of] = (mean[of] - model.centre[k]) / np.sqrt(parts @ model.spread[k])
+    model.bound = float(np.quantile(far, REJECT)) - MARGIN if rows else -np.inf
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)

@@ -210,6 +210,21 @@ def test_language_held_out_and_odd_rows(docs):
     assert [x.lang_pred for x in langid.predict(docs(ODD), blank).collect()] == ["und"] * len(ODD)
 
 
+def test_texts_of_an_unlearned_language_are_rejected(docs):
+    r = random.Random(12)
+    tongues = {"en": "the of and ing that with which ould ight".split(), "de": "der und sch ein nicht ung lich keit ß".split(), "fr": "le que eau ette tion ç eux ment est".split()}
+    say = lambda l: " ".join("".join(r.choice(tongues[l]) for _ in range(r.randint(1, 3))) for _ in range(r.choice((12, 60, 400))))
+    rows = [(k, say(l), l) for k, l in ((k, r.choice(list(tongues))) for k in range(600))]
+    model = langid.fit(docs([x for x in rows[:400] if x[2] != "fr"]))
+    out = langid.predict(docs(rows[400:]), model).collect()
+    foreign, own = [x.rejected for x in out if x.lang == "fr"], [x.rejected for x in out if x.lang != "fr"]
+    assert sum(foreign) >= 0.9 * len(foreign) > 0 and sum(own) <= 0.02 * len(own)
+    k, counts = 0, langid.subword_counts(rows[0][1])  # familiarity from the model's arrays, plainly
+    mean = sum(int(c) * float(model.frequencies[k, i]) for i, c in enumerate(counts)) / int(counts.sum())
+    want = (mean - model.centre[k]) / (model.spread[k, 0] + model.spread[k, 1] / int(counts.sum())) ** 0.5
+    assert abs(model.familiarity(counts, k) - want) < 1e-9
+
+
 def test_quality_held_out_and_odd_rows(docs, spark):
     r = random.Random(8)
     say = lambda: [r.choice("lorem ipsum dolor sit amet elit sed".split()) for _ in range(r.randint(5, 40))]

@@ -31,7 +31,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def _encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = file_encoder(path, 400_000)
+        _ENCODERS[path] = file_encoder(path, 150_000)
     return _ENCODERS[path]
 
 

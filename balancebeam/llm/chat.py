@@ -1,8 +1,8 @@
 """Chat formatting with a grammar round trip, in DataFrame expressions alone.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. A deterministic parser takes the formatted string apart again. A turn is first rendered as it is and parsed;
-where the parser does not give back the same role and text (control strings inside them, or what looks escaped), the turn is rendered escaped, which always parses
-back: every ``<``, backslashes, ``|`` gets one more backslash, and a line feed in a role becomes a control string that no escaped role can hold.
+where the parser does not give back the same role and text (control strings inside them, or what looks escaped), the turn is rendered escaped, and parsed and compared once
+more; a turn that still differed would fail the job. Escaping: every ``<``, backslashes, ``|`` gets one more backslash, and a line feed in a role becomes a control string that no escaped role can hold.
 """
 
 from __future__ import annotations
@@ -47,6 +47,12 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), turn)
 
 
+def parses_back(as_role: Column, as_text: Column, role: Column, text: Column) -> Column:
+    """Whether the rendered turn is read back as one turn of this role and text."""
+    back = parse(render(as_role, as_text))
+    return (F.size(back) == 1) & F.coalesce((back[0]["role"] == role) & (back[0]["text"] == text), F.lit(False))
+
+
 def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (array<struct<start, length>>, in code points from 0: the texts of ``trained`` turns as formatted).
 
@@ -54,11 +60,10 @@ def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", tu
     turn, an empty table gives no rows. Other columns are not read. Offsets are running sums in a window, so only a conversation's own strings meet in its row.
     """
     rows = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    plain = render(F.col("role"), F.col("text"))
-    back = parse(plain)
-    same = (F.size(back) == 1) & F.coalesce((back[0]["role"] == F.col("role")) & (back[0]["text"] == F.col("text")), F.lit(False))
-    rows = rows.withColumn("same", same)
-    rows = rows.select("conv_id", "turn", "role", "text", F.when(F.col("same"), F.col("role")).otherwise(escape_role(F.col("role"))).alias("as_role"), F.when(F.col("same"), F.col("text")).otherwise(escape(F.col("text"))).alias("as_text"))
+    rows = rows.withColumn("same", parses_back(F.col("role"), F.col("text"), F.col("role"), F.col("text")))
+    rows = rows.select("conv_id", "turn", "role", "text", "same", F.when(F.col("same"), F.col("role")).otherwise(escape_role(F.col("role"))).alias("as_role"), F.when(F.col("same"), F.col("text")).otherwise(escape(F.col("text"))).alias("as_text"))
+    whole = F.col("same") | parses_back(F.col("as_role"), F.col("as_text"), F.col("role"), F.col("text"))
+    rows = rows.withColumn("as_text", F.when(whole, F.col("as_text")).otherwise(F.raise_error(F.lit("a formatted turn does not parse back")).cast("string")))
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("k", F.row_number().over(w))
     rows = rows.withColumn("end", F.sum(F.length(render(F.col("as_role"), F.col("as_text")))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

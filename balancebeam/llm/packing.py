@@ -8,7 +8,8 @@ open, so padding does not follow the data. Document frequencies are counted over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +20,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from balancebeam.llm.common import cut
-from balancebeam.llm.wordids import WordEncoder, file_encoder
+from balancebeam.llm.wordids import file_encoder
 
 K1, B = 1.2, 0.75
 SHARD = 2048  # tails indexed together
 PIVOTS = 256  # tails that route the others; the index itself never reads them
 PIECE = "doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, Callable[[str], array]] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str) -> Callable[[str], array]:
     if path not in _ENCODERS:
-        _ENCODERS[path] = file_encoder(path, 150_000)
+        _ENCODERS[path] = file_encoder(path)
     return _ENCODERS[path]
 
 
@@ -44,11 +45,11 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     kind, narrow = dict(docs.dtypes)[id_col], id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = _encoder(path), array("I", [end_id])
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                ids = [np.frombuffer((enc.encode(t) if t else b"") + end, "<u4").astype(narrow) for t in part.column(1).to_pylist()]
+                ids = [np.frombuffer(enc(t or "") + end, np.uintc).astype(narrow) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n long, ids binary")

@@ -8,6 +8,7 @@ other white space is given to the encoder whole.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Callable
 
@@ -92,11 +93,15 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
-def file_encoder(path: str, memo: int) -> WordEncoder:
-    """An encoder for a byte-level BPE file of the tokenizers library, without special tokens.
+#: White space that the faster library's pattern engine may not hold on its stack.
+LONG_SPACE = re.compile(r"\s{100000}")
 
-    Where ids follow the order of the merges, ranks say the same as the file, and the faster library for rank files gives the same ids; else the file's own library
-    encodes each new word.
+
+def file_encoder(path: str) -> Callable[[str], array]:
+    """An encoder of whole texts for a byte-level BPE file of the tokenizers library, without special tokens.
+
+    Where ids follow the order of the merges, ranks say the same as the file, and the faster library for rank files gives the same ids; else, and for a text with a
+    run of 100,000 white-space characters, the file's own library encodes it.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -105,9 +110,13 @@ def file_encoder(path: str, memo: int) -> WordEncoder:
     vocab, merges, cut = spec["model"]["vocab"], spec["model"].get("merges", []), spec.get("pre_tokenizer") or {}
     made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
     plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer") and made == sorted(set(made))
+
+    def slow(text: str) -> array:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids)
+
     if not plain:
-        return WordEncoder(lambda s: array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes(), memo)
+        return slow
     special, sign = {t["content"] for t in spec.get("added_tokens", [])}, byte_of_sign()
     ranks = {bytes(sign[c] for c in token): k for token, k in vocab.items() if token not in special}
-    encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return WordEncoder(lambda s: array("I", encode(s)).tobytes(), memo)
+    encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: slow(text) if len(text) >= 100_000 and LONG_SPACE.search(text) else array("I", encode(text))

@@ -65,10 +65,9 @@ def document_frequencies(tails: DataFrame, vocabulary: int, narrow: str) -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total, count = np.zeros(vocabulary, np.int64), 0, 0
         for b in batches:
-            for x in b.column(0):
-                ids = np.frombuffer(x.as_buffer(), narrow)
-                df[np.unique(ids)] += 1
-                total, count = total + len(ids), count + 1
+            for parts in _slices(b.column(0), narrow):
+                df += np.bincount(term_counts(parts)[1], minlength=vocabulary)
+                total, count = total + sum(map(len, parts)), count + len(parts)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, (-1, -2))), pa.array(np.append(df[at], (total, count)))], names=["term", "n"])
 
@@ -80,6 +79,67 @@ def document_frequencies(tails: DataFrame, vocabulary: int, narrow: str) -> tupl
     return table, count, total / max(1, count)
 
 
+def _slices(column: pa.Array, narrow: str, size: int = 512) -> Iterator[list[np.ndarray]]:
+    """The id arrays of a column, some hundred at a time."""
+    for k in range(0, len(column), size):
+        yield [np.frombuffer(x.as_buffer(), narrow) for x in column.slice(k, size)]
+
+
+def term_counts(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tail, id, occurrences) of each distinct id of each tail, sorted."""
+    flat = np.concatenate([np.zeros(0, np.int64), *tails]).astype(np.int64)
+    key = np.sort(np.repeat(np.arange(len(tails)), [len(x) for x in tails]) << 32 | flat)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(first, append=len(key))
+
+
+class Postings:
+    """The weights of terms in ``n`` tails. A term that an eighth of the tails hold is a dense row of ``n`` numbers, so rows take at most eight times the postings; others are lists."""
+
+    def __init__(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int):
+        order, self.n = np.argsort(term, kind="stable"), n
+        self.doc, self.weight = doc[order], weight[order]
+        self.names, first, many = np.unique(term[order], return_index=True, return_counts=True)
+        self.ptr = np.append(first, len(order))
+        common = np.flatnonzero(many * 8 >= n)
+        self.row = np.full(len(self.names), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n))
+        at = np.repeat(self.row, many)
+        self.dense[at[at >= 0], self.doc[at >= 0]] = self.weight[at >= 0]
+
+    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each term and whether any tail holds it."""
+        if not len(self.names):
+            return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+        at = np.minimum(np.searchsorted(self.names, terms), len(self.names) - 1)
+        return at, self.names[at] == terms
+
+    def _lists(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the lists of these places lie one after another, and how long each is."""
+        many = self.ptr[at + 1] - self.ptr[at]
+        return np.repeat(self.ptr[at] - np.cumsum(many) + many, many) + np.arange(many.sum()), many
+
+    def scores(self, at: np.ndarray) -> np.ndarray:
+        """The sum of the weights of the terms at these places, for each tail."""
+        rows, out = self.row[at], np.zeros(self.n)
+        flat, _ = self._lists(at[rows < 0])
+        out += np.bincount(self.doc[flat], self.weight[flat], self.n)
+        for r in rows[rows >= 0].tolist():
+            out += self.dense[r]
+        return out
+
+    def scores_of(self, asker: np.ndarray, at: np.ndarray, factor: np.ndarray, askers: int) -> np.ndarray:
+        """One row of such sums for each asker, its term at each place times its factor."""
+        rows, common = self.row[at], self.row[at] >= 0
+        ask = np.zeros((askers, len(self.dense)))
+        ask[asker[common], rows[common]] = factor[common]
+        flat, many = self._lists(at[~common])
+        out = ask @ self.dense
+        cell = np.repeat(asker[~common] * self.n, many) + self.doc[flat]
+        return out + np.bincount(cell, self.weight[flat] * np.repeat(factor[~common], many), askers * self.n).reshape(askers, self.n)
+
+
 def bm25_idf(df: np.ndarray, count: int) -> np.ndarray:
     return np.log1p((count - df + 0.5) / (df + 0.5))
 
@@ -92,17 +152,13 @@ class Router:
     """Ranks the pivots for a tail by BM25 over all terms of both, a pivot's score divided by the root of its summed idf so that long ones do not take all."""
 
     def __init__(self, pivots: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms = [np.unique(x).astype(np.int64) for x in pivots]
+        doc, term, tf = term_counts(pivots)
         self.idf, self.mean, self.n = idf, mean, len(pivots)
-        flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.names, first = np.unique(flat[order], return_index=True)
-        self.ptr = np.append(first, len(flat))
-        self.post = np.repeat(np.arange(self.n), [len(t) for t in terms])[order]
-        self.norm = np.sqrt([max(float(idf[t].sum()), 1e-9) for t in terms])
+        self.norm = np.sqrt(np.maximum(np.bincount(doc, idf[term], self.n), 1e-9))
+        self.index = Postings(doc, term, np.ones(len(doc)), self.n)
         self.place = np.arange(self.n)
         if self.n:
-            self.place = self._chain(np.array([self.scores(x) for x in pivots]))
+            self.place = self._chain(self.scores(pivots))
 
     def _chain(self, near: np.ndarray) -> np.ndarray:
         """The place of each pivot in a chain that goes on with the most similar one left."""
@@ -112,25 +168,26 @@ class Router:
             at = int(np.argmax(np.where(left, near[at], -1.0)))
         return place
 
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        terms, tf = np.unique(ids, return_counts=True)
-        at = np.minimum(np.searchsorted(self.names, terms), max(len(self.names) - 1, 0))
-        known = self.names[at] == terms
-        at, weight = at[known], bm25_weights(tf[known], self.idf[terms[known]], len(ids), self.mean)
-        many = self.ptr[at + 1] - self.ptr[at]
-        flat = np.repeat(self.ptr[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        return np.bincount(self.post[flat], np.repeat(weight, many), self.n) / self.norm
-
-    def route(self, ids: np.ndarray) -> tuple[int, int]:
-        """The places of the best and the second pivot; -1: none."""
-        if self.n < 2:
-            return -1, -1
-        score = self.scores(ids)
-        best = int(score.argmax())
-        first = score[best]
-        score[best] = -1.0
-        second = int(score.argmax())
-        return (int(self.place[best]) if first > 0 else -1), (int(self.place[second]) if score[second] > 0 else -1)
+    def scores(self, tails: list[np.ndarray]) -> np.ndarray:
+        """One row per tail, one column per pivot."""
+        doc, term, tf = term_counts(tails)
+        at, known = self.index.find(term)
+        doc, at = doc[known], at[known]
+        length = np.array([len(x) for x in tails], float)
+        weight = bm25_weights(tf[known], self.idf[term[known]], length[doc], self.mean)
+        return self.index.scores_of(doc, at, weight, len(tails)) / self.norm
+
+    def route(self, tails: list[np.ndarray]) -> np.ndarray:
+        """The places of the best and the second pivot of each tail; -1: none."""
+        to = np.full((len(tails), 2), -1, np.int32)
+        if self.n < 2 or not tails:
+            return to
+        score, each = self.scores(tails), np.arange(len(tails))
+        for k in range(2):
+            best = score.argmax(1)
+            to[:, k] = np.where(score[each, best] > 0, self.place[best], -1)
+            score[each, best] = -1.0
+        return to
 
 
 class Shard:
@@ -138,27 +195,14 @@ class Shard:
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(tails)
-        docs, terms, tf = [], [], []
-        for d, ids in enumerate(tails):
-            t, c = np.unique(ids, return_counts=True)
-            docs.append(np.full(len(t), d))
-            terms.append(t.astype(np.int64))
-            tf.append(c)
-        self.doc, term, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, terms, tf))
+        doc, term, tf = term_counts(tails)
         length = np.array([len(x) for x in tails], float)
-        weight = bm25_weights(tf, idf[term], length[self.doc], mean)
-        self.row = np.searchsorted(self.doc, np.arange(self.n + 1))
-        self.term = term
-        order = np.argsort(term, kind="stable")
-        self.names, first = np.unique(term[order], return_index=True)
-        self.ptr = np.append(first, len(order))
-        self.post_doc, self.post_weight = self.doc[order], weight[order]
+        self.index = Postings(doc, term, bm25_weights(tf, idf[term], length[doc], mean), self.n)
+        self.at, self.row = self.index.find(term)[0], np.searchsorted(doc, np.arange(self.n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all tails for all terms of the seed."""
-        at = np.searchsorted(self.names, self.term[self.row[seed] : self.row[seed + 1]])
-        spans = [slice(self.ptr[k], self.ptr[k + 1]) for k in at]
-        return np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
+        return self.index.scores(self.at[self.row[seed] : self.row[seed + 1]])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused tails, best score first (ties: shard order), then those without a common term in shard order."""
@@ -243,7 +287,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            to = np.array([router.route(np.frombuffer(x.as_buffer(), narrow)) for x in b.column(3)], np.int32).reshape(-1, 2)
+            to = np.concatenate([np.zeros((0, 2), np.int32), *(router.route(x) for x in _slices(b.column(3), narrow))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to[:, 0]), pa.array(to[:, 1])], names=["doc_id", "n", "start", "ids", "p1", "p2"])
 
     dealt = cut(tails.mapInArrow(routed, f"doc_id {kind}, n long, start long, ids binary, p1 int, p2 int"))  # read twice: for the bounds of the ranges and for the rows

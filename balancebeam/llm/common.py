@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,15 @@ def workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of a reused Python worker have freed but its allocators still hold. Nothing depends on it but the worker's size."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs a read and not the lineage."""
     ensure_checkpoint_dir(df.sparkSession)

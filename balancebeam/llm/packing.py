@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from balancebeam.llm.common import cut
+from balancebeam.llm.common import cut, release_memory
 from balancebeam.llm.wordids import file_encoder
 
 K1, B = 1.2, 0.75
@@ -45,6 +45,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     kind, narrow = dict(docs.dtypes)[id_col], id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         enc, end = _encoder(path), array("I", [end_id])
         for b in batches:
             for k in range(0, b.num_rows, 500):

@@ -143,7 +143,7 @@ def _calibrate(model: LanguageModel, train: list[tuple], right: list[tuple]) ->
         seen[k, at] += n / n.sum()
     total = np.maximum(seen.sum(1, keepdims=True), 1e-9)
     model.frequencies = np.log((1 - UNSEEN) * seen / total + UNSEEN / BUCKETS)
-    rows = [(k, n @ model.frequencies[k, at] / n.sum(), n.sum()) for at, n, k in right]
+    rows = [(k, n @ model.frequencies[k, at] / n.sum(), n.sum()) for at, n, k in right if n.sum()]  # a text without subwords has no familiarity
     kinds, mean, size = (np.array(x) for x in zip(*rows)) if rows else (np.zeros(0),) * 3
     far = np.zeros(len(rows))
     for k in range(len(model.languages)):

@@ -165,3 +165,18 @@ def test_registry():
     reg = metrics()
     assert len(reg) == 81 and len({m.key for m in reg}) == 81
     assert {m.key for m in reg if m.sector_relative} == {"asset_turnover", "inventory_turnover", "receivable_turnover"}
+
+
+@pytest.mark.parametrize("method", ["percentile", "zscore"])
+def test_scores_shuffle_values_only_to_sort_them(spark, method):
+    """Group statistics and shifts reach the value rows by broadcast, however small the planner takes them to be."""
+    df = spark.createDataFrame(universe(), "ticker string, sector string, year_index int, " + ", ".join(f"{k} double" for k in KEYS))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        config = xs.RankConfig(method=method)
+        scores = xs.unit_scores(xs.values_from_wide(df, config, REGISTRY), config, REGISTRY)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "rangepartitioning" not in plan

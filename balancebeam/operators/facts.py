@@ -122,9 +122,17 @@ def concept_series(facts: DataFrame, fallback: list[str], years: int = 12) -> Da
 
     For the concepts in ``fallback`` the first tag with any value wins a period, for the others the latest filing over all tags. All concepts pass in one aggregate.
     """
-    order = [F.when(F.col("concept").isin(fallback), F.col("tag_priority")).otherwise(0), *latest_order()]
-    picked = annual_filter(facts).groupBy("entity", "concept", "end_date").agg(_first(FIELDS, order).alias("r"))
-    return to_fiscal_year(picked.select("entity", "concept", "end_date", "r.*"), years, ("entity", "concept"))
+    first = F.when(F.col("concept").isin(fallback), F.col("tag_priority")).otherwise(0)
+    # the latest end of a year, then the order within it: one ordering, so a year is picked in one aggregate; what the order holds is not carried twice
+    names = ["_end", "_first", "_filed", "_priority", "_ord", "_line", "val", "tag"]
+    order = [-F.unix_date(F.col("end_date")), first, -F.unix_date(F.col("filed")), F.col("tag_priority"), F.col("ord"), F.col("line"), F.col("val"), F.col("tag")]
+    best = F.min(F.when(F.col("end_date").isNotNull(), F.struct(*[c.alias(n) for c, n in zip(order, names)])))
+    per = annual_filter(facts).groupBy("entity", "concept", F.year("end_date").alias("fiscal_year")).agg(best.alias("r"))
+    # a handful of rows per concept and year are left: placed by entity once, for these windows and those of the builders
+    w = Window.partitionBy("entity", "concept").orderBy(F.desc("fiscal_year"))
+    kept = per.repartition("entity").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= years)
+    day = lambda c: F.date_from_unix_date(-F.col(c))
+    return kept.select("entity", "concept", "fiscal_year", day("r._end").alias("end_date"), "r.val", day("r._filed").alias("filed"), "r.tag", F.col("r._priority").alias("tag_priority"))
 
 
 def _lines(series: DataFrame, concepts: list[str], backbone: str, second: str | None, years: int) -> DataFrame:

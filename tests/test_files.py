@@ -136,3 +136,10 @@ def test_every_period_has_its_own_cut_of_the_earnings_history(spark):
     mean = lambda years: sum(y - 2000 for y in years) / len(years)
     assert got == {("A", 2018): (10, 18.0, mean([2018, 2017, 2016, 2014, 2013, 2012, 2011, 2010, 2009, 2008])), ("A", 2020): (10, 20.0, mean([2020, 2019, 2018, 2017, 2016, 2014, 2013, 2012, 2011, 2010])), ("B", 2020): (0, None, None)}
     assert set(out.columns) == {*rows.columns, "cycle_years", "cycle_latest", "cycle_mean"}
+
+
+def test_statements_shuffle_facts_once_and_yearly_rows_once(spark):
+    """The plan of a statement has two exchanges by hash: the facts' aggregate and the rows left, by entity."""
+    empty = spark.createDataFrame([], FILING)
+    plan = facts.build_balance(facts.concept_series(empty, ["total_debt"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -15,6 +15,7 @@ from balancebeam.operators.rollup import rank_universe
 from balancebeam.operators.xs import RankConfig
 
 MIN_ENTITIES = 10
+TASK_FACTS = 250_000  # of the point-in-time panel
 
 
 def upper_median(df: DataFrame, group: list[str], value: str, key: str) -> DataFrame:
@@ -38,32 +39,23 @@ def pit_values(facts: DataFrame, dates: list[datetime.date], keys: list[str]) ->
 def pit_panel(facts: DataFrame, dates: list[datetime.date], keys: list[str]) -> DataFrame:
     """(keys, as_of, end_date, filed, val, prior_val): ``pit_values`` and the value of the newest period of an earlier fiscal year known at the same date.
 
-    One pass: facts are reduced to a row per (key, period end, date slot), the versions of that period. A version holds from its slot to the next one. A period is the
-    newest from its first filing until a later period is filed; it is the prior one from the filing of a later year until a period between the two, too, is of
-    an earlier year than the newest. Both spans are running minima over the key's few periods, so dates are expanded only for rows that are picked.
+    One pass: facts are reduced to a row per (key, period end, date slot), the versions of that period. A key's few versions are gathered, and each date is picked
+    among them inside the row: nothing is sorted, and no row per date is grouped again.
     """
     slotted = joins.slot_at_or_after(facts, "filed", dates)
-    versions = slotted.groupBy(*keys, "end_date", "slot").agg(F.max(F.struct("filed", (-F.col("ord")).alias("o"), (-F.col("line")).alias("l"), "val")).alias("_best"))
-    # one shuffle on the key serves both windows and the last aggregate
-    placed = versions.repartition(*keys).withColumns({"_y": F.year("end_date"), "_d": F.unix_date("end_date")})
-    period = Window.partitionBy(*keys, "end_date").orderBy("slot")
-    held = placed.withColumns({
-        "_pick": F.max("_best").over(period.rowsBetween(Window.unboundedPreceding, 0)), "_known": F.min("slot").over(Window.partitionBy(*keys, "end_date")),
-        "_until": F.coalesce(F.lead("slot").over(period), F.lit(len(dates))) - 1})
-    later = Window.partitionBy(*keys).orderBy("_d").rangeBetween(1, Window.unboundedFollowing)
-    later_year = Window.partitionBy(*keys).orderBy("_y").rangeBetween(1, Window.unboundedFollowing)
-    held = held.withColumns({"_passed": F.min("slot").over(later), "_old": F.min("slot").over(later_year)})
-    held = held.withColumn("_prior_from", F.when(F.col("_old").isNotNull(), F.greatest("_known", "_old")))
-    held = held.withColumn("_prior_to", F.min("_prior_from").over(later))
-    newest = joins.dates_between(dates, F.col("slot"), F.least("_until", F.col("_passed") - 1))
-    prior = joins.dates_between(dates, F.greatest("slot", "_old"), F.least("_until", F.col("_prior_to") - 1))
-    spans = held.select(*keys, "end_date", "_pick", F.explode(F.concat(
-        F.transform(newest, lambda d: F.struct(d.alias("as_of"), F.lit(True).alias("now"))),
-        F.when(F.col("_old").isNotNull(), F.transform(prior, lambda d: F.struct(d.alias("as_of"), F.lit(False).alias("now")))).otherwise(F.expr("cast(array() as array<struct<as_of: date, now: boolean>>)")))).alias("s"))
-    now = F.col("now")
-    return spans.select(*keys, "s.as_of", "s.now", "end_date", "_pick.filed", "_pick.val").groupBy(*keys, "as_of").agg(
-        F.max(F.when(now, F.col("end_date"))).alias("end_date"), F.max(F.when(now, F.col("filed"))).alias("filed"), F.max(F.when(now, F.col("val"))).alias("val"),
-        F.max(F.when(~now, F.col("val"))).alias("prior_val"))
+    versions = slotted.groupBy(*keys, "end_date", "slot").agg(F.max(F.struct("filed", (-F.col("ord")).alias("o"), (-F.col("line")).alias("l"), "val")).alias("best"))
+    # every key becomes a row per date, so tasks are bounded by facts and not by the bytes shuffled
+    spark = facts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), facts.count() // TASK_FACTS + 1)
+    gathered = versions.repartition(parts, *keys).groupBy(*keys).agg(F.collect_list(F.struct("end_date", "best", "slot", F.year("end_date").alias("y"))).alias("_v"))
+    # what is known changes only at the key's own slots; a state holds up to the next one
+    slots = F.array_sort(F.array_distinct(F.col("_v.slot")))
+    state = lambda s, i: F.struct(
+        s.alias("first"), (F.coalesce(F.get("_slots", i + 1), F.lit(len(dates))) - 1).alias("last"), F.array_max(F.filter("_v", lambda v: v["slot"] <= s)).alias("now"))
+    states = gathered.withColumn("_slots", slots).select(*keys, "_v", F.explode(F.transform("_slots", state)).alias("s"))
+    earlier = F.array_max(F.filter("_v", lambda v: (v["slot"] <= F.col("s.first")) & (v["y"] < F.col("s.now.y"))))
+    spans = states.select(*keys, "s", earlier["best"]["val"].alias("prior_val"))
+    return spans.select(*keys, F.explode(joins.dates_between(dates, F.col("s.first"), F.col("s.last"))).alias("as_of"), "s.now.end_date", "s.now.best.filed", "s.now.best.val", "prior_val")
 
 
 def as_of_dates(facts: DataFrame, filed: str, months: int = 3) -> DataFrame:

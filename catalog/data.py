@@ -8,7 +8,7 @@ from balancebeam.functions.lexicon import Lexicon
 from balancebeam.operators import backtest, facts, prices, sentiment
 from balancebeam.operators import sector as sector_ops
 from balancebeam.operators.screens import market_cap_plausible
-from balancebeam.session import ensure_checkpoint_dir
+from balancebeam.session import ensure_checkpoint_dir, stored
 from balancebeam.sources import readers, sinks
 from balancebeam.streaming import incremental
 from catalog.base import bind, companies, daily_prices, query, table, tidy, wide_panel
@@ -522,9 +522,8 @@ PIT_RANK = {
 
 
 def pit_ranked(spark, sf):
-    ensure_checkpoint_dir(spark)
     # the point-in-time panel feeds the universe, its size and the ranking: written once
-    return backtest.pit_rank(pit_metric_frame(spark, sf).checkpoint())
+    return backtest.pit_rank(stored(pit_metric_frame(spark, sf)))
 
 
 @query("pit_rank_by_date", f"select as_of, ticker, {rnd('overall_score')} as overall_score, overall_rank, metrics_included, metrics_applicable from q_rank", PIT_RANK)

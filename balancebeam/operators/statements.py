@@ -25,21 +25,26 @@ def _group_of(configs) -> list[str | None]:
     return out
 
 
-def statement_rows(periods: DataFrame, configs=INCOME_ROWS) -> DataFrame:
+def statement_rows(periods: DataFrame, configs=INCOME_ROWS, aged: bool = False) -> DataFrame:
     """(ticker, line, line_no, indent, fiscal_year, value): one cell per year on file; lines without any value and lines equal to their twin in every
     year are dropped.
 
-    The per-line tests are aggregates over the entity's years, so twins are compared without a self join.
+    The per-line tests are aggregates over the entity's years, so twins are compared without a self join. ``aged`` adds ``age``, the number of newer years in which
+    the line has a value, counted before the lines become rows.
     """
     w = Window.partitionBy("ticker")
+    newer = w.orderBy(F.desc("fiscal_year")).rowsBetween(Window.unboundedPreceding, -1)
     flags = {}
     for line, _, twin in configs:
         shown = F.count(line).over(w) > 0
         if twin:
             shown = shown & (F.count_if(~F.col(line).eqNullSafe(F.col(twin))).over(w) > 0)
         flags[f"_s_{line}"] = shown
+        if aged:
+            flags[f"_a_{line}"] = F.count(line).over(newer)
     marked = periods.withColumns(flags)
-    cells = [F.struct(F.lit(line).alias("line"), F.lit(i).alias("line_no"), F.lit(indent).alias("indent"), F.col(line).cast("double").alias("value"), F.col(f"_s_{line}").alias("shown"))
+    cells = [F.struct(F.lit(line).alias("line"), F.lit(i).alias("line_no"), F.lit(indent).alias("indent"), F.col(line).cast("double").alias("value"), F.col(f"_s_{line}").alias("shown"),
+                      *([F.col(f"_a_{line}").alias("age")] if aged else []))
              for i, (line, indent, _) in enumerate(configs)]
     return marked.select("ticker", "fiscal_year", F.inline(F.array(*cells))).filter("shown").drop("shown")
 
@@ -53,9 +58,14 @@ def statement_groups(rows: DataFrame) -> DataFrame:
 
 def yoy_latest(rows: DataFrame) -> DataFrame:
     """Change between the two newest years with a value; NULL on a zero base or a sign change."""
-    newest = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("fiscal_year", "value")))), 1, 2)
-    out = rows.filter("value is not null").groupBy("ticker", "line").agg(newest.alias("_v")).filter(F.size("_v") == 2)
-    last, prev = F.col("_v")[0], F.col("_v")[1]
+    if "age" not in rows.columns:
+        w = Window.partitionBy("ticker", "line").orderBy(F.desc("fiscal_year"), F.desc("value"))
+        rows = rows.filter("value is not null").withColumn("age", F.row_number().over(w) - 1)
+    # plain values, so that the aggregate hashes and sorts no rows
+    pair = rows.filter("value is not null and age < 2").groupBy("ticker", "line").agg(F.count(F.lit(1)).alias("n"), *[
+        F.max(F.when(F.col("age") == k, F.col(c))).alias(f"{c}_{k}") for k in (0, 1) for c in ("fiscal_year", "value")])
+    out = pair.filter("n = 2")
+    last, prev = ({c: F.col(f"{c}_{k}") for c in ("fiscal_year", "value")} for k in (0, 1))
     ok = (prev["value"] != 0) & (F.signum(prev["value"]) == F.signum(last["value"]))
     change = F.when(ok, (last["value"] - prev["value"]) / F.nullif(F.abs(prev["value"]), F.lit(0.0)))
     return out.select("ticker", "line", prev["fiscal_year"].alias("from_year"), last["fiscal_year"].alias("to_year"), change.alias("change")).filter("change is not null")

@@ -426,11 +426,11 @@ def _rows_sql():
 ROWS = _rows_sql()
 
 
-def each_statement(spark, sf, view=lambda rows: rows):
+def each_statement(spark, sf, view=lambda rows: rows, aged=False):
     """A view of each of the three statements, one under the other."""
     out = None
     for name, source, config in STATEMENTS:
-        part = view(statements.statement_rows(bind(spark, sf, source), config)).withColumn("statement", F.lit(name))
+        part = view(statements.statement_rows(bind(spark, sf, source), config, aged)).withColumn("statement", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return tidy(out)
 
@@ -452,7 +452,7 @@ NN = {**ROWS, "w_n": "select *, lead(value) over w as before, lead(fiscal_year)
 @query("stmt_yoy_latest", f"""select statement, ticker, line, before_year as from_year, fiscal_year as to_year, {rnd('(value - before) / abs(before)')} as change from w_n
         where k = 1 and before <> 0 and sign(value) = sign(before)""", NN)
 def stmt_yoy_latest(spark, sf):
-    return each_statement(spark, sf, statements.yoy_latest)
+    return each_statement(spark, sf, statements.yoy_latest, aged=True)
 
 
 @query("stmt_trend", """select statement, ticker, line, case when arg_max(value, fiscal_year) = arg_min(value, fiscal_year) then 'flat' when arg_max(value, fiscal_year) > arg_min(value, fiscal_year) then 'up' else 'down' end as trend

@@ -251,6 +251,7 @@ class Utf8:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+_TOKENS: dict[str, dict[int, bytes]] = {}
 
 
 def _encoder(path: str, pattern: str) -> Encoder:
@@ -259,6 +260,13 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
+def _tokens(path: str) -> dict[int, bytes]:
+    """Bytes by id; decoding needs no transducer."""
+    if path not in _TOKENS:
+        _TOKENS[path] = {r: t for t, r in read_ranks(path).items()}
+    return _TOKENS[path]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids is the whole text's encoding as little-endian unsigned 32-bit integers (null or empty text: none). ``path`` is read on each executor."""
 
@@ -274,10 +282,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(id, ids, text) from (id, ids): the decoded text of each row."""
+    """(id, ids, text) from (id, ids): the decoded text of each row.
+
+    Its workers have an environment of their own: workers are reused for any function of the same environment, and one that encodes and decodes by turns would hold an encoder's memos all the time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        utf8 = Utf8({r: t for t, r in _encoder(path, pattern).transducer.ranks.items()})
+        utf8 = Utf8(_tokens(path))
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
@@ -285,6 +296,11 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     kind = dict(encoded.dtypes)["id"]
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids binary, text string")
+    environment = encoded.sparkSession.sparkContext.environment
+    environment["BALANCEBEAM_WORKERS"] = "decode"
+    try:
+        return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids binary, text string")
+    finally:
+        del environment["BALANCEBEAM_WORKERS"]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from balancebeam.functions import dims
 from balancebeam.operators import capalloc, forensics, scenario, statements, strategies, valuation
+from balancebeam.session import stored
 from catalog.base import bind, companies, query, tidy, wide_panel
 from catalog.ranking import category_scores
 from catalog.sql import quote, rnd, values
@@ -490,7 +491,9 @@ COMPARE = ["P00000001", "P00000002", "P00000005"]
 def company_compare(spark, sf):
     from balancebeam.operators.rollup import headline_metrics
 
-    return tidy(statements.company_compare(category_scores(spark, sf), headline_metrics(wide_panel(spark, sf)), COMPARE))
+    # the panel feeds the ranking, which reads it more than once, and the headline figures: written once
+    wide = stored(wide_panel(spark, sf))
+    return tidy(statements.company_compare(category_scores(spark, sf, wide), headline_metrics(wide), COMPARE))
 
 
 @query("company_scale", f"""select y.ticker, y.fiscal_year, {rnd('revenue')} as revenue, {rnd('net_income')} as net_income, {rnd('free_cash_flow')} as free_cash_flow, {rnd('total_assets')} as total_assets, {rnd('c.market_cap')} as market_cap

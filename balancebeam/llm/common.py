@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balancebeam.session import ensure_checkpoint_dir
+from balancebeam.session import ensure_checkpoint_dir, shuffles_freed
 
 
 def workers_import(spark: SparkSession) -> None:
@@ -34,7 +34,8 @@ def release_memory() -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs a read and not the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:

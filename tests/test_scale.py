@@ -1,11 +1,16 @@
 """Plans that must not gather, sort or repeat what grows with the input."""
 
 import datetime as dt
+import glob
+import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from balancebeam.functions import dims
 from balancebeam.operators import backtest, joins, sector, statements
+from balancebeam.operators.positions import positions
+from balancebeam.session import ensure_checkpoint_dir, stored_all, stored_slices
 
 D = dt.date
 
@@ -39,3 +44,29 @@ def test_gate_takes_the_canonical_sector_of_the_entity(spark):
     a = sorted(map(tuple, sector.gate_sector(df).collect()), key=repr)
     b = sorted(map(tuple, sector.gate_sector(named, "canon").drop("canon").collect()), key=repr)
     assert a == b and any(r[2] for r in a)
+
+
+def test_positions_taken_in_turns_are_those_taken_at_once(spark):
+    rows = [(g, y, float(k * 7 % 5) if k % 6 else None, f"t{k % 30:02d}") for k in range(120) for g in ("a", "b", None) for y in (0, 1) if (k + y) % 3]
+    df = spark.createDataFrame(rows, "g string, y int, v double, ticker string").select("*", F.monotonically_increasing_id().alias("row"))
+    take = lambda n: positions(df, ["g", "y"], [F.col("v"), F.col("ticker"), F.col("row")], "r", {"n": F.count(F.lit(1)), "held": F.count("v")}, few=True, slices=n)
+    want = sorted(map(tuple, take(1).collect()), key=repr)
+    assert sorted(map(tuple, take(3).collect()), key=repr) == want and len(want) == len(rows)
+    assert take(2).where("false").count() == positions(df.where("false"), ["g"], [F.col("v")], slices=2).count() == 0
+
+
+def test_turns_leave_neither_shuffles_nor_rows_behind(spark):
+    ensure_checkpoint_dir(spark)
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    shuffles = lambda: {f for d in glob.glob(f"{spark.conf.get('spark.local.dir', tempfile.gettempdir())}/blockmgr-*") for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, folders = shuffles(), set(glob.glob(f"{at}/stored-*"))
+    df = spark.range(0, 1000, 1, 3).select((F.col("id") % 7).alias("g"), "id")
+    kept = stored_all(part.repartitionByRange(3, "g", "id") for part in stored_slices(df, ["g"], 3))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
+    for _ in range(50):  # they are removed behind the job
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    sizes = [spark.read.parquet(f).count() for f in set(glob.glob(f"{at}/stored-*")) - folders]
+    assert sum(sizes) == 1000  # the slices' own files are empty

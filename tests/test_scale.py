@@ -8,8 +8,9 @@ import time
 from pyspark.sql import functions as F
 
 from balancebeam.functions import dims
-from balancebeam.operators import backtest, joins, sector, statements
+from balancebeam.operators import backtest, joins, panel, sector, statements
 from balancebeam.operators.positions import positions
+from balancebeam.plans import bindings
 from balancebeam.session import ensure_checkpoint_dir, stored_all, stored_slices
 
 D = dt.date
@@ -70,3 +71,34 @@ def test_turns_leave_neither_shuffles_nor_rows_behind(spark):
     assert not shuffles() - before
     sizes = [spark.read.parquet(f).count() for f in set(glob.glob(f"{at}/stored-*")) - folders]
     assert sum(sizes) == 1000  # the slices' own files are empty
+
+
+def test_reported_earnings_meet_in_the_panels_window(spark):
+    rows = [("A", y, float(y % 7) if y % 5 else None, 8) for y in range(2004, 2021)] + [("B", 2020, 1.0, 3), ("B", None, 2.0, 3), ("C", 2019, None, 4)]
+    df = spark.createDataFrame(rows, "ticker string, fiscal_year int, net_income double, p_size int")
+    take = lambda h: sorted(map(tuple, panel.with_earnings_cycle(df, h).select("ticker", "fiscal_year", "net_income", "cycle_years", "cycle_latest", F.round("cycle_mean", 9)).collect()), key=repr)
+    plain = F.expr("array(named_struct('fiscal_year', fiscal_year, 'net_income', net_income), named_struct('fiscal_year', fiscal_year - 20, 'net_income', 2 * net_income))")
+    assert take(plain) == take(df.select("ticker", F.inline(plain))) and len(take(plain)) == len(rows)
+    plan = plan_of(panel.with_earnings_cycle(df, plain))
+    assert plan.count("Exchange") == 1 and "Union" not in plan
+
+
+def _tables(spark, tmp_path):
+    """lineitem, part and nation with a few rows, an entity without a size and one without a year."""
+    spark.sql("""select id as l_orderkey, id % 5 as l_partkey, 1L as l_suppkey, 1 as l_linenumber, cast(1 + id % 50 as double) as l_quantity, 100.0D + id as l_extendedprice, 0.05D as l_discount, 0.02D as l_tax,
+                 'N' as l_returnflag, 'O' as l_linestatus, case when id % 11 > 0 then timestamp'2015-01-01' + make_interval(id % 4) end as l_shipdate from range(80)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select id as p_partkey, 'n' as p_name, 'b' as p_brand, 'SMALL' as p_type, cast(case when id <> 3 then id + 3 end as int) as p_size, 10.0D as p_retailprice from range(5)").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select id as n_nationkey, 'x' as n_name from range(25)").write.parquet(f"{tmp_path}/nation.parquet")
+
+
+def test_panel_dealt_by_entity_has_the_same_rows(spark, tmp_path):
+    _tables(spark, tmp_path)
+    as_is, dealt = (bindings.bind(spark, str(tmp_path), "fx_panel", dealt=d) for d in (False, True))
+    want = sorted(map(tuple, as_is.collect()), key=repr)
+    assert want and sorted(map(tuple, dealt.collect()), key=repr) == want
+    history = dealt.select("ticker", F.inline(F.expr(bindings.EARNINGS_REPORTED)))
+    assert sorted(map(tuple, history.collect()), key=repr) == sorted(map(tuple, bindings.bind(spark, str(tmp_path), "fx_earnings_history").collect()), key=repr)
+    plan = plan_of(panel.metric_panel_wide(dealt, None, F.expr(bindings.EARNINGS_REPORTED)))
+    assert plan.count("FileScan parquet [l_") == 1  # the line items are read and aggregated once
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(ticker" in x]
+    assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0]  # and the derived lines are not dealt

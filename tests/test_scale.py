@@ -11,7 +11,7 @@ from balancebeam.functions import dims
 from balancebeam.operators import backtest, joins, panel, sector, statements
 from balancebeam.operators.positions import positions
 from balancebeam.plans import bindings
-from balancebeam.session import ensure_checkpoint_dir, stored_all, stored_slices
+from balancebeam.session import ensure_checkpoint_dir, stored, stored_all, stored_alone, stored_slices
 
 D = dt.date
 
@@ -102,3 +102,13 @@ def test_panel_dealt_by_entity_has_the_same_rows(spark, tmp_path):
     assert plan.count("FileScan parquet [l_") == 1  # the line items are read and aggregated once
     moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(ticker" in x]
     assert len(moved) == 1 and "REPARTITION_BY_COL" in moved[0]  # and the derived lines are not dealt
+
+
+def test_what_is_stored_on_the_way_is_emptied(spark):
+    ensure_checkpoint_dir(spark)
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    folders = set(glob.glob(f"{at}/stored-*"))
+    kept = stored_alone(lambda: stored(stored(spark.range(300)).where("id % 3 = 0")).selectExpr("id * 2 as x"))
+    assert sorted(r.x for r in kept.collect()) == [6 * k for k in range(100)]
+    made = set(glob.glob(f"{at}/stored-*")) - folders
+    assert len(made) == 3 and sum(spark.read.parquet(f).count() for f in made) == 100

@@ -1,8 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands give candidates, whole sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: the SimHash trie and MinHash bands give candidates, whole sets decide.
 
-A candidate shares one of BANDS bands of ROWS minima. A pair of similarity t is missed with a chance of (1 - t ** ROWS) ** BANDS, 4e-7 at 0.8 and less above; pairs of 0.5 become candidates
+The trie (``simhash``) links the sets' fingerprints that differ in a few bits: closest copies, however the bands fall. A pair of 0.8 may differ in 16 bits, so the bands find the others. A candidate of theirs shares one of BANDS bands of ROWS minima. A pair of similarity t is missed with a chance of (1 - t ** ROWS) ** BANDS, 4e-7 at 0.8 and less above; pairs of 0.5 become candidates
 with a chance of 27 %, of 0.4 with 5 %. Sketches of SKETCH minima are compared first: a pair goes on unless they agree in a share that lies seven standard deviations below the similarity asked
-for. These two are the only ways a pair can be lost. The sets of a band are compared with the smallest of them first (links in proportion to the rows); what these links join is one group.
+for. A pair is lost only if both sources or the sketches miss it. The sets of a band are compared with the smallest of them first (links in proportion to the rows); what these links join is one group.
 Bands that several groups share are searched inside tasks: sketches join their sets to clusters, then the whole sets of a cluster are compared, each shipped once per pair of bounded chunks.
 Both give forests, never rows of pairs. Sets are made again from the texts once, for the documents that share a band.
 """
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from balancebeam.llm import simhash
 from balancebeam.llm.common import Forest, components, cut, release_memory
 
 SEED = 42
@@ -111,6 +112,22 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, lo, last = t[-1], low[-1], h[-1]
 
 
+def _print(s: np.ndarray) -> int:
+    """The SimHash fingerprint of the whole set, as a signed long."""
+    fp = simhash.majority(s.astype(">u8").tobytes()) if len(s) else 0
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def _simhash_links(table: DataFrame, budget: int) -> DataFrame:
+    """(a, b), a < b: the sets of equal fingerprints with the smallest of them, and the smallest sets of fingerprints that the trie joins within ``budget`` bits."""
+    sets = table.where("n > 0").select("h", "fp").distinct()
+    first = cut(sets.groupBy("fp").agg(F.min("h").alias("lo")))
+    same = sets.join(first, "fp").where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b"))
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("lo").alias(f"lo_{c}"))
+    linked = simhash.trie_edges(first.select("fp"), budget).join(end("a"), "a").join(end("b"), "b")
+    return cut(same.unionAll(linked.select(F.least("lo_a", "lo_b").alias("a"), F.greatest("lo_a", "lo_b").alias("b"))).distinct())
+
+
 def _likely(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) that sizes and sketches admit."""
     least = math.floor(least_agreement(similarity) * SKETCH)
@@ -271,7 +288,7 @@ def _forests(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return met.mapInArrow(run, "a long, b long")
 
 
-def _found(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def _found(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, budget: int) -> DataFrame:
     """(id, text_hash, root, component_id), a row per row of ``docs``; root names the component without fail."""
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(text_col).alias("t"))
@@ -284,26 +301,29 @@ def _found(docs: DataFrame, words: int, similarity: float, id_col: str, text_col
                 sets = [shingle_set(t.as_py(), words) for t in part.column(1)]
                 low = [minima(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in low], pa.binary()),
-                     pa.array([bands(x).view(np.int64) if len(s) else [] for x, s in zip(low, sets)], pa.list_(pa.int64()))], names=["id", "text_hash", "h", "n", "sketch", "bands"])
+                    [part.column(0), part.column(2), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in low], pa.binary()),
+                     pa.array([bands(x).view(np.int64) if len(s) else [] for x, s in zip(low, sets)], pa.list_(pa.int64()))], names=["id", "text_hash", "h", "fp", "n", "sketch", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("text_hash"))
-    table = cut(rows.mapInArrow(read, f"id {kind}, text_hash long, h long, n long, sketch binary, bands array<long>"))
+    table = cut(rows.mapInArrow(read, f"id {kind}, text_hash long, h long, fp long, n long, sketch binary, bands array<long>"))
     tokens = table.select(F.explode("bands").alias("token"), "h").repartition("token").sortWithinPartitions("token", "h")
     shared = cut(tokens.mapInArrow(_stars, "token long, h long, lo long"))
-    named = cut(shared.select("h").distinct())
-    # a sketch for each set that shares a band; equal sets have equal sketches
+    closest = _simhash_links(table, budget)
+    named = cut(shared.select("h").unionAll(closest.select("a")).unionAll(closest.select("b")).distinct())
+    # a sketch for each set that shares a band or a link of the trie; equal sets have equal sketches
     sketches = cut(table.select("h", "n", "sketch").join(named, "h", "left_semi").groupBy("h").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     sets = _sets(texts, named, words)
-    star = cut(shared.where("lo <> h").select(F.col("lo").alias("a"), F.col("h").alias("b")).distinct())
+    star = cut(shared.where("lo <> h").select(F.col("lo").alias("a"), F.col("h").alias("b")).unionAll(closest).distinct())
     near = cut(_links(cut(_likely(star, sketches, similarity)), sets, similarity))
     group = cut(components(near))
     grouped = shared.select("token", "h").join(group.select(F.col("node").alias("h"), "root"), "h", "left").select("token", "h", F.coalesce("root", "h").alias("c"))
     mixed = grouped.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     reached = cut(_clusters(grouped.join(mixed, "token"), sketches, similarity))
-    cluster = components(reached.select(F.col("c").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
-    more = _forests(reached.select("h", "c").distinct().join(cluster, "c").select("cluster", "h", "c"), sets, similarity)
-    comp = cut(components(near.unionAll(more)))
+    comp = group
+    if not reached.isEmpty():  # else no link is added to the groups
+        cluster = components(reached.select(F.col("c").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+        more = _forests(reached.select("h", "c").distinct().join(cluster, "c").select("cluster", "h", "c"), sets, similarity)
+        comp = cut(components(near.unionAll(more)))
 
     distinct = table.groupBy("h").agg(F.min("id").alias("first_id"))
     linked = distinct.join(comp.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "first_id")
@@ -312,22 +332,22 @@ def _found(docs: DataFrame, words: int, similarity: float, id_col: str, text_col
     return table.select("id", "text_hash", "h").join(final, "h").select("id", "text_hash", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
     """One row per row of ``docs``: id and component_id, the smallest id reachable by pairs whose sets of shingles have at least this Jaccard similarity.
 
     Rows without any word are copies of each other. A null id takes part; it never names a component unless the component has no other id. Equal sets are one node.
     """
-    return _found(docs, words, similarity, id_col, text_col).select("id", "component_id")
+    return _found(docs, words, similarity, id_col, text_col, budget).select("id", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns, one of each group of near-duplicates: the row with the smallest id.
 
     Texts that share an id are rows of their own: where they are no near-duplicates each stays, where they are, that of the smaller hash. Of rows equal in id and text any one stays.
     """
     key, mark = _unused(docs, "key"), _unused(docs, "mark")
     name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
-    first = _found(docs, words, similarity, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_hash").alias(mark), F.first("id").alias("id"))
+    first = _found(docs, words, similarity, id_col, text_col, budget).where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_hash").alias(mark), F.first("id").alias("id"))
     keep = first.select(name(F.col("id")).alias(key), mark).distinct()
     kept = docs.withColumns({key: name(F.col(id_col)), mark: F.xxhash64(text_col)}).join(keep, [key, mark], "left_semi")
     return kept.dropDuplicates([key, mark]).select(*docs.columns)

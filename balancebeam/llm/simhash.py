@@ -32,7 +32,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         h = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist())])
-    bits = np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1)
+    return majority(h)
+
+
+def majority(digests: bytes) -> int:
+    """64 bits: a bit is set where over half of the 64-bit hashes have it, which stand one after another, big-endian."""
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
     lanes, total = bits.view(np.uint64), np.zeros(64, np.int64)
     for i in range(0, len(lanes), 255):  # eight counters to a word: 255 rows cannot overflow one
         total += lanes[i : i + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
@@ -113,6 +118,11 @@ def link_edges(distinct: DataFrame, budget: int, depth: int) -> DataFrame:
     return spread.groupBy("node").applyInArrow(join, "a long, b long")
 
 
+def trie_edges(distinct: DataFrame, budget: int = 2, node_rows: int = 4096) -> DataFrame:
+    """``link_edges`` as deep in Spark as leaves about ``node_rows`` fingerprints to a node; results do not depend on it."""
+    return link_edges(distinct, budget, max(0, min(24, math.ceil(math.log2(max(1, distinct.count()) / node_rows)))))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text", node_rows: int = 4096) -> DataFrame:
     """One row per row of ``docs``: id, fp (signed long) and component_id, the smallest id reachable by links of at most ``budget`` differing bits.
 
@@ -122,8 +132,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, id_col: st
     """
     fps = cut(fingerprints(docs, words, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
-    depth = max(0, min(24, math.ceil(math.log2(max(1, distinct.count()) / node_rows))))
-    comp = cut(components(link_edges(distinct, budget, depth)))
+    comp = cut(components(trie_edges(distinct, budget, node_rows)))
     linked = comp.join(distinct, comp.node == distinct.fp).select("fp", "root", "first_id")
     names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(names, "root").select("fp", "component_id")

@@ -31,9 +31,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates: a Jaccard similarity of at least 0.8 over five-word shingles."""
+    """Keep the document with the smallest id of each group of near-duplicates: a Jaccard similarity of at least 0.8 over five-word shingles.
+
+    Candidates are what the SimHash trie links within two bits, and what shares a MinHash band; whole sets decide.
+    """
     workers_import(spark)
-    return shingles.dedup(docs).select(*COLUMNS)
+    return shingles.dedup(docs, budget=2).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

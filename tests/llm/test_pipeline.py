@@ -162,6 +162,22 @@ def test_groups_that_share_bands_but_not_links(spark, docs, monkeypatch):
         assert sorted(x.doc_id for x in shingles.dedup(docs(rows)).collect()) == want
 
 
+def test_simhash_trie_gives_candidates_of_its_own(spark, docs, monkeypatch):
+    """Without a band in common, near copies within two bits still meet, and whole sets decide on them."""
+    r = random.Random(8)
+    texts = []
+    for g in range(30):
+        base = [f"g{g}.{r.randrange(500)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join([*base, "end"])]
+    prints = [shingles._print(shingles.shingle_set(t)) for t in texts]
+    close = [((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in zip(prints[::2], prints[1::2])]
+    assert any(close) and not all(close)
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(100, texts[0].upper(), "en"), (101, " ", "en"), (102, None, "en")]
+    monkeypatch.setattr(shingles, "bands", lambda low: np.frombuffer(os.urandom(8 * shingles.BANDS), np.uint64))
+    want = sorted(set(range(60)) - {2 * k + 1 for k in range(30) if close[k]}) + [101]
+    assert sorted(x.doc_id for x in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs(rows), "").collect()) == want
+
+
 def test_runs_over_batch_ends_and_shared_counts():
     r = random.Random(6)
     rows = sorted((r.randrange(3), r.randrange(4), k) for k in range(50))

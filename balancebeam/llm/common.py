@@ -35,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs a read and not the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     with shuffles_freed(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a frame keeps the setting it was made under
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -114,4 +114,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    with shuffles_freed(e.sparkSession):
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())

@@ -180,3 +180,27 @@ def test_scores_shuffle_values_only_to_sort_them(spark, method):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("method", ["percentile", "zscore"])
+def test_metrics_in_turns_score_as_at_once(spark, method):
+    df = spark.createDataFrame(universe(), "ticker string, sector string, year_index int, " + ", ".join(f"{k} double" for k in KEYS))
+    config = xs.RankConfig(method=method)
+    take = lambda scores: sorted(tuple(x if not isinstance(x, float) else round(x, 12) for x in r) for r in scores.collect())
+    whole = xs.unit_scores(xs.values_from_wide(df, config, REGISTRY), config, REGISTRY)
+    want, parts = take(whole), xs.unit_scores_in_turns(df, config, REGISTRY)
+    assert want and take(parts) == want and parts.columns == whole.columns
+    rolled = rollup.metric_scores_in_turns(df, config, REGISTRY)
+    assert take(rolled) == take(rollup.roll_years(whole, config.years))
+    if method == "percentile":  # the values are not among what is kept
+        assert " v#" not in parts._jdf.queryExecution().executedPlan().toString()
+        assert " v#" in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_whole_groups_are_placed_as_all_at_once(spark):
+    df = spark.createDataFrame([(f"m{k % 5}", k % 3, f"T{k:03d}", float((k * 37) % 101) if k % 7 else 5.0) for k in range(200)], "metric_key string, year_index int, ticker string, v double")
+    group, parts = ["metric_key", "year_index"], [df.filter("metric_key < 'm2'"), df.filter("metric_key >= 'm2'")]
+    take = lambda out, c: sorted(map(tuple, out.select("ticker", *group, c).collect()))
+    assert take(xs.winsorize(df, group, "v", "ticker", 0.05, 0.95, parts), "winsorized") == take(xs.winsorize(df, group, "v", "ticker", 0.05, 0.95), "winsorized")
+    got = xs.percentile_rank(df, group, "v", "ticker", parts)
+    assert take(got, "percentile") == take(xs.percentile_rank(df, group, "v", "ticker"), "percentile") and "v" not in got.columns

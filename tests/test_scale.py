@@ -8,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from balancebeam.functions import dims
+from balancebeam.llm.common import cut
 from balancebeam.operators import backtest, joins, panel, sector, statements
 from balancebeam.operators.positions import positions
 from balancebeam.plans import bindings
@@ -112,3 +113,24 @@ def test_what_is_stored_on_the_way_is_emptied(spark):
     assert sorted(r.x for r in kept.collect()) == [6 * k for k in range(100)]
     made = set(glob.glob(f"{at}/stored-*")) - folders
     assert len(made) == 3 and sum(spark.read.parquet(f).count() for f in made) == 100
+
+
+def test_a_checkpoint_leaves_no_shuffle_of_a_frame_made_before(spark):
+    ensure_checkpoint_dir(spark)
+    shuffles = lambda: {f for d in glob.glob(f"{spark.conf.get('spark.local.dir', tempfile.gettempdir())}/blockmgr-*") for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = shuffles()
+    kept = cut(spark.range(0, 1000, 1, 3).selectExpr("id % 7 as g", "id").repartition(3, "id"))
+    for _ in range(50):  # they are removed behind the job
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before and kept.count() == 1000
+
+
+def test_panel_over_stored_yearly_figures_has_the_same_rows(spark, tmp_path):
+    _tables(spark, tmp_path)
+    yearly = stored(bindings.bind(spark, str(tmp_path), "fx_part_years"))
+    given = bindings.bind(spark, str(tmp_path), "fx_panel", dealt=True, fx_part_years=yearly)
+    want = sorted(map(tuple, bindings.bind(spark, str(tmp_path), "fx_panel").collect()), key=repr)
+    assert want and sorted(map(tuple, given.collect()), key=repr) == want
+    assert "l_extendedprice" not in plan_of(given)  # the line items are not read again

@@ -4,22 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balancebeam.session import ensure_checkpoint_dir, shuffles_freed
-
-
-def workers_import(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a local master, or a folder that all machines share); else ship it with --py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+from balancebeam.session import ensure_checkpoint_dir, shuffles_freed, workers_import  # noqa: F401  (the operators take it from here)
 
 
 def release_memory() -> None:

@@ -98,7 +98,7 @@ def pit_rank(metrics: DataFrame, min_entities: int = MIN_ENTITIES) -> DataFrame:
     """Full ranking per as-of date over dates with at least ``min_entities`` entities (1: every date): the as-of date joins every partition key."""
     sized = metrics.groupBy("as_of").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_entities).select("as_of")
     wide = metrics.join(sized, "as_of").withColumnRenamed("entity", "ticker").withColumns({"sector": F.lit(None).cast("string"), "year_index": F.lit(0)})
-    return rank_universe(wide, wide.select("as_of", "ticker", "sector"), PIT_CONFIG, pit_registry(), by=("as_of",))
+    return rank_universe(wide, wide.select("as_of", "ticker", "sector"), PIT_CONFIG, pit_registry(), by=("as_of",), turns=True)
 
 
 def forward_returns(prices: DataFrame, dates: list[datetime.date], months: tuple[int, ...] = (6, 12), keys: tuple[str, ...] = ("entity",)) -> DataFrame:

@@ -93,3 +93,12 @@ def test_panel_over_stored_lines_has_the_same_rows_in_order(spark, tmp_path):
     assert ranged.where("momentum_12m1m is not null").count() > 0
     tickers = [r.ticker for r in ranged.collect()]
     assert tickers == sorted(tickers)
+
+
+def test_panel_tasks_follow_its_rows(spark, tmp_path, monkeypatch):
+    """Every yearly row becomes a value per metric, so the bytes that are shuffled say too little about a task's work."""
+    _tables(spark, tmp_path)
+    monkeypatch.setattr(bindings, "TASK_ROWS", 3)
+    lines = bindings.part_lines(spark, str(tmp_path), spark.createDataFrame([], "ticker string, " + ", ".join(f"{c} double" for c in panel.MOMENTUM)))
+    held = bindings.bind(spark, str(tmp_path), "fx_panel", fx_part_lines=lines).select(F.spark_partition_id().alias("p"), "ticker")
+    assert held.select("p").distinct().count() > 2 and held.groupBy("ticker").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
